@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, mixing, sharding
+from kinelake.llm import exact_dedup, html_extract, media, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_shard": sharding.op1_shard,
         "op3_mix": mixing.op3_mix,
+        "op5_media": media.op5_media,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_html_extract": html_extract.op10_html_extract,
     }
 
 

@@ -36,7 +36,7 @@ def pack(loads: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     scale = np.maximum(capacity.mean(axis=0), 1e-9)
     left, items = capacity / scale, loads / scale
     # Residual bytes decide first: with equal items, the dot product is largest in the emptiest bin.
-    weight = np.array([1.0, 0.05, 0.05])[: items.shape[1]]
+    weight = np.array([1.0, 0.005, 0.005])[: items.shape[1]]
     out = np.empty(len(items), dtype=np.int32)
     for i, item in enumerate(items):
         b = int(np.argmax(left @ (item * weight)))

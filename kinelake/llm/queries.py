@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, media, mixing, sharding
+from kinelake.llm import exact_dedup, html_extract, language_id, media, mixing, sentencepiece_codec, sharding
 
 
 def queries() -> dict:
     return {
         "op1_shard": sharding.op1_shard,
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_mix": mixing.op3_mix,
+        "op4_language_id": language_id.op4_language_id,
         "op5_media": media.op5_media,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,

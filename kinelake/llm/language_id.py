@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.arrow import map_column
+from kinelake.session import settle
 
 DIMENSIONS, NGRAM, SEED = 512, 3, 20
 #: Training texts of a language, on average over the choice of the hash (documented bound).
@@ -71,7 +72,8 @@ class Encoder:
         kinds, counts = np.unique(grams, return_counts=True)
         out = np.zeros(self.dimensions, dtype=np.float32)
         for at in range(0, len(kinds), 4096):
-            out += counts[at : at + 4096].astype(np.float32) @ self.table[self._rows_of(kinds[at : at + 4096].tolist())]
+            rows = self._rows_of(kinds[at : at + 4096].tolist())
+            out += counts[at : at + 4096].astype(np.float32) @ self.table[rows]
         return out
 
 
@@ -95,7 +97,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Only the prototypes, one row a language and dimension, reach the driver.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rates = usable.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate"))
+    rates = settle(usable.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")))
+    if rates.count() <= 10_000:  # language codes; with more, Spark chooses the join
+        rates = F.broadcast(rates)
     chosen = usable.join(rates, "lang").where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
 
     def run(texts: list) -> list:

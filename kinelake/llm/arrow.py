@@ -24,9 +24,8 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
     arrays, so nulls and large integers survive; df may hold any other columns.
     """
     slim = df.select(*keep, df[column].alias("_value"))
-    schema = StructType(slim.select(*keep).schema.fields)
-    for name, kind in out.items():
-        schema = schema.add(name, "bigint" if kind == "long" else kind)
+    made_fields = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in out.items())).fields
+    schema = StructType(slim.schema.fields[:-1] + made_fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

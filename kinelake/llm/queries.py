@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, language_id, media, mixing, sentencepiece_codec, sharding
+from kinelake.llm import exact_dedup, html_extract, language_id, media, mixing, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix": mixing.op3_mix,
         "op4_language_id": language_id.op4_language_id,
         "op5_media": media.op5_media,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
     }

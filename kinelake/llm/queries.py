@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, language_id, media, mixing, sentencepiece_codec, sharding, toxicity
+from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix": mixing.op3_mix,
         "op4_language_id": language_id.op4_language_id,
         "op5_media": media.op5_media,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": mixing.OP3_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op3_mix": mixing.OP3_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

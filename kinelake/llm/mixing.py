@@ -150,7 +150,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole number of times (only the document at a source's end is taken in part).
     Wordless documents can't be taken. Columns as in docs."""
     copies = settle(
-        mix(docs, id_col, text_col, source_col).withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).where("copies > 0").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("copies"))
+        mix(docs, id_col, text_col, source_col).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")).where("copies > 0").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("copies"))
     )
     if copies.count() <= 1_000_000:  # 12 bytes a row
         copies = F.broadcast(copies)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, toxicity
+from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_media": media.op5_media,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
     }

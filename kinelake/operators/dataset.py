@@ -120,7 +120,7 @@ def player_disjoint_split(rows: DataFrame, group: str, ratios: tuple[float, floa
 
     kind = rows.schema[group].dataType.simpleString()
     hashed = sizes.withColumn("o", F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string"))))
-    assigned = hashed.groupBy(F.lit(0)).applyInPandas(assign, f"`{group}` {kind}, split string")
+    assigned = hashed.groupBy().applyInPandas(assign, f"`{group}` {kind}, split string")
     return rows.join(assigned, group)
 
 

@@ -16,10 +16,10 @@ SHOT = "CASE {k} % 4 WHEN 0 THEN 'cover_drive' WHEN 1 THEN 'defensive_shot' WHEN
 QUALITY = "CASE {k} % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'average' ELSE 'bad' END"
 
 # A landmark's parts, in terms of the event's number e and the landmark's number k.
-X = "((({k}) * 37 % 21 - 10) / 50.0 + ((e * (({k}) + 7) * 31 + ({k}) * ({k})) % 101 - 50) / 2000.0 + 0.5)"
-Y = "(0.1 + ({k}) * 0.025 + ((e * (({k}) + 5) * 17 + ({k})) % 97 - 48) / 1900.0)"
-Z = "((({k}) * 17 % 11 - 5) / 100.0 + ((e * (({k}) + 3) * 13) % 89 - 44) / 1800.0)"
-V = "(CASE WHEN e % 13 = 0 THEN 0.1 ELSE 1.0 END * ((e * 7 + ({k}) * 13) % 50 + 30) / 100.0)"
+X = "((({k}) * 37 % 21 - 10) / 50.0e0 + ((e * (({k}) + 7) * 31 + ({k}) * ({k})) % 101 - 50) / 2000.0e0 + 0.5e0)"
+Y = "(0.1e0 + ({k}) * 0.025e0 + ((e * (({k}) + 5) * 17 + ({k})) % 97 - 48) / 1900.0e0)"
+Z = "((({k}) * 17 % 11 - 5) / 100.0e0 + ((e * (({k}) + 3) * 13) % 89 - 44) / 1800.0e0)"
+V = "(CASE WHEN e % 13 = 0 THEN 0.1e0 ELSE 1.0e0 END * ((e * 7 + ({k}) * 13) % 50 + 30) / 100.0e0)"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +27,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("clip_id").orderBy("ts0", "e")
     events = table(spark, sf_dir, "events").selectExpr("user_id AS clip_id", "event_id AS e", "ts AS ts0").withColumn("pos", F.row_number().over(order) - 1)
     marks = f"transform(sequence(0, {LANDMARKS - 1}), k -> named_struct('x', CASE WHEN e % 23 = 0 AND k = 15 THEN NULL ELSE {{x}} END, 'y', {{y}}, 'z', {{z}}, 'visibility', {{v}}))".format(x=f"CAST({X.format(k='k')} AS DOUBLE)", y=f"CAST({Y.format(k='k')} AS DOUBLE)", z=f"CAST({Z.format(k='k')} AS DOUBLE)", v=f"CAST({V.format(k='k')} AS DOUBLE)")
-    return events.selectExpr("clip_id", "pos", "pos AS frame_index", "CAST(pos AS DOUBLE) / 30 AS ts", f"CASE WHEN e % 19 = 0 THEN array() ELSE {marks} END AS landmarks")
+    return events.selectExpr("clip_id", "pos", "pos AS frame_index", "pos / 30e0 AS ts", f"CASE WHEN e % 19 = 0 THEN array() ELSE {marks} END AS landmarks")
 
 
 FRAMES_SQL = f"""
 fr AS (
   SELECT clip_id, e, pos, e % 19 = 0 AS blank,
-    CASE WHEN e % 19 = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, {LANDMARKS}), lambda k: {V.format(k="k")})) / {LANDMARKS} END AS vis
+    CASE WHEN e % 19 = 0 THEN 0e0 ELSE list_sum(list_transform(range(0, {LANDMARKS}), lambda k: {V.format(k="k")})) / {LANDMARKS} END AS vis
   FROM (SELECT user_id AS clip_id, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
 )"""
 
@@ -67,7 +67,7 @@ clips AS (
   FROM orders
 )"""
 
-_P = "CASE WHEN (o_orderkey + {c}) % 29 = 0 THEN 0.0 ELSE ((o_orderkey * ({c} * 40 + 17) + o_custkey * 13) % 97) / 10.0 END"
+_P = "CASE WHEN (o_orderkey + {c}) % 29 = 0 THEN 0e0 ELSE ((o_orderkey * ({c} * 40 + 17) + o_custkey * 13) % 97) / 10e0 END"
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

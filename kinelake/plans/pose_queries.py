@@ -73,7 +73,7 @@ QUERIES = {
     "p5_clean_counts": lambda s, d: pose.cleaning_counts(derive.frames(s, d)),
     "p6_normalise": lambda s, d: tidy(pose.normalise(pose.clean(derive.frames(s, d))).select("clip_id", "pos", "ok", F.col("landmarks")[0]["x"].alias("nose_x"), F.col("landmarks")[28]["y"].alias("ankle_y"), F.col("landmarks")[20]["z"].alias("z20"))),
     "p6b_normalise_fallback": lambda s, d: tidy(pose.normalise(pose.clean(derive.frames(s, d)), fallback=True).select("clip_id", "pos", "ok", F.col("landmarks")[27]["x"].alias("ankle_x"))),
-    "p6c_interpolate": lambda s, d: tidy(pose.interpolate(derive.frames(s, d)).select("clip_id", "pos", F.col("landmarks")[15]["x"].alias("wrist_x"), F.col("landmarks")[16]["x"].alias("other_x"))),
+    "p6c_interpolate": lambda s, d: tidy(pose.interpolate(derive.frames(s, d)).select("clip_id", "pos", F.col("landmarks")[15]["x"].alias("wrist_x"), F.col("landmarks")[16]["x"].alias("other_x")), 6),
     "p7_align": lambda s, d: tidy(pose.align(pose.clean(derive.frames(s, d))).select("clip_id", "pos", "ok", F.col("landmarks")[0]["x"].alias("nose_x"), F.col("landmarks")[0]["y"].alias("nose_y"))),
     "p8_resample": lambda s, d: pose.resample(pose.clean(derive.frames(s, d)), 60).select("clip_id", "t", "source_pos", "frame_index"),
     "p19_verify": lambda s, d: pose.verify(derive.frames(s, d)),
@@ -225,7 +225,7 @@ ORACLE = {
     "p5_clean_counts": f"WITH {derive.FRAMES_SQL} SELECT clip_id, count(*) AS before, count(*) FILTER (blank OR vis < 0.3) AS removed, count(*) FILTER (NOT (blank OR vis < 0.3)) AS \"after\" FROM fr GROUP BY ROLLUP (clip_id)",
     "p6_normalise": tidy_sql(_CLEAN + f", hp AS (SELECT *, (x23 + x24) / 2 AS hx, (y23 + y24) / 2 AS hy, (z23 + z24) / 2 AS hz, ({derive.Z.format(k=20)})::DOUBLE AS z20 FROM pt)", f"SELECT clip_id, pos, true AS ok, (x0 - hx) / u AS nose_x, (y28 - hy) / u AS ankle_y, (z20 - hz) / u AS z20 FROM (SELECT *, sqrt(((x11 + x12) / 2 - hx) ** 2 + ((y11 + y12) / 2 - hy) ** 2 + ((z11 + z12) / 2 - hz) ** 2) AS u FROM hp)", ["clip_id", "pos", "ok"], ["nose_x", "ankle_y", "z20"]),
     "p6b_normalise_fallback": tidy_sql(_NORM, "SELECT clip_id, pos, true AS ok, x27 AS ankle_x FROM nm", ["clip_id", "pos", "ok"], ["ankle_x"]),
-    "p6c_interpolate": tidy_sql(derive.FRAMES_SQL + f", pw AS (SELECT clip_id, pos, {derive.point_sql(15)}, {derive.point_sql(16)} FROM fr)" + ", " + ", ".join(f"n{k} AS (SELECT clip_id, pos, x{k}, last_value(x{k} IGNORE NULLS) OVER a AS l, last_value(CASE WHEN x{k} IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS lp, first_value(x{k} IGNORE NULLS) OVER b AS r, first_value(CASE WHEN x{k} IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS rp FROM pw WINDOW a AS (PARTITION BY clip_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY clip_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), i{k} AS (SELECT clip_id, pos, coalesce(x{k}, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE l + (r - l) * (pos - lp) / (rp - lp) END, 0) AS v FROM n{k})" for k in (15, 16)), "SELECT i15.clip_id, i15.pos, i15.v AS wrist_x, i16.v AS other_x FROM i15 JOIN i16 ON i15.clip_id = i16.clip_id AND i15.pos = i16.pos", ["clip_id", "pos"], ["wrist_x", "other_x"]),
+    "p6c_interpolate": tidy_sql(derive.FRAMES_SQL + f", pw AS (SELECT clip_id, pos, {derive.point_sql(15)}, {derive.point_sql(16)} FROM fr)" + ", " + ", ".join(f"n{k} AS (SELECT clip_id, pos, x{k}, last_value(x{k} IGNORE NULLS) OVER a AS l, last_value(CASE WHEN x{k} IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS lp, first_value(x{k} IGNORE NULLS) OVER b AS r, first_value(CASE WHEN x{k} IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS rp FROM pw WINDOW a AS (PARTITION BY clip_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY clip_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), i{k} AS (SELECT clip_id, pos, coalesce(x{k}, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE l + (r - l) * (pos - lp) / (rp - lp) END, 0) AS v FROM n{k})" for k in (15, 16)), "SELECT i15.clip_id, i15.pos, i15.v AS wrist_x, i16.v AS other_x FROM i15 JOIN i16 ON i15.clip_id = i16.clip_id AND i15.pos = i16.pos", ["clip_id", "pos"], ["wrist_x", "other_x"], 6),
     "p7_align": tidy_sql(_CLEAN, "SELECT clip_id, pos, true AS ok, x0 * cos(a) - y0 * sin(a) AS nose_x, x0 * sin(a) + y0 * cos(a) AS nose_y FROM (SELECT *, -atan2(y12 - y11, x12 - x11) AS a FROM pt)", ["clip_id", "pos", "ok"], ["nose_x", "nose_y"]),
     "p8_resample": f"WITH {_CLEAN}, nn AS (SELECT clip_id, count(*) AS n FROM cl GROUP BY clip_id), tt AS (SELECT clip_id, t, CASE WHEN n = 60 THEN t ELSE floor(t * (n - 1) / 59.0)::BIGINT END AS pos FROM nn, range(0, 60) r(t)) SELECT tt.clip_id, t, tt.pos AS source_pos, cl.frame_index FROM tt JOIN cl ON tt.clip_id = cl.clip_id AND tt.pos = cl.pos",
     "p19_verify": f"WITH {derive.FRAMES_SQL} SELECT clip_id, issue, count(*) AS n FROM (SELECT clip_id, CASE WHEN blank THEN 'no_landmarks' WHEN e % 23 = 0 THEN 'bad_coordinate' END AS issue FROM fr) WHERE issue IS NOT NULL GROUP BY ALL",

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.plans import pose_queries
+from kinelake.plans import pose_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(pose_queries.QUERIES)
+    return pose_queries.QUERIES | table_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(pose_queries.ORACLE)
+    return pose_queries.ORACLE | table_queries.ORACLE

@@ -34,5 +34,6 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
                 made = function(part.column(len(keep)).to_pylist())
                 arrays = [pa.array(values, type=ARROW[kind]) for values, kind in zip(made, out.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + arrays, names=[*keep, *out])
+        pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, schema)

@@ -17,7 +17,6 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -38,7 +37,9 @@ MODEL_TYPE, BYTE_FALLBACK = 3, 35
 CHARS_MAP, DUMMY_PREFIX, SQUEEZE, ESCAPE = 2, 3, 4, 5
 
 #: Chunks in the younger half of a task's memory; the older half holds as many.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Chunks handed to the libraries at a time: each one's encoding holds far more than its ids.
+LEARNED = 4096
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -142,9 +143,9 @@ class Codec:
 
         data = Path(path).read_bytes()
         self.model = parse_model(data)
+        # Chunks come to the tokenizer normalised.
         self.tokenizer = build_tokenizer(self.model)
-        self.bare = build_tokenizer(self.model)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.tokenizer.normalizer = normalizers.Sequence([])
         self.chars = normalizers.Precompiled(self.model.chars_map) if self.model.chars_map else None
         # Line ends, which no piece holds, are cut off too: fewer chunks differ then.
         lines = "" if any("\n" in p for p, _, _ in self.model.pieces) else "\n"
@@ -173,10 +174,12 @@ class Codec:
         return [[self.reference.piece_to_id(MARK)] if c == MARK and first else ids if marked else ids[self.anchor :] for c, ids, marked in zip(chunks, found, starts, strict=True)]
 
     def _learn(self, chunks: list[str], verify: bool) -> None:
-        made = [e.ids for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
-        self.young |= {c: array("i", ids).tobytes() for c, ids in zip(chunks, made, strict=True)}
-        if verify:
-            self.differ |= {c for c, ours, other in zip(chunks, made, self._theirs(chunks), strict=True) if ours != other}
+        for at in range(0, len(chunks), LEARNED):
+            part = chunks[at : at + LEARNED]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.young.update((c, array("i", ids).tobytes()) for c, ids in zip(part, made, strict=True))
+            if verify:
+                self.differ |= {c for c, ours, other in zip(part, made, self._theirs(part), strict=True) if ours != other}
 
     def encode(self, texts: list[str], verify: bool = False) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether the sentencepiece library agrees on all its chunks."""
@@ -195,10 +198,16 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    """One codec a model file and task process."""
-    return Codec(path)
+class Carried:
+    """What a broadcast carries to task processes: each makes one codec of it, which goes when the broadcast is no longer used."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.made: Codec | None = None
+
+    def codec(self) -> Codec:
+        self.made = self.made or Codec(self.path)
+        return self.made
 
 
 def encode(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model: str = MODEL, verify: bool = True) -> DataFrame:
@@ -210,9 +219,10 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     names = [c for c in keep if c not in ("ids", "n_tokens", "parity")]
+    shared = docs.sparkSession.sparkContext.broadcast(Carried(model))
 
     def run(values: list) -> list:
-        own = codec(model)
+        own = shared.value.codec()
         texts = [value or "" for value in values]
         ids, same = own.encode(texts, verify)
         return [ids, [len(x) for x in ids], same if verify else [None] * len(texts)]
@@ -222,9 +232,10 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text
 
 def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """keep columns, then the text of the ids; null or no ids give empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Carried(model))
 
     def run(values: list) -> list:
-        return [codec(model).decode([list(v) if v is not None else [] for v in values])]
+        return [shared.value.codec().decode([list(v) if v is not None else [] for v in values])]
 
     return map_column(encoded, keep, ids_col, run, {text_col: "string"})
 
@@ -235,9 +246,10 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts that the model's normaliser changes can't be restored to the letter, nor
     the marker character itself, which decodes to a space in either library.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Carried(model))
 
     def run(values: list) -> list:
-        own = codec(model)
+        own = shared.value.codec()
         texts = [value or "" for value in values]
         ids, same = own.encode(texts, verify=True)
         restored = [a == b for a, b in zip(own.decode([x.tolist() for x in ids]), texts, strict=True)]

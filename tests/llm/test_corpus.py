@@ -188,7 +188,7 @@ def test_sentencepiece(spark, odd):
 
     own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     texts = ["a  b ", "<s> x", "\n漢字 😀\n", " ", "x" * 500]
-    ids, same = sentencepiece_codec.codec(sentencepiece_codec.MODEL).encode(texts, verify=True)
+    ids, same = sentencepiece_codec.Codec(sentencepiece_codec.MODEL).encode(texts, verify=True)
     assert [x.tolist() for x in ids] == own.encode(texts) and all(same)
 
 

@@ -13,8 +13,9 @@ ARROW = {
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
 }
 
-#: Rows handed over together; bounds what a batch of very long texts holds.
+#: Rows handed over together; bounds what a batch of very long texts holds, in the JVM too.
 ROWS = 256
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[list], list], out: dict[str, str]) -> DataFrame:
@@ -22,7 +23,11 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
 
     function returns one list for each column of out. Kept columns pass as Arrow
     arrays, so nulls and large integers survive; df may hold any other columns.
+    The session's Arrow batches are set to ROWS rows if they are larger.
     """
+    settings = df.sparkSession.conf
+    if not 0 < int(settings.get(BATCH_SETTING)) <= ROWS:
+        settings.set(BATCH_SETTING, str(ROWS))
     slim = df.select(*keep, df[column].alias("_value"))
     made_fields = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in out.items())).fields
     schema = StructType(slim.schema.fields[:-1] + made_fields)

@@ -246,3 +246,22 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.mixing(spark, near, SF)
     assert mixed.columns == docs.columns and 0 < mixed.count()
     assert corpus_pipeline.run(spark, SF).where("n_tokens <> size(ids) or not parity").count() == 0
+
+
+def test_recombined_frequent_lines_are_found(spark):
+    """Documents of frequent lines: every run of 50 words that an earlier text has lies in a passage."""
+    rng = np.random.default_rng(3)
+    lines = [[f"l{k}_{i}" for i in range(30)] for k in range(8)]
+    alone = lambda k: [f"u{k}_{i}" for i in range(20)]
+    orders = [[0], [1], [0, 1], [0], [1], [0, 1]] + [rng.integers(0, 8, rng.integers(1, 5)).tolist() for _ in range(60)]
+    texts = [alone(n) + [w for k in order for w in lines[k]] + alone(n + 1000) for n, order in enumerate(orders, 1)]
+    docs = spark.createDataFrame([(n, " ".join(t), "en", "s", 0) for n, t in enumerate(texts, 1)], SCHEMA)
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert any((r["doc_id"], r["other_id"]) == (6, 3) and r["words"] >= 60 for r in found)
+    size, seen = substring_dedup.MIN_WORDS, set()
+    for n, t in enumerate(texts, 1):
+        runs = [tuple(t[i : i + size]) for i in range(len(t) - size + 1)]
+        for i, run in enumerate(runs):
+            if run in seen:
+                assert any(r["doc_id"] == n and r["start"] <= i and i + size <= r["end"] for r in found), (n, i)
+        seen.update(runs)

@@ -4,9 +4,9 @@ Markup is stripped to one line a block element; elements that never hold the
 article (scripts, navigation, adverts, comments ...) leave no line. The lengths of
 the lines are summed over a sliding window; a surge point is where the sum rises
 above a level taken from the page itself, a dive point where it falls to nothing.
-The stretch between surge and dive with the most text is the article. A stretch
-that lies in an ``article`` or ``main`` element stands for all its lines, so that
-short paragraphs at either end stay.
+The stretches between surge and dive and the short lines between them are the
+article. A stretch that lies in ``article`` or ``main`` elements stands for all
+their lines, so that short paragraphs at either end stay.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 
 #: Lines in a window.
 WINDOW = 3
+#: A line counts for this many median lines at most; stretches and containers with
+#: this part of the largest one's text belong to the article too.
+LONG, COMPARABLE = 4, 4
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -105,11 +108,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
 
 def between_surge_and_dive(lengths: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
-    """First and last line + 1 of the stretch with the most text."""
-    sums = np.convolve(lengths, np.ones(window, dtype=np.int64))[window - 1 :]  # of the lines from i on
+    """First and last line + 1 of the stretches with text, and of what lies between them."""
+    # No line counts for more than LONG times the median line, so that a huge one leaves the others' level.
+    capped = np.minimum(lengths, int(LONG * np.median(lengths)) + 1)
+    sums = np.convolve(capped, np.ones(window, dtype=np.int64))[window - 1 :]  # of the lines from i on
     # A surge needs at least the page's mean window, and a quarter of its largest.
     level = min(sums.mean(), sums.max() / 4)
-    best, stretch, i, n = 0, (0, len(lengths)), 0, len(lengths)
+    stretches: list[tuple[int, int, int]] = []
+    i, n = 0, len(lengths)
     while i < n:
         if sums[i] < level or not lengths[i]:
             i += 1
@@ -118,10 +124,14 @@ def between_surge_and_dive(lengths: np.ndarray, window: int = WINDOW) -> tuple[i
         while stop < n and sums[stop] >= level:
             stop += 1
         stop = min(n, stop + window - 1)
-        if (total := int(lengths[i:stop].sum())) > best:
-            best, stretch = total, (i, stop)
+        stretches.append((i, stop, int(capped[i:stop].sum())))
         i = stop
-    return stretch
+    if not stretches:
+        return 0, n
+    # Boilerplate left no line; stretches of some weight are parts of one article.
+    least = max(weight for _, _, weight in stretches) / COMPARABLE
+    parts = [(first, last) for first, last, weight in stretches if weight >= least]
+    return parts[0][0], parts[-1][1]
 
 
 def main_text(page: str | None) -> str:
@@ -133,16 +143,16 @@ def main_text(page: str | None) -> str:
     weight: dict[int, int] = {}
     for text, container in lines[first:last]:
         weight[container] = weight.get(container, 0) + len(text)
-    held = max((c for c in weight if c), key=lambda c: (weight[c], -c), default=0)
-    # Text of an article outweighs loose text around it unless that is far longer.
-    if not held and any(c for _, c in lines):
-        whole: dict[int, int] = {}
-        for text, c in lines:
+    whole: dict[int, int] = {}
+    for text, c in lines:
+        if c:
             whole[c] = whole.get(c, 0) + len(text)
-        inside = max((c for c in whole if c), key=lambda c: (whole[c], -c))
-        held = inside if 4 * whole[inside] >= sum(weight.values()) else 0
-    kept = [text for text, c in lines if c == held] if held else [text for text, _ in lines[first:last]]
-    return " ".join(kept)
+    # Text of articles outweighs loose text around them unless that is far longer.
+    most = max(whole.values(), default=0)
+    if not whole or (not any(weight.get(c) for c in whole) and 4 * most < sum(weight.values())):
+        return " ".join(text for text, _ in lines[first:last])
+    held = {c for c, n in whole.items() if COMPARABLE * n >= most}
+    return " ".join(text for text, c in lines if c in held)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -265,3 +265,16 @@ def test_recombined_frequent_lines_are_found(spark):
             if run in seen:
                 assert any(r["doc_id"] == n and r["start"] <= i and i + size <= r["end"] for r in found), (n, i)
         seen.update(runs)
+
+
+def test_html_without_containers_and_with_several():
+    def page(lengths):
+        return "".join(f"<p>{f'w{i} ' * (n // 3)}</p>" for i, n in enumerate(lengths))
+
+    def kept(text):
+        return {int(w[1:]) for w in text.split()}
+
+    assert kept(html_extract.main_text(page([100] * 4 + [20000] + [100] * 4))) == set(range(9))
+    assert kept(html_extract.main_text(page([300] * 6 + [6] * 12 + [300] * 5))) == set(range(23))
+    several = "<nav>Home</nav>" + "".join(f"<article><p>{f'w{i} ' * 60}</p></article>" for i in range(3)) + "<footer>f</footer>"
+    assert kept(html_extract.main_text(several)) == {0, 1, 2}

@@ -4,7 +4,8 @@ Slot i of the mix gets the point frac(i * golden ratio), in exact 32-bit integer
 arithmetic; the point's place among the cumulative targets names the slot's
 source. Slots are ranked within their source and joined with that source's
 shuffled blocks of equal token counts; the ranks wrap around, so a source with
-few tokens is repeated. All rankings are two-level (bucket sums, then prefix sums
+few tokens is repeated. A source too small for slots takes its target's words one
+by one instead. All rankings are two-level (bucket sums, then prefix sums
 over a bounded number of buckets), so that a source with a third of all rows is
 never sorted in one task.
 """
@@ -26,6 +27,8 @@ BUCKET_HEX = 3
 GOLDEN, MODULUS = 2654435769, 2**32
 #: A block has at most this many tokens, and the mix at least this many slots.
 BLOCK_TOKENS, LEAST_SLOTS = 1024, 50_000
+#: A source of fewer blocks than this takes exactly its target, in words.
+LEAST_BLOCKS = 1024
 #: Slots ranked together; cells that u-space is cut into for the interval join.
 SLOT_CHUNK, CELLS = 65_536, 4096
 
@@ -90,6 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(BLOCK_TOKENS, total // LEAST_SLOTS))
     slots = -(-total // block)
+    small = F.col("source_size") < LEAST_BLOCKS * block
 
     # Place every document on its source's shuffled line of tokens.
     starts = _prefix(by_bucket, ["source"], "bucket", "bucket_size", "bucket_start").drop("bucket_size")
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(counts, ["sid", "chunk"])
         .join(F.broadcast(sources.select("sid", "source_size")) if sources.count() <= 100_000 else sources.select("sid", "source_size"), "sid")
         .withColumn("rank", F.col("before") + F.col("rank_in"))
-        .where(F.col("rank") < blocks * max_repeats)
+        .where((F.col("rank") < blocks * max_repeats) & ~small)
     )
     uses = ranked.groupBy("sid", F.pmod(F.col("rank"), blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
@@ -132,15 +136,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     info = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target")
     known = placed.join(info, placed["source"].eqNullSafe(F.col("s_source"))).drop("s_source", "source")
     lies = (
-        known.where("size > 0")
+        known.where((F.col("size") > 0) & ~small)
         .select("sid", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
         .withColumn("overlap", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
     )
     taken = lies.join(uses, ["sid", "block"]).groupBy("sid", F.col("start").alias("t_start")).agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    # A small source: whole rounds over its line of tokens, then a part of one from the start on.
+    words = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
+    rest = F.least(F.greatest(F.pmod(words, F.col("source_size")) - F.col("start"), F.lit(0)), F.col("size"))
+    exact = known.where((F.col("size") > 0) & small).select("doc_id", "size", "source_size", "target", (F.floor(words / F.col("source_size")) * F.col("size") + rest).cast("long").alias("taken"))
     # (sid, start) names a document with words: documents of a source never overlap.
     return (
-        known.where("size > 0").withColumnRenamed("start", "t_start").join(taken, ["sid", "t_start"], "left")
+        known.where((F.col("size") > 0) & ~small).withColumnRenamed("start", "t_start").join(taken, ["sid", "t_start"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        .unionByName(exact)
         .unionByName(known.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     )
 

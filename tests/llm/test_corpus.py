@@ -278,3 +278,11 @@ def test_html_without_containers_and_with_several():
     assert kept(html_extract.main_text(page([300] * 6 + [6] * 12 + [300] * 5))) == set(range(23))
     several = "<nav>Home</nav>" + "".join(f"<article><p>{f'w{i} ' * 60}</p></article>" for i in range(3)) + "<footer>f</footer>"
     assert kept(html_extract.main_text(several)) == {0, 1, 2}
+
+
+def test_small_sources_meet_their_targets(spark):
+    """300 words and 2.1 blocks in a corpus of over 51 million words."""
+    big = spark.range(52, numPartitions=8).selectExpr("id AS doc_id", "repeat('w ', 1000000) AS text", "'en' AS lang", "'a' AS source", "0L AS n_chars")
+    tail = spark.createDataFrame([(100 + i, "x " * 100, "en", "b", 0) for i in range(3)] + [(200 + i, "y " * 430, "en", "c", 0) for i in range(5)], SCHEMA)
+    got = {r["source_size"]: (r["taken"], r["target"]) for r in mixing.mix(big.unionByName(tail)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert got[300] == (900, 900.0) and got[2150] == (6450, 6450.0)

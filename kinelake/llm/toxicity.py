@@ -41,9 +41,9 @@ SEPARATOR = re.compile(r"[ .\-_*·]")
 TRIPLE = re.compile(r"(.)\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Bounds of what is learned: labelled rows (on average), features, word starts, characters of the trigram model.
+#: Bounds of what is learned: labelled rows (on average), features, word starts, trigrams that a broadcast holds.
 TRAIN_ROWS, FEATURES, STARTS, SUPPORT = 24_000, 4000, (4, 5, 6, 7), 3
-LM_ROWS, TRIGRAMS = 2000, 60_000
+TRIGRAMS = 500_000
 REMEMBERED = 100_000
 
 
@@ -154,21 +154,21 @@ def _sampled(rows: DataFrame, bound: int, salt: str) -> DataFrame:
 
 
 def character_model(texts: DataFrame) -> dict[str, int]:
-    """Counts of the TRIGRAMS most frequent character trigrams of words in a bounded sample of texts."""
+    """Counts of the character trigrams of words in all texts; of the TRIGRAMS most frequent ones, if there are more."""
 
     def run(values: list) -> list:
-        out = []
+        words: Counter[str] = Counter()
         for value in values:
-            grams: dict[str, int] = {}
-            for word in WORD.findall((value or "").lower()):
-                padded = f"  {word} "
-                for i in range(len(padded) - 2):
-                    grams[padded[i : i + 3]] = grams.get(padded[i : i + 3], 0) + 1
-            out.append([f"{g}{n}" for g, n in sorted(grams.items())])
-        return [out]
-
-    each = map_column(texts, [], "text", run, {"gram": "array<string>"}).select(F.explode("gram").alias("g"))
-    counted = each.groupBy(F.substring("g", 1, 3).alias("gram")).agg(F.sum(F.expr("cast(substring(g, 4) AS bigint)")).alias("n"))
+            words.update(WORD.findall((value or "").lower()))
+        grams: dict[str, int] = {}
+        for word, n in words.items():
+            padded = f"  {word} "
+            for i in range(len(padded) - 2):
+                gram = padded[i : i + 3]
+                grams[gram] = grams.get(gram, 0) + n
+        return [list(grams), list(grams.values())]
+
+    counted = map_column(texts, [], "text", run, {"gram": "string", "n": "long"}).groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: int(r["n"]) for r in counted.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()}
 
 
@@ -247,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = texts.join(side, "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.max("label").alias("label"), F.max("text").alias("text"), F.min("doc_id").alias("doc_id"))
     train = settle(joined)
-    grams = character_model(_sampled(train, LM_ROWS, "characters"))
+    grams = character_model(texts)
     shared = docs.sparkSession.sparkContext.broadcast(Model(grams, {}, 0.0))
 
     def run(values: list) -> list:

@@ -286,3 +286,11 @@ def test_small_sources_meet_their_targets(spark):
     tail = spark.createDataFrame([(100 + i, "x " * 100, "en", "b", 0) for i in range(3)] + [(200 + i, "y " * 430, "en", "c", 0) for i in range(5)], SCHEMA)
     got = {r["source_size"]: (r["taken"], r["target"]) for r in mixing.mix(big.unionByName(tail)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
     assert got[300] == (900, 900.0) and got[2150] == (6450, 6450.0)
+
+
+def test_character_model_counts_all_texts(spark):
+    """More texts than were once sampled; one of them, without a label, has a rare word."""
+    rows = [(i, f"plain words {i}", "en", "s", 0) for i in range(5000)] + [(5000, "zyx zyx Éab", "xx", "s", 0)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    grams = toxicity.learn(spark.createDataFrame(rows, SCHEMA), labels).grams
+    assert grams["zyx"] == 2 and grams["éab"] == 1 and grams["pla"] == 5000

@@ -1,7 +1,7 @@
 """Toxicity of restored text: noisy-channel deobfuscation, then a linear score.
 
-Spans that may be disguised - letters mixed with digits and signs, letters set
-apart one by one, letters repeated three times or more - become lattices of what
+Spans that may be disguised - any with a digit or sign that stands for a letter,
+letters set apart one by one, letters that are repeated - become lattices of what
 each character may stand for. A Viterbi search under a character trigram model
 finds the likeliest reading; all other words stay as they are, since their
 lattice has one path. Words of the restored text, and their first letters, then
@@ -32,13 +32,14 @@ READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 DISGUISE, LITERAL, DROPPED = 1.0, 3.0, 0.4
 SIGNS = re.escape("".join(READINGS))
 SPAN = re.compile(
-    rf"(?<![^\W_])[^\W\d_](?:[ .\-_*·][^\W\d_{SIGNS}]|[ .\-_*·][{SIGNS}]){{2,}}(?![^\W_])"
-    rf"|(?:(?<![^\W_])[^\W_{SIGNS}]+)?[{SIGNS}]+(?=[^\W\d_])(?:[^\W_]|[{SIGNS}])*"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+    rf"(?<![^\W_])(?:[^\W\d_]|[{SIGNS}])(?:[ .\-_*·][^\W\d_{SIGNS}]|[ .\-_*·][{SIGNS}]){{2,}}(?![^\W_])"
+    rf"|(?:(?<![^\W_])[^\W_{SIGNS}]+)?[{SIGNS}](?:[^\W_]|[{SIGNS}])*"
+    r"|[^\W\d_]*([^\W\d_])\1[^\W\d_]*"
 )
-SPACED = re.compile(rf"(?<![^\W_])[^\W\d_](?: [^\W\d_{SIGNS}]| [{SIGNS}]){{2,}}(?![^\W_])")
+SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:\s+[^\W\d_{SIGNS}]|\s+[{SIGNS}]){{2,}}(?![^\W_])")
 SEPARATOR = re.compile(r"[ .\-_*·]")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
+TRAILING = "".join(READINGS)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Bounds of what is learned: labelled rows (on average), features, word starts, trigrams that a broadcast holds.
@@ -71,7 +72,7 @@ class Restorer:
 
     def restore(self, span: str) -> str:
         """Likeliest reading of one span, in lower case."""
-        key = span.lower()
+        key = " ".join(span.lower().split())
         if key not in self.memory:
             if len(self.memory) > REMEMBERED:
                 self.memory.clear()
@@ -81,12 +82,14 @@ class Restorer:
     def words(self, token: str) -> Iterable[str]:
         """Words of a token without white space, and of its restored spans."""
         bare = token.strip(".,;:?()\"'")
-        if bare.isalpha() and not TRIPLE.search(bare):
+        if bare.isalpha() and not DOUBLE.search(bare):
             return (bare,)  # one path through its lattice
         if token not in self.tokens:
             if len(self.tokens) > REMEMBERED:
                 self.tokens.clear()
-            restored = (word for m in SPAN.finditer(token) for word in WORD.findall(self.restore(m[0])))
+            # Signs at the end are read both ways: as letters, and as none.
+            spans = {form for m in SPAN.finditer(token) for form in (m[0], m[0].rstrip(TRAILING)) if form}
+            restored = (word for span in spans for word in WORD.findall(self.restore(span)))
             self.tokens[token] = frozenset(WORD.findall(token)).union(restored)
         return self.tokens[token]
 

@@ -294,3 +294,16 @@ def test_character_model_counts_all_texts(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     grams = toxicity.learn(spark.createDataFrame(rows, SCHEMA), labels).grams
     assert grams["zyx"] == 2 and grams["éab"] == 1 and grams["pla"] == 5000
+
+
+def test_disguises_at_the_end_doubled_and_spaced():
+    grams = {}
+    for word in ["idiot", "worthless", "stupid", "idol", "words", "less"]:
+        for i in range(len(word) + 1):
+            gram = f"  {word} "[i : i + 3]
+            grams[gram] = grams.get(gram, 0) + 100
+    restorer = toxicity.Restorer(grams)
+    for text, word in (("idio7", "idiot"), ("worthle$$", "worthless"), ("worthle55", "worthless"), ("stuupid", "stupid"), ("1d10t!", "idiot"), ("idiot!", "idiot")):
+        assert word in toxicity.words_of(text, restorer), text
+    for text in ("1 d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "so 1 d 1 0 7 ."):
+        assert "idiot" in toxicity.words_of(text, restorer), text

@@ -13,21 +13,26 @@ ARROW = {
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
 }
 
-#: Rows handed over together; bounds what a batch of very long texts holds, in the JVM too.
+#: Rows handed to a function together.
 ROWS = 256
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch that the JVM makes, so that very long texts don't fill its memory.
+#: Other queries of the session keep their number of rows a batch.
+BYTES_SETTING, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[list], list], out: dict[str, str]) -> DataFrame:
+def _bound_batches(df: DataFrame) -> None:
+    settings = df.sparkSession.conf
+    settings.set(BYTES_SETTING, settings.get(BYTES_SETTING, str(BYTES)))
+
+
+def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[list], list], out: dict[str, str], release: Callable[[], None] | None = None) -> DataFrame:
     """The columns keep, then those of out, which function makes from a list of column's values.
 
     function returns one list for each column of out. Kept columns pass as Arrow
     arrays, so nulls and large integers survive; df may hold any other columns.
-    The session's Arrow batches are set to ROWS rows if they are larger.
+    release drops what function remembers; a task calls it at its end.
     """
-    settings = df.sparkSession.conf
-    if not 0 < int(settings.get(BATCH_SETTING)) <= ROWS:
-        settings.set(BATCH_SETTING, str(ROWS))
+    _bound_batches(df)
     slim = df.select(*keep, df[column].alias("_value"))
     made_fields = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in out.items())).fields
     schema = StructType(slim.schema.fields[:-1] + made_fields)
@@ -39,6 +44,23 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
                 made = function(part.column(len(keep)).to_pylist())
                 arrays = [pa.array(values, type=ARROW[kind]) for values, kind in zip(made, out.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + arrays, names=[*keep, *out])
+        if release is not None:
+            release()
         pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, function: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows of df for which function, given a list of column's values, says true; all columns untouched."""
+    _bound_batches(df)
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(function(part.column(place).to_pylist()), type=pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, df.schema)

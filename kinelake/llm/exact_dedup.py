@@ -9,15 +9,18 @@ digests are pre-aggregated and shuffled in the ordinary way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.session import settle
 
+#: Types of columns that a row's hash takes in.
+HASHED = frozenset(("string", "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "decimal", "binary"))
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Ids that fit a broadcast: 2 million longs are 16 MB.
-BROADCAST_IDS = 2_000_000
+#: Rows of an id and a digest that fit a broadcast: some 50 MB once hashed.
+BROADCAST_IDS = 500_000
 
 
 def ascii_lower(text):
@@ -25,6 +28,21 @@ def ascii_lower(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def digest_groups(rows: DataFrame, support: float, *made: Column) -> DataFrame:
+    """rows (with a digest column) and, beside each, the aggregates made of its digest's rows.
+
+    Digests that at least ``support`` of all rows have are resolved by a broadcast,
+    the others by a shuffle. rows is read several times: settle it before.
+    """
+    total = rows.count()
+    frequent = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    # At most 1 / support candidates, so the verified winners fit any broadcast.
+    counted = rows.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(*made, F.count(F.lit(1)).alias("_n"))
+    winners = settle(counted.where(F.col("_n") >= F.lit(max(2.0, support * total))).drop("_n"))
+    cold = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    return rows.join(F.broadcast(winners), "digest").unionByName(cold.join(cold.groupBy("digest").agg(*made), "digest"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.002) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -34,26 +52,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept); rows that repeat both id and text count one by one in group_size and
     share the decision. Extra columns are ignored; an empty table gives no rows.
     """
-    rows = settle(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"),
-        )
-    )
-    total = rows.count()
-    frequent = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    groups = lambda part: part.groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    # At most 1 / support candidates, so the verified winners fit any broadcast.
-    winners = settle(
-        groups(rows.join(F.broadcast(frequent), "digest", "left_semi")).where(
-            F.col("group_size") >= F.lit(max(2.0, support * total))
-        )
-    )
-    hot = rows.join(F.broadcast(winners), "digest")
-    cold = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    resolved = hot.unionByName(cold.join(groups(cold), "digest"))
+    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest")))
+    resolved = digest_groups(rows, support, F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return resolved.select(
         "doc_id",
         "keep_id",
@@ -63,18 +63,50 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id isn't in dropped; broadcast below a checked size only."""
-    dropped = dropped.select(F.col(id_col).alias("_dropped")).where("_dropped is not null")
+def without_keys(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose keys (name: expression over docs) aren't among those of dropped.
+
+    Nulls equal nulls. dropped is broadcast below a checked size only. The rows
+    travel as one struct, so no column of docs can clash with the keys.
+    """
     if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    packed = docs.select(F.struct("*").alias("_row"), *[key.alias(f"_{name}") for name, key in keys.items()])
+    same = [packed[f"_{name}"].eqNullSafe(dropped[name]) for name in keys]
+    return packed.join(dropped, same, "left_anti").select("_row.*")
+
+
+def one_each(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Of rows that repeat the keys, the one with the largest hash of its columns; others as they are.
+
+    Repeats are looked for first, on the keys alone: mostly there are none.
+    """
+    names = [f"_{name}" for name in keys]
+    packed = docs.select(F.struct("*").alias("_row"), *[key.alias(f"_{name}") for name, key in keys.items()])
+    repeated = settle(packed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    if repeated.isEmpty():
+        return docs
+    if repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        repeated = F.broadcast(repeated)
+    same = [packed[name].eqNullSafe(repeated[name]) for name in names]
+    hashed = F.xxhash64(*[F.col(f"_row.`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() in HASHED])
+    one = packed.join(repeated, same, "left_semi").groupBy(*names).agg(F.max_by("_row", hashed).alias("_row"))
+    return packed.join(repeated, same, "left_anti").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.002) -> DataFrame:
-    """docs without the rows that exact_groups doesn't keep; columns unchanged."""
-    dropped = settle(exact_groups(docs, id_col, text_col, support).where("not kept").select(F.col("doc_id").alias(id_col)))
-    return without_ids(docs, dropped, id_col)
+    """docs with one row of each group of equal texts: one with the largest id; columns unchanged.
+
+    Decided by text and id together, so rows that repeat an id with another text
+    stay. A null id stays only if its whole group has none; null text counts as
+    empty. Of rows that repeat both text and id one stays (see ``one_each``). Other
+    columns may have any names. An empty table stays empty.
+    """
+    groups = settle(exact_groups(docs, id_col, text_col, support))
+    keys = {"id": F.col(id_col), "digest": F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256))}
+    kept = without_keys(docs, keys, groups.where("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct())
+    counts = groups.agg(F.count_if("kept").alias("rows"), F.count_distinct(F.when(F.col("kept") & (F.col("group_size") > 1), F.col("text_sha256"))).alias("groups"), F.count_if(F.col("kept") & (F.col("group_size") > 1)).alias("shared")).first()
+    return one_each(kept, keys) if counts["shared"] > counts["groups"] else kept
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.llm.exact_dedup import BROADCAST_IDS, one_each
 from kinelake.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -29,6 +30,8 @@ GOLDEN, MODULUS = 2654435769, 2**32
 BLOCK_TOKENS, LEAST_SLOTS = 1024, 50_000
 #: A source of fewer blocks than this takes exactly its target, in words.
 LEAST_BLOCKS = 1024
+#: Sources whose buckets, and sources that, fit a broadcast.
+FEW_SOURCES, MOST_SOURCES = 50, 100_000
 #: Slots ranked together; cells that u-space is cut into for the interval join.
 SLOT_CHUNK, CELLS = 65_536, 4096
 
@@ -69,6 +72,9 @@ def _prefix(df: DataFrame, keys: list[str], by: str, value: str, name: str) -> D
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
 
 
+RESULT = ("doc_id", "size", "source_size", "target", "taken")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
@@ -77,13 +83,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each take their own share; equal rows are laid side by side, so the result
     doesn't depend on their order. A slot beyond max_repeats passes over its
     source stays empty, so that no document exceeds max_repeats times its size.
+    Extra columns are ignored; an empty table gives no rows.
     """
+    return _mix(docs, id_col, text_col, source_col, seed, max_repeats).select(*RESULT)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, max_repeats: int) -> DataFrame:
+    """What ``mix`` returns, with the source and a hash of the text, which tell rows that repeat an id apart."""
     rows = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("order_key"),
+            F.xxhash64(F.col(text_col)).alias("text_key"),
         ).withColumn("bucket", F.substring("order_key", 1, BUCKET_HEX))
     )
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -97,10 +110,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # Place every document on its source's shuffled line of tokens.
     starts = _prefix(by_bucket, ["source"], "bucket", "bucket_size", "bucket_start").drop("bucket_size")
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     same = rows["source"].eqNullSafe(starts["source"]) & (rows["bucket"] == starts["bucket"])
+    few = sources.count() <= FEW_SOURCES
     placed = (
-        rows.join(starts, same)
+        rows.join(F.broadcast(starts) if few else starts, same)
         .select(rows["*"], "bucket_start")
         .withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
         .drop("bucket_start", "bucket", "order_key")
@@ -120,21 +134,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ).withColumn("cell", F.floor(F.col("u") / F.lit(MODULUS // CELLS)))
     drawn = points.join(spans, "cell").where("u >= lo and u < hi").select("sid", "slot", F.floor(F.col("slot") / F.lit(SLOT_CHUNK)).alias("chunk"))
 
+    few_sources = lambda *columns: F.broadcast(sources.select(*columns)) if sources.count() <= MOST_SOURCES else sources.select(*columns)
+
     # Rank slots per source: counts of chunks, then ranks inside a chunk.
     counts = _prefix(drawn.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n")), ["sid"], "chunk", "n", "before").drop("n")
     blocks = F.ceil(F.col("source_size") / F.lit(block))
     ranked = (
         drawn.withColumn("rank_in", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1)
         .join(counts, ["sid", "chunk"])
-        .join(F.broadcast(sources.select("sid", "source_size")) if sources.count() <= 100_000 else sources.select("sid", "source_size"), "sid")
+        .join(few_sources("sid", "source_size"), "sid")
         .withColumn("rank", F.col("before") + F.col("rank_in"))
         .where((F.col("rank") < blocks * max_repeats) & ~small)
     )
     uses = ranked.groupBy("sid", F.pmod(F.col("rank"), blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
     # A document takes, of each block it lies in, its overlap times the block's uses.
-    info = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target")
-    known = placed.join(info, placed["source"].eqNullSafe(F.col("s_source"))).drop("s_source", "source")
+    info = few_sources(F.col("source").alias("s_source"), "sid", "source_size", "target")
+    known = placed.join(info, placed["source"].eqNullSafe(F.col("s_source"))).drop("s_source")
     lies = (
         known.where((F.col("size") > 0) & ~small)
         .select("sid", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
@@ -144,27 +160,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # A small source: whole rounds over its line of tokens, then a part of one from the start on.
     words = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
     rest = F.least(F.greatest(F.pmod(words, F.col("source_size")) - F.col("start"), F.lit(0)), F.col("size"))
-    exact = known.where((F.col("size") > 0) & small).select("doc_id", "size", "source_size", "target", (F.floor(words / F.col("source_size")) * F.col("size") + rest).cast("long").alias("taken"))
+    exact = known.where((F.col("size") > 0) & small).select("source", "text_key", "doc_id", "size", "source_size", "target", (F.floor(words / F.col("source_size")) * F.col("size") + rest).cast("long").alias("taken"))
     # (sid, start) names a document with words: documents of a source never overlap.
     return (
         known.where((F.col("size") > 0) & ~small).withColumnRenamed("start", "t_start").join(taken, ["sid", "t_start"], "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        .select("source", "text_key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
         .unionByName(exact)
-        .unionByName(known.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+        .unionByName(known.where("size = 0").select("source", "text_key", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     )
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, in whole documents: each row as often as it is taken, to the nearest
     whole number of times (only the document at a source's end is taken in part).
-    Wordless documents can't be taken. Columns as in docs."""
-    copies = settle(
-        mix(docs, id_col, text_col, source_col).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")).where("copies > 0").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("copies"))
-    )
-    if copies.count() <= 1_000_000:  # 12 bytes a row
+
+    Columns as in docs, whatever their names. Null ids are documents like others;
+    rows that repeat an id with another text or source are told apart. Of rows that
+    repeat id, text and source, one (see ``one_each``) stands for all and is taken as
+    often as they are together. Null, empty and wordless texts can't be taken. An
+    empty table stays empty.
+    """
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    keys = ["doc_id", "source", "text_key"]
+    counted = _mix(docs, id_col, text_col, source_col, "mix", MAX_REPEATS).groupBy(*keys).agg(F.sum(times).cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    copies = settle(counted.where("copies > 0"))
+    of_row = {"doc_id": F.col(id_col), "source": F.col(source_col), "text_key": F.xxhash64(F.col(text_col))}
+    if not copies.where("rows > 1").isEmpty():
+        docs = one_each(docs, of_row)
+    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
-    mixed = docs.where(word_count(F.col(text_col)) > 0).join(copies, docs[id_col] == F.col("_mixed"))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_row"), *[key.alias(f"_{name}") for name, key in of_row.items()])
+    mixed = packed.join(copies, [packed[f"_{name}"].eqNullSafe(copies[name]) for name in keys])
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.arrow import map_column
+from kinelake.llm.arrow import keep_rows, map_column
 from kinelake.llm.exact_dedup import BROADCAST_IDS
 from kinelake.llm.language_id import held_out
 from kinelake.session import settle
@@ -34,7 +34,7 @@ SIGNS = re.escape("".join(READINGS))
 SPAN = re.compile(
     rf"(?<![^\W_])(?:[^\W\d_]|[{SIGNS}])(?:[ .\-_*·][^\W\d_{SIGNS}]|[ .\-_*·][{SIGNS}]){{2,}}(?![^\W_])"
     rf"|(?:(?<![^\W_])[^\W_{SIGNS}]+)?[{SIGNS}](?:[^\W_]|[{SIGNS}])*"
-    r"|[^\W\d_]*([^\W\d_])\1[^\W\d_]*"
+    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
 )
 SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:\s+[^\W\d_{SIGNS}]|\s+[{SIGNS}]){{2,}}(?![^\W_])")
 SEPARATOR = re.compile(r"[ .\-_*·]")
@@ -45,7 +45,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learned: labelled rows (on average), features, word starts, trigrams that a broadcast holds.
 TRAIN_ROWS, FEATURES, STARTS, SUPPORT = 24_000, 4000, (4, 5, 6, 7), 3
 TRIGRAMS = 500_000
-REMEMBERED = 100_000
+#: Tokens and spans that a process remembers, and characters of one.
+REMEMBERED, LONG = 100_000, 48
 
 
 class Restorer:
@@ -73,6 +74,8 @@ class Restorer:
     def restore(self, span: str) -> str:
         """Likeliest reading of one span, in lower case."""
         key = " ".join(span.lower().split())
+        if len(key) > LONG:
+            return self._search(key)
         if key not in self.memory:
             if len(self.memory) > REMEMBERED:
                 self.memory.clear()
@@ -84,14 +87,17 @@ class Restorer:
         bare = token.strip(".,;:?()\"'")
         if bare.isalpha() and not DOUBLE.search(bare):
             return (bare,)  # one path through its lattice
-        if token not in self.tokens:
-            if len(self.tokens) > REMEMBERED:
-                self.tokens.clear()
+        found = self.tokens.get(token)
+        if found is None:
             # Signs at the end are read both ways: as letters, and as none.
             spans = {form for m in SPAN.finditer(token) for form in (m[0], m[0].rstrip(TRAILING)) if form}
             restored = (word for span in spans for word in WORD.findall(self.restore(span)))
-            self.tokens[token] = frozenset(WORD.findall(token)).union(restored)
-        return self.tokens[token]
+            found = frozenset(WORD.findall(token)).union(restored)
+            if len(token) <= LONG:
+                if len(self.tokens) > REMEMBERED:
+                    self.tokens.clear()
+                self.tokens[token] = found
+        return found
 
     def _search(self, span: str) -> str:
         spaced = SEPARATOR.search(span) is not None
@@ -215,11 +221,12 @@ class Model:
 
     def _telling(self, token: str, restorer: Restorer) -> tuple[str, ...]:
         """Words of a token that the model knows, or whose start it knows."""
-        if token not in self.telling:
-            if len(self.telling) > 3 * REMEMBERED:
+        found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
+        if len(token) <= LONG:
+            if len(self.telling) > 2 * REMEMBERED:
                 self.telling.clear()
-            self.telling[token] = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
-        return self.telling[token]
+            self.telling[token] = found
+        return found
 
     def score(self, text: str | None) -> float:
         restorer, lower = self.restorer(), (text or "").lower()
@@ -300,7 +307,11 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose predicted label is 1; columns unchanged."""
-    model = learn(docs, labels, id_col, text_col)
-    marked = docs.withColumn("_text", F.col(text_col))
-    return score(marked, model, docs.columns, "_text").where("predicted = 0").select(*docs.columns)
+    """docs without the rows whose predicted label is 1; columns unchanged, whatever their names.
+
+    Each row is judged by itself over its whole text: null and empty texts stay,
+    rows that repeat an id are judged by their own texts, null ids have no label
+    to learn from but are judged alike. An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
+    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values])

@@ -1,12 +1,13 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped to one line a block element; elements that never hold the
-article (scripts, navigation, adverts, comments ...) leave no line. The lengths of
-the lines are summed over a sliding window; a surge point is where the sum rises
-above a level taken from the page itself, a dive point where it falls to nothing.
-The stretches between surge and dive and the short lines between them are the
-article. A stretch that lies in ``article`` or ``main`` elements stands for all
-their lines, so that short paragraphs at either end stay.
+article (navigation, adverts, comments ...) leave empty lines. The lengths of the
+lines are summed over a sliding window. A stretch of text surges where the sum rises
+above a level taken from the page itself, and reaches from there, both ways, to the
+dive points, where the sum falls to nothing or stays far under the level; headings
+and short paragraphs beside long ones so belong to it. The stretches of weight, and
+what lies between them, are the article. ``article`` and ``main`` elements only add
+weight: a light stretch in the same one as a heavy stretch counts as heavy.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ CONTAINERS = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-#: Lines in a window.
-WINDOW = 3
-#: A line counts for this many median lines at most; stretches and containers with
-#: this part of the largest one's text belong to the article too.
+#: Lines in a window; sums under a FAR part of the level over LASTING lines are a dive, too.
+WINDOW, FAR, LASTING = 3, 4, 6
+#: A line counts for this many median lines at most; stretches with this part of the
+#: largest one's text belong to the article too.
 LONG, COMPARABLE = 4, 4
+#: Skipped elements that a reader doesn't see: they leave no empty lines.
+UNSEEN = frozenset("script style noscript template title option".split())
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -48,8 +51,8 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, container) of each block with text; container 0 is none, else the number
-    of the outermost article or main element."""
+    """(text, container) of each block with text, and WINDOW empty ones for each skipped element
+    that can be seen; container 0 is none, else the number of the outermost article or main element."""
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     depth = containers = 0  # open article and main elements; those begun so far
@@ -95,6 +98,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if not alone and _boilerplate(tag, attributes or "", depth > 0):
             flush()
+            if tag not in UNSEEN:
+                lines.extend([("", containers if depth else 0)] * WINDOW)
             skipping, nested = tag, 1
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -107,60 +112,52 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def between_surge_and_dive(lengths: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
-    """First and last line + 1 of the stretches with text, and of what lies between them."""
+def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line, last line + 1, weight) of the stretches between surge and dive points; weight 0 if one never surges."""
+    filled = lengths[lengths > 0]
+    if not len(filled):
+        return []
     # No line counts for more than LONG times the median line, so that a huge one leaves the others' level.
-    capped = np.minimum(lengths, int(LONG * np.median(lengths)) + 1)
-    sums = np.convolve(capped, np.ones(window, dtype=np.int64))[window - 1 :]  # of the lines from i on
-    # A surge needs at least the page's mean window, and a quarter of its largest.
-    level = min(sums.mean(), sums.max() / 4)
-    stretches: list[tuple[int, int, int]] = []
-    i, n = 0, len(lengths)
-    while i < n:
-        if sums[i] < level or not lengths[i]:
-            i += 1
-            continue
-        stop = i
-        while stop < n and sums[stop] >= level:
-            stop += 1
-        stop = min(n, stop + window - 1)
-        stretches.append((i, stop, int(capped[i:stop].sum())))
-        i = stop
-    if not stretches:
-        return 0, n
-    # Boilerplate left no line; stretches of some weight are parts of one article.
-    least = max(weight for _, _, weight in stretches) / COMPARABLE
-    parts = [(first, last) for first, last, weight in stretches if weight >= least]
-    return parts[0][0], parts[-1][1]
+    capped = np.minimum(lengths, int(LONG * np.median(filled)) + 1)
+    sums = np.convolve(capped, np.ones(window, dtype=np.int64))  # sums[i + window - 1]: lines i to i + window - 1
+    level = min(sums[sums > 0].mean(), sums.max() / 4)
+    # A line is down if every window that holds it is empty or far under the level for long.
+    best = np.lib.stride_tricks.sliding_window_view(sums, window).max(axis=1)
+    far = best * FAR < level
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], far.astype(np.int8), [0]))))
+    cut = {int(x) for first, last in zip(edges[::2], edges[1::2], strict=True) if last - first >= LASTING for x in (first, last)}
+    empty = np.convolve(lengths > 0, np.ones(window, dtype=np.int64), mode="valid") == 0
+    cut |= {int(x) for x in np.flatnonzero(empty)}
+    found, start = [], 0
+    for stop in sorted((cut - {0}) | {len(lengths)}):
+        weight = int(capped[start:stop].sum())
+        if weight:
+            found.append((start, stop, weight if best[start:stop].max() >= level else 0))
+        start = stop
+    return found
 
 
 def main_text(page: str | None) -> str:
     """The article's text; empty if the page is null, empty, or has no text outside boilerplate."""
     lines = lines_of(page or "")
-    if not lines:
+    parts = stretches(np.array([len(text) for text, _ in lines], dtype=np.int64)) if lines else []
+    if not parts:
         return ""
-    first, last = between_surge_and_dive(np.array([len(text) for text, _ in lines], dtype=np.int64))
-    weight: dict[int, int] = {}
-    for text, container in lines[first:last]:
-        weight[container] = weight.get(container, 0) + len(text)
-    whole: dict[int, int] = {}
-    for text, c in lines:
-        if c:
-            whole[c] = whole.get(c, 0) + len(text)
-    # Text of articles outweighs loose text around them unless that is far longer.
-    most = max(whole.values(), default=0)
-    if not whole or (not any(weight.get(c) for c in whole) and 4 * most < sum(weight.values())):
-        return " ".join(text for text, _ in lines[first:last])
-    held = {c for c, n in whole.items() if COMPARABLE * n >= most}
-    return " ".join(text for text, c in lines if c in held)
+    most = max(weight for _, _, weight in parts)
+    heavy = [COMPARABLE * weight >= most for _, _, weight in parts]
+    inside = [{c for text, c in lines[first:last] if text and c} for first, last, _ in parts]
+    held = set().union(*[c for c, is_heavy in zip(inside, heavy, strict=True) if is_heavy])
+    kept = [part for part, is_heavy, own in zip(parts, heavy, inside, strict=True) if is_heavy or own & held]
+    return " ".join(text for text, _ in lines[kept[0][0] : kept[-1][1]] if text)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages without html_col, with text and n_chars (code points) after the other columns.
 
-    A null page counts as empty and has an empty text. Repeated rows are
-    extracted one by one; other columns pass through; a column of pages that is
-    already called text or n_chars is replaced.
+    A null page counts as empty and has an empty text. Pages are read whole, however
+    long. Repeated rows are extracted one by one; other columns pass through, null ids
+    too; a column of pages that is already called text or n_chars is replaced. Of
+    stretches of equal weight all stay. An empty table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
 

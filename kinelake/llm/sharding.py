@@ -1,12 +1,13 @@
 """Sharding by vector bin packing of bytes, tokens and rows.
 
-Equal texts form a group; a group too large for a fair share is cut into pieces.
+Equal texts form a group; only a group that no shard can hold is cut into pieces.
 Pieces are hashed to buckets, and each bucket packs its pieces - largest first,
 each to the bin where the dot product of its (bytes, tokens, rows) with the
-residual capacity is highest - into as many bins as there are shards. Then all
-bins of all buckets and the outsized pieces, a number bounded by ``MAX_BUCKETS``
-and ``PIECES_PER_SHARD``, are packed into the shards by the same rule. The law that
-the query guarantees is ``bytes``: sizes are near equal.
+residual capacity is highest. Bins of BUCKET_JOIN buckets are the pieces of the
+next level, until one bucket is left, whose bins are the shards: no task sees more
+than some hundred thousand pieces. The law that the query guarantees is ``bytes``: a share of
+the pieces of each bucket, the fillers, is kept for the last level and goes, largest
+first, where bytes lack most.
 """
 
 from __future__ import annotations
@@ -16,32 +17,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.llm.exact_dedup import BROADCAST_IDS
 from kinelake.llm.mixing import word_count
 from kinelake.session import settle
 
-#: Groups that a bucket has on average, and the most buckets there are.
-BUCKET_GROUPS, MAX_BUCKETS = 4096, 2048
-#: A piece above 1 / PIECES_PER_SHARD of a shard's bytes is packed on its own.
-PIECES_PER_SHARD = 64
+#: Pieces that a bucket has on average, and buckets whose bins are packed together.
+BUCKET_GROUPS, BUCKET_JOIN = 262_144, 64
+#: A group beyond a shard's bytes is cut into pieces of this part of a shard.
+PIECES_PER_SHARD = 16
 ROW_BYTES = 16
+#: Share of the pieces that are fillers, the bundles in which a bucket hands them on, and the
+#: bins for each shard in which all buckets that are packed together hand on the others.
+FILLERS, BUNDLES, FINER = 0.08, 128, 256
+#: Part of a bin that a filler may take.
+LARGEST_FILLER = 0.01
+MEASURES = ["bytes", "tokens", "rows"]
+
+
+def pack(loads: np.ndarray, filler: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each item: items (n, 3); the bins' capacities are equal.
+
+    Loads are scaled by capacity, and items come in the order of their largest part,
+    equal ones as they stand.
+    Among bins whose residual bytes hold the item the largest dot product of item and
+    residual wins; where none does, the bin that lacks most bytes. Equal ones go to the
+    lowest bin. Fillers come last: every second one takes the bin that lacks most of
+    all three, then the others, largest first, take the bin that lacks most bytes.
+    """
+    items = loads / np.maximum(loads.sum(axis=0) / bins, 1e-9)
+    filler = filler & (items.max(axis=1, initial=0.0) < LARGEST_FILLER)
+    main = items[~filler].sum(axis=0) / bins
+    left = np.tile(main, (bins, 1))
+    out = np.empty(len(items), dtype=np.int64)
 
+    def put(i: int, b: int) -> None:
+        out[i] = b
+        left[b] -= items[i]
+
+    for i in np.argsort(-items.max(axis=1, initial=0.0), kind="stable").tolist():
+        if not filler[i]:
+            fits = left[:, 0] >= items[i, 0]
+            put(i, int(np.argmax(np.where(fits, left @ items[i], -np.inf) if fits.any() else left[:, 0])))
+    left += 1 - main
+    small = [i for i in np.argsort(-items[:, 0], kind="stable").tolist() if filler[i]]
+    for i in small[1::2]:
+        put(i, int(np.argmax(left.sum(axis=1))))
+    for i in small[::2]:
+        put(i, int(np.argmax(left[:, 0])))
+    return out
 
-def pack(loads: np.ndarray, capacity: np.ndarray) -> np.ndarray:
-    """Bin of each item: items (n, d) in descending order of bytes, capacity (bins, d).
 
-    Both are scaled by the bins' mean capacity. Among bins whose residual bytes
-    hold the item (or all, if none does) the largest dot product of item and
-    residual wins; equal ones go to the lowest bin.
-    """
-    scale = np.maximum(capacity.mean(axis=0), 1e-9)
-    left, items = capacity / scale, loads / scale
-    # Residual bytes decide first: with equal items, the dot product is largest in the emptiest bin.
-    weight = np.array([1.0, 0.005, 0.005])[: items.shape[1]]
-    out = np.empty(len(items), dtype=np.int32)
-    for i, item in enumerate(items):
-        b = int(np.argmax(left @ (item * weight)))
-        out[i] = b
-        left[b] -= item
+def hand_on(loads: np.ndarray, filler: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each item for the next level: bins of main items, then bundles of fillers of like size."""
+    out = np.empty(len(loads), dtype=np.int64)
+    out[~filler] = pack(loads[~filler], np.zeros(int((~filler).sum()), dtype=bool), bins)
+    small = np.flatnonzero(filler)
+    small = small[np.argsort(-loads[small, 0], kind="stable")]
+    out[small] = bins + np.arange(len(small)) * BUNDLES // max(len(small), BUNDLES)
     return out
 
 
@@ -54,8 +86,8 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     size is UTF-8 bytes plus 16 (null text: no bytes, CRC of nothing). slot counts
     from 0 without gaps in each shard. Equal texts share a shard unless their
-    group is larger than 1/64 of a shard; repeated ids are separate rows.
-    An empty table gives no rows.
+    group is larger than a shard; repeated ids are separate rows, null ids too.
+    Extra columns are ignored. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = settle(
@@ -67,41 +99,60 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
             F.xxhash64(text).alias("digest"),
         ).withColumn("pick", F.xxhash64(F.lit("piece"), F.col("doc_id")))
     )
-    groups = _measures(rows, "digest")
-    totals = groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows"), F.count(F.lit(1))).first()
-    total_bytes, total_tokens, total_rows, n_groups = (int(x or 0) for x in totals)
-    share = np.array([total_bytes, total_tokens, total_rows], dtype=float) / shards
-    most = max(1.0, share[0] / PIECES_PER_SHARD)
-    buckets = max(1, min(MAX_BUCKETS, n_groups // BUCKET_GROUPS))
-
-    # At most shards * PIECES_PER_SHARD groups are this large.
-    large = groups.where((F.col("bytes") > most) & (F.col("rows") > 1)).select("digest", F.ceil(F.col("bytes") / most).alias("pieces"))
-    piece = F.coalesce(F.pmod(F.col("pick"), F.col("pieces")), F.lit(0).cast("long"))
-    rows = rows.join(F.broadcast(large), "digest", "left").withColumn("piece", piece).drop("pieces", "pick")
-    pieces = _measures(rows, "digest", "piece").withColumn("bucket", F.pmod(F.xxhash64("digest", "piece"), F.lit(buckets)).cast("int"))
-
-    def pack_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "digest", "piece"], ascending=[False, True, True], ignore_index=True)
-        loads = pdf[["bytes", "tokens", "rows"]].to_numpy(float)
-        capacity = np.tile(loads.sum(axis=0) / shards, (shards, 1))
-        return pdf.assign(bin=pack(loads, capacity))[["digest", "piece", "bucket", "bin", "bytes", "tokens", "rows"]]
-
-    binned = settle(pieces.groupBy("bucket").applyInPandas(pack_bucket, "digest long, piece long, bucket int, bin int, bytes long, tokens long, rows long"))
-    # A bin that holds one outsized piece is as good as that piece itself.
-    bins = binned.groupBy("bucket", "bin").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")]).toPandas()
-    bins = bins.sort_values(["bytes", "bucket", "bin"], ascending=[False, True, True], ignore_index=True)
-    bins["shard"] = pack(bins[["bytes", "tokens", "rows"]].to_numpy(float), np.tile(share, (shards, 1))) if len(bins) else np.empty(0, dtype=np.int32)
-    placed = docs.sparkSession.createDataFrame(bins[["bucket", "bin", "shard"]], "bucket int, bin int, shard int")
-
-    homes = binned.select("digest", "piece", "bucket", "bin").join(F.broadcast(placed), ["bucket", "bin"])
-    where = rows.join(homes, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "shard", "digest", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets * 4)).alias("lane"))
+    groups = settle(_measures(rows, "digest"))
+    totals = groups.agg(F.sum("bytes"), F.count(F.lit(1))).first()
+    total_bytes, n_groups = (int(x or 0) for x in totals)
+    share = max(1.0, total_bytes / shards)
+
+    # Fewer groups than shards are this large.
+    large = groups.where((F.col("bytes") > share) & (F.col("rows") > 1)).select("digest", F.ceil(F.col("bytes") * PIECES_PER_SHARD / share).alias("pieces"))
+    cut = settle(rows.join(F.broadcast(large), "digest").withColumn("piece", F.pmod(F.col("pick"), F.col("pieces"))).drop("pieces"))
+    pieces = _measures(cut, "digest", "piece").unionByName(groups.join(F.broadcast(large), "digest", "left_anti").withColumn("piece", F.lit(0).cast("long")))
+    buckets = max(1, n_groups // BUCKET_GROUPS)
+    # Each level's items: their name (digest, piece), what they measure, their bucket.
+    chosen = F.pmod(F.xxhash64(F.lit("filler"), "digest", "piece"), F.lit(1000)) < int(1000 * FILLERS)
+    chosen = chosen & (F.col("bytes") < LARGEST_FILLER * share)
+    items = pieces.withColumn("bucket", F.pmod(F.xxhash64("digest", "piece"), F.lit(buckets))).withColumn("filler", chosen)
+
+    def packed(last: bool, finer: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            # Hashes order the pieces, so that ties in size come in no order of the other measures.
+            pdf = pdf.sort_values(["digest", "piece"], ignore_index=True)
+            loads, filler = pdf[MEASURES].to_numpy(float), pdf["filler"].to_numpy(bool)
+            return pdf.assign(bin=pack(loads, filler, shards) if last else hand_on(loads, filler, finer))[["digest", "piece", "bucket", "bin", *MEASURES]]
+
+        return run
+
+    levels: list[DataFrame] = []
+    while True:
+        last, finer = buckets == 1, -(-FINER // min(buckets, BUCKET_JOIN)) * shards
+        levels.append(settle(items.groupBy("bucket").applyInPandas(packed(last, finer), "digest long, piece long, bucket long, bin long, bytes long, tokens long, rows long")))
+        if last:
+            break
+        buckets = -(-buckets // BUCKET_JOIN)
+        # A bin is named by its bucket and number; one that holds one large piece is as good as that piece.
+        bins = levels[-1].groupBy(F.col("bucket").alias("digest"), F.col("bin").alias("piece")).agg(*[F.sum(c).alias(c) for c in MEASURES])
+        items = bins.withColumn("bucket", F.floor(F.col("digest") / BUCKET_JOIN)).withColumn("filler", F.col("piece") >= finer)
+    homes = levels.pop().select("digest", "piece", F.col("bin").cast("int").alias("shard"))
+    while levels:
+        own = homes.withColumnsRenamed({"digest": "bucket", "piece": "bin"})
+        homes = levels.pop().select("digest", "piece", "bucket", "bin").join(own, ["bucket", "bin"]).select("digest", "piece", "shard")
+    homes = settle(homes)
+
+    # Whole groups meet their home by digest, the rows of cut ones by digest and piece.
+    whole = rows.join(F.broadcast(large.select("digest")), "digest", "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    slim = F.broadcast(homes) if homes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else homes
+    lanes_of_shard = max(4, n_groups // 2000 // shards * 40)
+    where = settle(
+        whole.unionByName(cut).join(slim, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "tokens", "shard", "digest", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(lanes_of_shard)).alias("lane"))
+    )
     # Slots: counts of lanes, prefix sums over them, ranks inside a lane.
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = where.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
     inside = Window.partitionBy("shard", "lane").orderBy("doc_id", "digest")
     return (
         where.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(lanes), ["shard", "lane"])
+        .join(F.broadcast(lanes) if lanes_of_shard * shards <= BROADCAST_IDS else lanes, ["shard", "lane"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

@@ -9,146 +9,227 @@ from kinelake.functions import geometry as g
 
 #: Names and order of the features of a frame and of a clip.
 FRAME_FEATURES = (
-    "lead_elbow_angle trail_elbow_angle lead_knee_angle trail_knee_angle lead_shoulder_angle trail_shoulder_angle lead_wrist_relative_x hip_rotation_angle "
-    "trunk_lean head_over_base_offset head_to_lead_knee_alignment shoulder_hip_separation stance_width body_center_offset_x body_center_offset_y upper_body_balance_offset "
-    "lead_wrist_velocity trail_wrist_velocity lead_elbow_velocity trail_elbow_velocity body_center_velocity lead_wrist_acceleration hip_rotation_velocity frame_motion_energy "
-    "front_foot_commitment_signal back_foot_loading_signal weight_transfer_signal follow_through_height_signal follow_through_extension_signal lead_elbow_extension_signal bat_side_wrist_height_signal stance_to_swing_progress_signal"
-).split()
+    "lead_elbow_angle", "trail_elbow_angle", "lead_knee_angle", "trail_knee_angle", "lead_shoulder_angle", "trail_shoulder_angle", "lead_wrist_relative_x", "hip_rotation_angle",
+    "trunk_lean", "head_over_base_offset", "head_to_lead_knee_alignment", "shoulder_hip_separation", "stance_width", "body_center_offset_x", "body_center_offset_y", "upper_body_balance_offset",
+    "lead_wrist_velocity", "trail_wrist_velocity", "lead_elbow_velocity", "trail_elbow_velocity", "body_center_velocity", "lead_wrist_acceleration", "hip_rotation_velocity", "frame_motion_energy",
+    "front_foot_commitment_signal", "back_foot_loading_signal", "weight_transfer_signal", "follow_through_height_signal",
+    "follow_through_extension_signal", "lead_elbow_extension_signal", "bat_side_wrist_height_signal", "stance_to_swing_progress_signal",
+)
 CLIP_FEATURES = (
-    "lead_elbow_angle_mean lead_elbow_angle_min trail_elbow_angle_mean lead_knee_angle_mean lead_knee_angle_min trail_knee_angle_mean shoulder_rotation_angle_mean hip_rotation_angle_mean "
-    "trunk_lean_mean trunk_lean_max head_stability head_over_base_offset shoulder_hip_separation_mean stance_width_mean body_center_shift_x body_center_shift_y "
-    "lead_wrist_velocity_mean lead_wrist_velocity_max trail_wrist_velocity_mean trail_wrist_velocity_max body_center_velocity_mean body_center_velocity_max shoulder_rotation_velocity_mean motion_energy_total "
-    "front_foot_commitment back_foot_loading follow_through_height follow_through_extension lead_elbow_extension_change lead_knee_flexion_change head_to_lead_knee_alignment weight_transfer_score"
-).split()
-
-
-def _points(frames: DataFrame, left_handed: Column | None = None) -> DataFrame:
-    """Named points of each frame; lead is left, swapped for left-handers."""
-    names = {"shoulder": g.SHOULDERS, "elbow": g.ELBOWS, "wrist": g.WRISTS, "hip": g.HIPS, "knee": g.KNEES, "ankle": g.ANKLES}
-    marks = F.col("landmarks")
-    swap = F.lit(False) if left_handed is None else F.coalesce(left_handed, F.lit(False))
-    sides = {}
-    for name, (left, right) in names.items():
-        a, b = g.point(marks, left), g.point(marks, right)
-        sides["lead_" + name] = a if left_handed is None else F.when(swap, b).otherwise(a)
-        sides["trail_" + name] = b if left_handed is None else F.when(swap, a).otherwise(b)
-    staged = frames.withColumns(sides | {"nose": g.point(marks, g.NOSE)})
-    staged = staged.withColumns({"hips": g.mid(F.col("lead_hip"), F.col("trail_hip")), "shoulders": g.mid(F.col("lead_shoulder"), F.col("trail_shoulder"))})
-    return staged.withColumn("body", g.mid(F.col("hips"), F.col("shoulders")))
+    "lead_elbow_angle_mean", "lead_elbow_angle_min", "trail_elbow_angle_mean", "lead_knee_angle_mean", "lead_knee_angle_min", "trail_knee_angle_mean", "shoulder_rotation_angle_mean", "hip_rotation_angle_mean",
+    "trunk_lean_mean", "trunk_lean_max", "head_stability", "head_over_base_offset", "shoulder_hip_separation_mean", "stance_width_mean", "body_center_shift_x", "body_center_shift_y",
+    "lead_wrist_velocity_mean", "lead_wrist_velocity_max", "trail_wrist_velocity_mean", "trail_wrist_velocity_max", "body_center_velocity_mean", "body_center_velocity_max", "shoulder_rotation_velocity_mean", "motion_energy_total",
+    "front_foot_commitment", "back_foot_loading", "follow_through_height", "follow_through_extension", "lead_elbow_extension_change", "lead_knee_flexion_change", "head_to_lead_knee_alignment", "weight_transfer_score",
+)
+#: Named points by side: (lead, trail) places in the landmark list; lead is left.
+SIDES = {"shoulder": g.SHOULDERS, "elbow": g.ELBOWS, "wrist": g.WRISTS, "hip": g.HIPS, "knee": g.KNEES, "ankle": g.ANKLES}
+USED = (g.NOSE, *(place for pair in SIDES.values() for place in pair))
+
+
+def used_points(frames: DataFrame, *keep: str) -> DataFrame:
+    """keep columns, the number of landmarks, and x, y, z of the points that features use.
+
+    One narrow table of doubles: the landmark arrays go no further. A point whose
+    parts aren't all finite is NULL in each of them.
+    """
+    marks = {f"_m{k}": F.get("landmarks", F.lit(k)) for k in USED}
+    parts = frames.select(*keep, F.size("landmarks").alias("marks"), *[mark.alias(name) for name, mark in marks.items()])
+    parts = parts.select(*keep, "marks", *[g.finite(F.col(f"_m{k}.{c}")).alias(f"{c}{k}") for k in USED for c in "xyz"])
+    whole = {k: (F.col(f"x{k}") + F.col(f"y{k}") + F.col(f"z{k}")).isNotNull() for k in USED}
+    return parts.select(*keep, "marks", *[F.when(whole[k], F.col(f"{c}{k}")).alias(f"{c}{k}") for k in USED for c in "xyz"])
+
+
+def _at(place: int) -> dict[str, Column]:
+    return {c: F.col(f"{c}{place}") for c in "xyz"}
+
+
+def _middle(a: dict, b: dict) -> dict[str, Column]:
+    return {c: (a[c] + b[c]) / 2.0 for c in "xyz"}
+
+
+def normalise_points(points: DataFrame) -> DataFrame:
+    """P6 on used points: origin at the hips' middle, shoulder-hip distance as unit; unchanged where it can't be told."""
+    hips, shoulders = _middle(*map(_at, g.HIPS)), _middle(*map(_at, g.SHOULDERS))
+    staged = points.withColumns({f"_h{c}": hips[c] for c in "xyz"} | {"_torso": g.distance(shoulders, hips)})
+    ok = F.coalesce((F.col("marks") >= 25) & (F.col("_torso") > 0), F.lit(False))
+    staged = staged.withColumns({f"_h{c}": F.when(ok, F.col(f"_h{c}")).otherwise(0.0) for c in "xyz"} | {"_torso": F.when(ok, F.col("_torso")).otherwise(1.0)})
+    return staged.withColumns({f"{c}{k}": (F.col(f"{c}{k}") - F.col(f"_h{c}")) / F.col("_torso") for k in USED for c in "xyz"}).drop("_hx", "_hy", "_hz", "_torso")
+
+
+def align_points(points: DataFrame) -> DataFrame:
+    """P7 on used points: turned so that the shoulder line is level; unchanged where it can't be told."""
+    left, right = map(_at, g.SHOULDERS)
+    turn = -F.atan2(right["y"] - left["y"], right["x"] - left["x"])
+    turn = F.coalesce(F.when(F.col("marks") >= 13, turn), F.lit(0.0))
+    staged = points.withColumn("_turn", turn)
+    staged = staged.withColumns({"_cos": F.cos("_turn"), "_sin": F.sin("_turn")})
+    moved = {f"x{k}": F.col(f"x{k}") * F.col("_cos") - F.col(f"y{k}") * F.col("_sin") for k in USED} | {f"y{k}": F.col(f"x{k}") * F.col("_sin") + F.col(f"y{k}") * F.col("_cos") for k in USED}
+    return staged.withColumns(moved).drop("_turn", "_cos", "_sin")
+
+
+def _named(points: DataFrame, left_handed: Column | None = None) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """Points by name (lead_wrist ... nose, hips, shoulders, body); sides are swapped for left-handers."""
+    names = {}
+    for name, (left, right) in SIDES.items():
+        names["lead_" + name], names["trail_" + name] = _at(left), _at(right)
+    if left_handed is not None:
+        swap = F.coalesce(left_handed, F.lit(False))
+        sides = {}
+        for left, right in SIDES.values():
+            for c in "xyz":
+                sides[f"{c}{left}"] = F.when(swap, F.col(f"{c}{right}")).otherwise(F.col(f"{c}{left}"))
+                sides[f"{c}{right}"] = F.when(swap, F.col(f"{c}{left}")).otherwise(F.col(f"{c}{right}"))
+        points = points.withColumns(sides)
+    hips, shoulders = _middle(names["lead_hip"], names["trail_hip"]), _middle(names["lead_shoulder"], names["trail_shoulder"])
+    points = points.withColumns({f"hips_{c}": hips[c] for c in "xyz"} | {f"shoulders_{c}": shoulders[c] for c in "xyz"})
+    for name in ("hips", "shoulders"):
+        names[name] = {c: F.col(f"{name}_{c}") for c in "xyz"}
+    points = points.withColumns({f"body_{c}": m for c, m in _middle(names["hips"], names["shoulders"]).items()})
+    return points, names | {"nose": _at(g.NOSE), "body": {c: F.col(f"body_{c}") for c in "xyz"}}
 
 
 def frame_features(frames: DataFrame, length: int = 60) -> DataFrame:
-    """The 32 features of every frame (clip_id, t); missing values become 0."""
-    c = F.col
+    """The 32 features of every frame (clip_id, t); missing values become 0.
+
+    frames has landmarks, or the columns of ``used_points``.
+    """
+    points = used_points(frames, "clip_id", "t") if "landmarks" in frames.columns else frames
+    points, at = _named(points)
     moving = ["lead_wrist", "trail_wrist", "lead_elbow", "trail_elbow", "lead_shoulder", "trail_shoulder", "lead_hip", "trail_hip", "lead_knee", "trail_knee"]
     clip = Window.partitionBy("clip_id").orderBy("t")
-    staged = _points(frames).withColumn("before", F.lag(F.struct(*moving, "body", "hips")).over(clip))
-    step = lambda name: F.coalesce(g.distance(c(name), c(f"before.{name}")), F.lit(0.0))
+    c = F.col
+    # Every value that the frame before gives, in one window.
+    before = {name: {p: F.lag(at[name][p]).over(clip) for p in "xyz"} for name in [*moving, "body"]}
+    staged = points.select("*", *[before[name][p].alias(f"before_{name}_{p}") for name in before for p in "xyz"])
+    earlier = {name: {p: c(f"before_{name}_{p}") for p in "xyz"} for name in before}
+    steps = {f"step_{name}": F.coalesce(g.distance(at[name], earlier[name]), F.lit(0.0)) for name in moving}
+    staged = staged.withColumns(steps | {
+        "_body_step": g.distance(at["body"], earlier["body"]),
+        "_body_x": at["body"]["x"] - earlier["body"]["x"],
+        "_heading": g.heading(at["lead_hip"], at["trail_hip"]),
+        "_heading_before": g.heading(earlier["lead_hip"], earlier["trail_hip"]),
+    }).drop(*[f"before_{name}_{p}" for name in before for p in "xyz"])
     up = (F.lit(0.0), F.lit(-1.0), F.lit(0.0))
-    trunk = tuple(c(f"shoulders.{p}") - c(f"hips.{p}") for p in "xyz")
-    staged = staged.withColumns({f"step_{name}": step(name) for name in moving} | {
-        "lead_elbow_angle": g.vertex_angle(c("lead_shoulder"), c("lead_elbow"), c("lead_wrist")),
-        "hip_rotation_angle": g.heading(c("lead_hip"), c("trail_hip")),
-        "hip_before": g.heading(c("before.lead_hip"), c("before.trail_hip")),
-    })
+    trunk = tuple(at["shoulders"][p] - at["hips"][p] for p in "xyz")
+    angle = lambda a, v, b: g.vertex_angle(at[a], at[v], at[b])
+    staged = staged.withColumn("_elbow", angle("lead_shoulder", "lead_elbow", "lead_wrist"))
     made = {
-        "lead_elbow_angle": c("lead_elbow_angle"),
-        "trail_elbow_angle": g.vertex_angle(c("trail_shoulder"), c("trail_elbow"), c("trail_wrist")),
-        "lead_knee_angle": g.vertex_angle(c("lead_hip"), c("lead_knee"), c("lead_ankle")),
-        "trail_knee_angle": g.vertex_angle(c("trail_hip"), c("trail_knee"), c("trail_ankle")),
-        "lead_shoulder_angle": g.vertex_angle(c("lead_elbow"), c("lead_shoulder"), c("lead_hip")),
-        "trail_shoulder_angle": g.vertex_angle(c("trail_elbow"), c("trail_shoulder"), c("trail_hip")),
-        "lead_wrist_relative_x": c("lead_wrist.x") - c("hips.x"),
-        "hip_rotation_angle": c("hip_rotation_angle"),
+        "lead_elbow_angle": c("_elbow"),
+        "trail_elbow_angle": angle("trail_shoulder", "trail_elbow", "trail_wrist"),
+        "lead_knee_angle": angle("lead_hip", "lead_knee", "lead_ankle"),
+        "trail_knee_angle": angle("trail_hip", "trail_knee", "trail_ankle"),
+        "lead_shoulder_angle": angle("lead_elbow", "lead_shoulder", "lead_hip"),
+        "trail_shoulder_angle": angle("trail_elbow", "trail_shoulder", "trail_hip"),
+        "lead_wrist_relative_x": at["lead_wrist"]["x"] - at["hips"]["x"],
+        "hip_rotation_angle": c("_heading"),
         "trunk_lean": g.angle_between(trunk, up),
-        "head_over_base_offset": c("nose.x") - c("hips.x"),
-        "head_to_lead_knee_alignment": c("nose.x") - c("lead_knee.x"),
-        "shoulder_hip_separation": g.heading(c("lead_shoulder"), c("trail_shoulder")) - c("hip_rotation_angle"),
-        "stance_width": g.distance(c("lead_ankle"), c("trail_ankle"), "xy"),
-        "body_center_offset_x": c("body.x") - c("hips.x"),
-        "body_center_offset_y": c("body.y") - c("hips.y"),
-        "upper_body_balance_offset": c("shoulders.x") - c("hips.x"),
+        "head_over_base_offset": at["nose"]["x"] - at["hips"]["x"],
+        "head_to_lead_knee_alignment": at["nose"]["x"] - at["lead_knee"]["x"],
+        "shoulder_hip_separation": g.heading(at["lead_shoulder"], at["trail_shoulder"]) - c("_heading"),
+        "stance_width": g.distance(at["lead_ankle"], at["trail_ankle"], "xy"),
+        "body_center_offset_x": at["body"]["x"] - at["hips"]["x"],
+        "body_center_offset_y": at["body"]["y"] - at["hips"]["y"],
+        "upper_body_balance_offset": at["shoulders"]["x"] - at["hips"]["x"],
         "lead_wrist_velocity": c("step_lead_wrist"),
         "trail_wrist_velocity": c("step_trail_wrist"),
         "lead_elbow_velocity": c("step_lead_elbow"),
         "trail_elbow_velocity": c("step_trail_elbow"),
-        "body_center_velocity": g.distance(c("body"), c("before.body")),
+        "body_center_velocity": c("_body_step"),
         "lead_wrist_acceleration": F.abs(c("step_lead_wrist") - c("step_trail_wrist")),
-        "hip_rotation_velocity": F.abs(g.wrapped(c("hip_rotation_angle") - c("hip_before"))),
+        "hip_rotation_velocity": F.abs(g.wrapped(c("_heading") - c("_heading_before"))),
         "frame_motion_energy": sum((c(f"step_{name}") for name in moving), F.lit(0.0)),
-        "front_foot_commitment_signal": c("lead_ankle.x") - c("hips.x"),
-        "back_foot_loading_signal": (c("trail_knee.y") - c("trail_hip.y") + c("trail_ankle.y") - c("trail_knee.y")) * 0.5,
-        "weight_transfer_signal": c("body.x") - c("before.body.x"),
-        "follow_through_height_signal": c("lead_wrist.y") - c("shoulders.y"),
-        "follow_through_extension_signal": g.distance(c("lead_wrist"), c("lead_shoulder")),
-        "lead_elbow_extension_signal": c("lead_elbow_angle") / 180.0,
-        "bat_side_wrist_height_signal": c("trail_wrist.y") - c("shoulders.y"),
+        "front_foot_commitment_signal": at["lead_ankle"]["x"] - at["hips"]["x"],
+        "back_foot_loading_signal": (at["trail_knee"]["y"] - at["trail_hip"]["y"] + at["trail_ankle"]["y"] - at["trail_knee"]["y"]) * 0.5,
+        "weight_transfer_signal": c("_body_x"),
+        "follow_through_height_signal": at["lead_wrist"]["y"] - at["shoulders"]["y"],
+        "follow_through_extension_signal": g.distance(at["lead_wrist"], at["lead_shoulder"]),
+        "lead_elbow_extension_signal": c("_elbow") / 180.0,
+        "bat_side_wrist_height_signal": at["trail_wrist"]["y"] - at["shoulders"]["y"],
         "stance_to_swing_progress_signal": c("t") / float(max(length - 1, 1)),
     }
-    return staged.select("clip_id", "t", *[g.safe_float(made[name]).alias(name) for name in FRAME_FEATURES])
+    raw = staged.select("clip_id", "t", *[made[name].alias(name) for name in FRAME_FEATURES])
+    return raw.select("clip_id", "t", *[g.safe_float(c(name)).alias(name) for name in FRAME_FEATURES])
 
 
 def clip_features(frames: DataFrame, left_handed: Column | None = None) -> DataFrame:
     """The 32 features of every clip, from frames (clip_id, pos, landmarks); 0 where nothing is valid.
 
-    Wrist and body steps bridge invalid frames; head steps and shoulder turns don't.
+    left_handed is an expression over frames. Wrist and body steps bridge invalid
+    frames; head steps and shoulder turns don't.
     """
     c = F.col
+    hand = [] if left_handed is None else ["_left"]
+    source = frames if left_handed is None else frames.withColumn("_left", left_handed)
+    points, at = _named(used_points(source, "clip_id", "pos", *hand), c("_left") if hand else None)
     clip = Window.partitionBy("clip_id").orderBy("pos")
     earlier = clip.rowsBetween(Window.unboundedPreceding, -1)
     bridged = ("lead_wrist", "trail_wrist", "hips")
-    staged = _points(frames, left_handed).withColumns({f"last_{p}": F.last(p, ignorenulls=True).over(earlier) for p in bridged} | {"nose_before": F.lag("nose").over(clip)})
-    turn = g.heading(c("lead_shoulder"), c("trail_shoulder"), null_if_same=True)
-    staged = staged.withColumns({f"v_{p}": g.distance(c(p), c(f"last_{p}")) for p in bridged} | {"turn": turn, "elbow": g.vertex_angle(c("lead_shoulder"), c("lead_elbow"), c("lead_wrist")), "knee": g.vertex_angle(c("lead_hip"), c("lead_knee"), c("lead_ankle"))})
-    # The rotation of left-handers is that of the body's own left and right, too.
-    staged = staged.withColumn("turn_before", F.lag("turn").over(clip)).withColumn("hip_turn", g.heading(c("lead_hip"), c("trail_hip"), null_if_same=True))
-    lean = g.angle_between((c("shoulders.x") - c("hips.x"), c("shoulders.y") - c("hips.y")), (F.lit(0.0), F.lit(-1.0)))
-    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
-    top = lambda x: F.coalesce(F.max(x), F.lit(0.0))
-    ends = lambda p: (F.min_by(c(p), F.when(c(p).isNotNull(), c("pos"))), F.max_by(c(p), F.when(c(p).isNotNull(), c("pos"))))
-    staged = staged.withColumn("finish", F.when(c("lead_wrist").isNotNull(), F.struct(F.abs(c("lead_wrist.y") - c("shoulders.y")).alias("height"), g.distance(c("lead_wrist"), c("hips")).alias("reach"))))
-    first = {p: ends(p) for p in ("lead_ankle", "hips", "elbow", "knee", "finish")}
+    points = points.withColumns({
+        "elbow": g.vertex_angle(at["lead_shoulder"], at["lead_elbow"], at["lead_wrist"]),
+        "trail_elbow": g.vertex_angle(at["trail_shoulder"], at["trail_elbow"], at["trail_wrist"]),
+        "knee": g.vertex_angle(at["lead_hip"], at["lead_knee"], at["lead_ankle"]),
+        "trail_knee": g.vertex_angle(at["trail_hip"], at["trail_knee"], at["trail_ankle"]),
+        # The rotation of left-handers is that of the body's own left and right, too.
+        "turn": g.heading(at["lead_shoulder"], at["trail_shoulder"], null_if_same=True),
+        "hip_turn": g.heading(at["lead_hip"], at["trail_hip"], null_if_same=True),
+        "lean": g.angle_between((at["shoulders"]["x"] - at["hips"]["x"], at["shoulders"]["y"] - at["hips"]["y"]), (F.lit(0.0), F.lit(-1.0))),
+    })
+    last = {f"last_{p}_{a}": F.last(at[p][a], ignorenulls=True).over(earlier) for p in bridged for a in "xyz"}
+    lags = {f"nose_before_{a}": F.lag(at["nose"][a]).over(clip) for a in "xyz"} | {"turn_before": F.lag("turn").over(clip)}
+    staged = points.select("*", *[column.alias(name) for name, column in (last | lags).items()])
+    staged = staged.withColumns({f"v_{p}": g.distance(at[p], {a: c(f"last_{p}_{a}") for a in "xyz"}) for p in bridged} | {
+        "head_step": g.distance(at["nose"], {a: c(f"nose_before_{a}") for a in "xyz"}),
+        "head_offset": g.distance(at["nose"], at["hips"]),
+        "stance": g.distance(at["lead_ankle"], at["trail_ankle"]),
+        "turn_step": F.abs(g.wrapped(c("turn") - c("turn_before"))),
+        "loading": g.distance(at["trail_ankle"], at["hips"]),
+        "head_knee": g.distance(at["nose"], at["lead_knee"]),
+        "height": F.abs(at["lead_wrist"]["y"] - at["shoulders"]["y"]),
+        "reach": g.distance(at["lead_wrist"], at["hips"]),
+        "ankle_pos": F.when(at["lead_ankle"]["x"].isNotNull(), c("pos")),
+        "hips_pos": F.when(at["hips"]["x"].isNotNull(), c("pos")),
+        "elbow_pos": F.when(c("elbow").isNotNull(), c("pos")),
+        "knee_pos": F.when(c("knee").isNotNull(), c("pos")),
+        "wrist_pos": F.when(at["lead_wrist"]["x"].isNotNull(), c("pos")),
+    }).select("clip_id", *MEASURES, *[f"v_{p}" for p in bridged], *[at["lead_ankle"][a].alias(f"ankle_{a}") for a in "xyz"], *[f"hips_{a}" for a in "xyz"])
+    mean = lambda name: F.coalesce(F.avg(name), F.lit(0.0))
+    top = lambda name: F.coalesce(F.max(name), F.lit(0.0))
+    low = lambda name: F.coalesce(F.min(name), F.lit(0.0))
+    ends = {"ankle_x": "ankle", "ankle_y": "ankle", "ankle_z": "ankle", "hips_x": "hips", "hips_y": "hips", "hips_z": "hips", "elbow": "elbow", "knee": "knee"}
     grouped = staged.groupBy("clip_id").agg(
-        mean(c("elbow")).alias("lead_elbow_angle_mean"),
-        F.coalesce(F.min("elbow"), F.lit(0.0)).alias("lead_elbow_angle_min"),
-        mean(g.vertex_angle(c("trail_shoulder"), c("trail_elbow"), c("trail_wrist"))).alias("trail_elbow_angle_mean"),
-        mean(c("knee")).alias("lead_knee_angle_mean"),
-        F.coalesce(F.min("knee"), F.lit(0.0)).alias("lead_knee_angle_min"),
-        mean(g.vertex_angle(c("trail_hip"), c("trail_knee"), c("trail_ankle"))).alias("trail_knee_angle_mean"),
-        g.circular_mean(c("turn")).alias("shoulder_rotation_angle_mean"),
-        g.circular_mean(c("hip_turn")).alias("hip_rotation_angle_mean"),
-        mean(lean).alias("trunk_lean_mean"),
-        top(lean).alias("trunk_lean_max"),
-        mean(g.distance(c("nose"), c("nose_before"))).alias("head_stability"),
-        mean(g.distance(c("nose"), c("hips"))).alias("head_over_base_offset"),
-        mean(c("turn") - c("hip_turn")).alias("shoulder_hip_separation_mean"),
-        mean(g.distance(c("lead_ankle"), c("trail_ankle"))).alias("stance_width_mean"),
-        mean(c("v_lead_wrist")).alias("lead_wrist_velocity_mean"),
-        top(c("v_lead_wrist")).alias("lead_wrist_velocity_max"),
-        mean(c("v_trail_wrist")).alias("trail_wrist_velocity_mean"),
-        top(c("v_trail_wrist")).alias("trail_wrist_velocity_max"),
-        mean(c("v_hips")).alias("body_center_velocity_mean"),
-        top(c("v_hips")).alias("body_center_velocity_max"),
-        mean(F.abs(g.wrapped(c("turn") - c("turn_before")))).alias("shoulder_rotation_velocity_mean"),
+        mean("elbow").alias("lead_elbow_angle_mean"), low("elbow").alias("lead_elbow_angle_min"), mean("trail_elbow").alias("trail_elbow_angle_mean"),
+        mean("knee").alias("lead_knee_angle_mean"), low("knee").alias("lead_knee_angle_min"), mean("trail_knee").alias("trail_knee_angle_mean"),
+        g.circular_mean(c("turn")).alias("shoulder_rotation_angle_mean"), g.circular_mean(c("hip_turn")).alias("hip_rotation_angle_mean"),
+        mean("lean").alias("trunk_lean_mean"), top("lean").alias("trunk_lean_max"),
+        mean("head_step").alias("head_stability"), mean("head_offset").alias("head_over_base_offset"),
+        F.coalesce(F.avg(c("turn") - c("hip_turn")), F.lit(0.0)).alias("shoulder_hip_separation_mean"), mean("stance").alias("stance_width_mean"),
+        mean("v_lead_wrist").alias("lead_wrist_velocity_mean"), top("v_lead_wrist").alias("lead_wrist_velocity_max"),
+        mean("v_trail_wrist").alias("trail_wrist_velocity_mean"), top("v_trail_wrist").alias("trail_wrist_velocity_max"),
+        mean("v_hips").alias("body_center_velocity_mean"), top("v_hips").alias("body_center_velocity_max"),
+        mean("turn_step").alias("shoulder_rotation_velocity_mean"),
         sum((F.coalesce(F.sum(f"v_{p}"), F.lit(0.0)) for p in bridged), F.lit(0.0)).alias("motion_energy_total"),
-        mean(g.distance(c("trail_ankle"), c("hips"))).alias("back_foot_loading"),
-        mean(g.distance(c("nose"), c("lead_knee"))).alias("head_to_lead_knee_alignment"),
-        *[F.struct(a.alias("a"), b.alias("b")).alias(f"_{p}") for p, (a, b) in first.items()],
+        mean("loading").alias("back_foot_loading"), mean("head_knee").alias("head_to_lead_knee_alignment"),
+        F.max_by("height", "wrist_pos").alias("_height"), F.max_by("reach", "wrist_pos").alias("_reach"),
+        *[(F.max_by(name, f"{pos}_pos") - F.min_by(name, f"{pos}_pos")).alias(f"_{name}") for name, pos in ends.items()],
     )
-    travel = lambda p: F.coalesce(g.distance(c(f"_{p}.a"), c(f"_{p}.b")), F.lit(0.0))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
+    travel = lambda p: zero(F.sqrt(sum((c(f"_{p}_{a}") * c(f"_{p}_{a}") for a in "xyz"), F.lit(0.0))))
     return grouped.withColumns({
-        "body_center_shift_x": zero(c("_hips.b.x") - c("_hips.a.x")),
-        "body_center_shift_y": zero(c("_hips.b.y") - c("_hips.a.y")),
-        "front_foot_commitment": travel("lead_ankle"),
-        "follow_through_height": zero(c("_finish.b.height")),
-        "follow_through_extension": zero(c("_finish.b.reach")),
-        "lead_elbow_extension_change": zero(c("_elbow.b") - c("_elbow.a")),
-        "lead_knee_flexion_change": zero(c("_knee.b") - c("_knee.a")),
-        "weight_transfer_score": travel("lead_ankle") + travel("hips"),
+        "body_center_shift_x": zero(c("_hips_x")),
+        "body_center_shift_y": zero(c("_hips_y")),
+        "front_foot_commitment": travel("ankle"),
+        "follow_through_height": zero(c("_height")),
+        "follow_through_extension": zero(c("_reach")),
+        "lead_elbow_extension_change": zero(c("_elbow")),
+        "lead_knee_flexion_change": zero(c("_knee")),
+        "weight_transfer_score": travel("ankle") + travel("hips"),
     }).select("clip_id", *CLIP_FEATURES)
 
 
+#: What a clip's features are aggregated from, beside steps and positions.
+MEASURES = ("elbow", "trail_elbow", "knee", "trail_knee", "turn", "hip_turn", "lean", "head_step", "head_offset", "stance", "turn_step", "loading", "head_knee", "height", "reach", "ankle_pos", "hips_pos", "elbow_pos", "knee_pos", "wrist_pos")
+
+
 def long_form(table: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """(keys, feature, value): one row a feature."""
     return table.unpivot(keys, names, "feature", "value")

@@ -111,12 +111,21 @@ def align(frames: DataFrame) -> DataFrame:
 def resample(frames: DataFrame, length: int = 60) -> DataFrame:
     """Length frames a clip, at floor(i (n - 1) / (length - 1)); source index and time stay.
 
-    Each target row is joined to its source by position, so no clip is collected.
+    Each frame finds the places that it fills among the few that can lie at its
+    position, so a clip is neither collected nor joined with itself.
     """
-    sized = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
-    place = F.floor(F.col("t") * (F.col("n") - 1) / F.lit(float(max(length - 1, 1)))).cast("int") if length > 1 else F.lit(0)
-    targets = sized.select("clip_id", "n", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("t")).select("clip_id", "t", F.when(F.col("n") == length, F.col("t")).otherwise(place).alias("pos"))
-    return targets.join(frames, ["clip_id", "pos"]).withColumnRenamed("pos", "source_pos")
+    n, pos, last = F.count(F.lit(1)).over(Window.partitionBy("clip_id")), F.col("pos"), max(length - 1, 1)
+    place = lambda t: F.floor(t * (F.col("_n") - 1) / F.lit(float(last))).cast("int")
+    low = F.greatest(F.lit(0), F.floor(pos * last / (F.col("_n") - 1)).cast("int") - 1)
+    high = F.least(F.lit(length - 1), F.ceil((pos + 1) * last / (F.col("_n") - 1)).cast("int") + 1)
+    near = F.filter(F.sequence(low, F.greatest(low, high)), lambda t: place(t) == pos)
+    fills = (
+        F.when(F.col("_n") == length, F.array(pos.cast("int")))
+        .when(F.lit(length == 1), F.when(pos == 0, F.array(F.lit(0))))
+        .when(F.col("_n") == 1, F.sequence(F.lit(0), F.lit(length - 1))).otherwise(near)
+    )
+    others = [c for c in frames.columns if c != "pos"]
+    return frames.withColumn("_n", n).select(*others, F.col("pos").alias("source_pos"), F.explode(fills).alias("t"))
 
 
 def fixed_length(docs: DataFrame, length: int = 60) -> DataFrame:

@@ -23,9 +23,14 @@ V = "(CASE WHEN e % 13 = 0 THEN 0.1e0 ELSE 1.0e0 END * ((e * 7 + ({k}) * 13) % 5
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clip a user: their events in order are frames. Some frames are empty, some points invalid."""
+    """One clip a user: their events in order are frames. Some frames are empty, some points invalid.
+
+    Events are dealt by clip in a fixed number of partitions: a frame is a hundred
+    times as large as its event, so partitions must not be joined by events' sizes.
+    """
     order = Window.partitionBy("clip_id").orderBy("ts0", "e")
-    events = table(spark, sf_dir, "events").selectExpr("user_id AS clip_id", "event_id AS e", "ts AS ts0").withColumn("pos", F.row_number().over(order) - 1)
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS clip_id", "event_id AS e", "ts AS ts0").repartition(dealt, "clip_id").withColumn("pos", F.row_number().over(order) - 1)
     marks = f"transform(sequence(0, {LANDMARKS - 1}), k -> named_struct('x', CASE WHEN e % 23 = 0 AND k = 15 THEN NULL ELSE {{x}} END, 'y', {{y}}, 'z', {{z}}, 'visibility', {{v}}))".format(x=f"CAST({X.format(k='k')} AS DOUBLE)", y=f"CAST({Y.format(k='k')} AS DOUBLE)", z=f"CAST({Z.format(k='k')} AS DOUBLE)", v=f"CAST({V.format(k='k')} AS DOUBLE)")
     return events.selectExpr("clip_id", "pos", "pos AS frame_index", "pos / 30e0 AS ts", f"CASE WHEN e % 19 = 0 THEN array() ELSE {marks} END AS landmarks")
 
@@ -127,9 +132,9 @@ se AS (
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback on sessions, one a line item; some users don't own the session that they name."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
     return lines.selectExpr(
-        "l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS id", "l_orderkey AS session_id", "CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id",
+        "(l_orderkey * 1000003 + l_partkey) * 10 + l_linenumber AS id", "l_orderkey AS session_id", "CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id",
         "CASE l_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'unsure' END AS verdict", f"CASE WHEN l_partkey % 3 = 0 THEN {SHOT.format(k='l_partkey')} WHEN l_partkey % 31 = 1 THEN 'sky_shot' END AS corrected_shot",
         "CAST(l_partkey % 8 AS INT) AS rating", "CASE WHEN l_partkey % 5 = 0 THEN array('helpful', 'odd') ELSE array('helpful') END AS tip_flags", "l_suppkey % 3 <> 0 AS consent", "date_format(l_shipdate, 'yyyy-MM-dd') AS created_at",
     )
@@ -137,10 +142,10 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEEDBACK_SQL = f"""
 fb AS (
-  SELECT l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS id, l_orderkey AS session_id, CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id,
+  SELECT (l_orderkey * 1000003 + l_partkey) * 10 + l_linenumber AS id, l_orderkey AS session_id, CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id,
     CASE l_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'unsure' END AS verdict, CASE WHEN l_partkey % 3 = 0 THEN {SHOT.format(k='l_partkey')} WHEN l_partkey % 31 = 1 THEN 'sky_shot' END AS corrected_shot,
     (l_partkey % 8)::INT AS rating, l_partkey % 5 = 0 AS odd_flag, l_suppkey % 3 <> 0 AS consent, strftime(l_shipdate, '%Y-%m-%d') AS created_at
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import features as feat
 from kinelake.operators import dataset, pose, scoring, segmentation
 from kinelake.plans import derive
+from kinelake.session import settle
 
 USED = (0, 11, 12, 13, 14, 15, 16, 23, 24, 25, 26, 27, 28)
 
@@ -23,9 +24,9 @@ def tidy_sql(ctes: str, body: str, keys: list[str], doubles: list[str], digits:
 
 
 def prepared(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
-    """Cleaned, normalised, aligned and resampled frames, in this order."""
-    cleaned = pose.clean(derive.frames(spark, sf_dir))
-    return pose.resample(pose.align(pose.normalise(cleaned)).drop("ok"), length)
+    """The points that features use of cleaned, normalised, aligned and resampled frames, in this order."""
+    points = feat.used_points(pose.clean(derive.frames(spark, sf_dir)), "clip_id", "pos")
+    return pose.resample(feat.align_points(feat.normalise_points(points)), length)
 
 
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def clip_shots(table: DataFrame) -> DataFrame:
 
 
 def scored_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = scoring.clip_statistics(frame_table(spark, sf_dir))
+    stats = settle(scoring.clip_statistics(frame_table(spark, sf_dir)))
     clips = clip_shots(stats)
     template = scoring.templates(stats, scoring.training_clips(clips))
     return scoring.deviations(stats, clips, template)

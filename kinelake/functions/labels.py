@@ -74,6 +74,11 @@ def pseudonym(user: Column) -> Column:
     return F.substring(F.sha2(user.cast("string"), 256), 1, 16)
 
 
+def clip_hash(content: Column) -> Column:
+    """SHA-256 of a clip's bytes."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def band(score: Column) -> Column:
     """F12."""
     return F.when(score >= 90, "strong").when(score >= 75, "solid").when(score >= 60, "needs attention").otherwise("priority issue")

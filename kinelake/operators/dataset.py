@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import labels as rules
+from kinelake.session import settle
 
-#: Groups that a player-disjoint split may have; its greedy step sees one row each.
-MOST_GROUPS = 1_000_000
+#: Rows of a label or plan table that is broadcast.
+FEW = 100_000
 
 
 def metadata(files: DataFrame) -> DataFrame:
     """Metadata of (path): label from the folder, quality and player from the name, ids by path order.
 
-    Ids are ranks in the order of lower-cased paths: ranks inside 256 ranges of a
-    sampled range partitioning would need a pass more; the list of files is
-    small next to the files, so one ordered window serves.
+    Ids are ranks in the order of lower-cased paths: paths are range-partitioned and
+    sorted, then a partition's first rank is the sum of the counts before it.
     """
+    ordered = files.select("path").repartitionByRange(F.lower("path"), F.col("path")).sortWithinPartitions(F.lower("path"), "path")
+    # Partition number and place in it, fixed by the written table.
+    placed = settle(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(firsts), "_part")
+    number = F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     label = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise("unknown")
-    number = F.row_number().over(Window.orderBy(F.lower("path"), "path"))
-    return files.select(
+    return ranked.select(
         F.format_string("%03d", number).alias("video_id"), name.alias("file_name"), F.col("path").alias("relative_path"), label.alias("shot_label"),
         rules.quality_of(stem, label).alias("quality"), rules.player_of(stem).alias("person_id"), F.when(label == "idle", "no").otherwise("yes").alias("use_for_v1"),
     )
@@ -64,11 +70,35 @@ def with_person(predictions: DataFrame, meta: DataFrame) -> DataFrame:
     return predictions.join(looked, "file_name", "left").withColumn("person_id", F.coalesce("person_id", F.lit("unknown"))).withColumn("quality", F.coalesce("_quality", rules.quality_of(F.col("file_name")))).drop("_quality")
 
 
-def encode_labels(rows: DataFrame, label: str = "shot_label") -> DataFrame:
-    """Rows with encoded_label, the place of the label in code-point order; blank labels are dropped."""
-    classes = rows.where(F.trim(label) != "").select(label).distinct()
-    numbered = classes.withColumn("encoded_label", F.row_number().over(Window.orderBy(label)) - 1)
-    return rows.join(numbered, label)
+def encode_labels(rows: DataFrame, label: str = "shot_label", classes: list[str] | None = None) -> DataFrame:
+    """Rows with encoded_label, the place of the label in code-point order.
+
+    classes is a mapping made before. Blank labels, fewer than two classes and labels
+    that classes doesn't hold are errors, raised before any row is encoded.
+    """
+    facts = rows.agg(F.count_if(F.coalesce(F.trim(label), F.lit("")) == ""), F.count_distinct(F.trim(label))).first()
+    if facts[0]:
+        raise ValueError(f"{facts[0]} labels are blank")
+    known = sorted(set(classes)) if classes is not None else None
+    if known is not None:
+        unseen = [r[0] for r in rows.where(~F.trim(label).isin(*known)).select(F.trim(label)).distinct().limit(5).collect()]
+        if unseen:
+            raise ValueError(f"labels that weren't seen before: {unseen}")
+        numbered = rows.sparkSession.createDataFrame(list(enumerate(known)), "encoded_label int, _label string")
+    else:
+        if facts[1] < 2:
+            raise ValueError("fewer than two classes")
+        found = rows.select(F.trim(label).alias("_label")).distinct()
+        numbered = found.withColumn("encoded_label", F.row_number().over(Window.orderBy("_label")) - 1)
+    # One row a class: broadcast below a checked number.
+    slim = F.broadcast(numbered) if facts[1] <= FEW else numbered
+    return rows.join(slim, F.trim(rows[label]) == F.col("_label")).drop("_label")
+
+
+def distribution_check(rows: DataFrame, expected: int, label: str = "shot_label") -> DataFrame:
+    """Labels whose number of rows isn't the expected one, with both numbers."""
+    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") != expected).withColumn("expected", F.lit(expected))
 
 
 def distribution(rows: DataFrame, split: str = "split", label: str = "shot_label") -> DataFrame:
@@ -92,44 +122,103 @@ def stratified_split(rows: DataFrame, key: str, label: str = "shot_label", train
     return placed.withColumn("split", F.when(F.col("_rank") < last_train, "train").when(F.col("_rank") < last_validation, "validation").otherwise("test")).drop("_order", "_bucket", "_first", "_total", "_rank")
 
 
+def _turns(lacks: list[int], n: int, m: int) -> list[tuple[int, int, list[int]]]:
+    """How m groups of n rows each go to the split that lacks most (the first one on ties), one by one.
+
+    (first turn, turns, splits in turn) of each phase: the splits that lack less come
+    in one after the other, and all that are in take turns, as each turn costs n.
+    """
+    phases: list[tuple[int, int, list[int]]] = []
+    lacks, done = list(lacks), 0
+    while done < m:
+        best = max(range(len(lacks)), key=lambda i: (lacks[i], -i))
+        # Those within one turn of the best one are in; a whole round of them changes no order among them.
+        inside = sorted((i for i in range(len(lacks)) if (lacks[i], -i) > (lacks[best] - n, -best)), key=lambda i: (-lacks[i], i))
+        rounds = m
+        for i in set(range(len(lacks))) - set(inside):
+            # Rounds that keep every one inside ahead of those outside, to the last turn.
+            rounds = min(rounds, max(0, (lacks[inside[-1]] - lacks[i] - 1) // n))
+        turns = min(m - done, max(1, rounds) * len(inside)) if rounds else 1
+        phases.append((done, turns, inside if rounds else inside[:1]))
+        for k, i in enumerate(phases[-1][2]):
+            lacks[i] -= n * (turns // len(phases[-1][2]) + (k < turns % len(phases[-1][2])))
+        done += turns
+    return phases
+
+
 def player_disjoint_split(rows: DataFrame, group: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: str = "42") -> DataFrame:
     """Whole groups, largest first (ties in hashed order), each to the split that lacks most; ties go train, validation, test.
 
-    One row a group goes through the greedy step; blank groups and more than
-    MOST_GROUPS groups are errors.
+    Groups of one size are a class. The driver plans turns by class - there are fewer
+    classes than the square root of twice the rows -, and each group finds its turn by
+    its rank in the class, ranked in hashed buckets. Blank groups are errors. Ratios
+    count to six decimals.
     """
     if min(ratios) < 0 or abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must not be negative and sum to 1")
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    facts = sizes.agg(F.count(F.lit(1)), F.count_if(F.col(group).isNull() | (F.trim(F.col(group).cast("string")) == ""))).first()
-    if facts[1]:
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")))
+    sizes = settle(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_order", hashed).withColumn("_bucket", F.substring("_order", 1, 3)))
+    if not sizes.where(F.col(group).isNull() | (F.trim(F.col(group).cast("string")) == "")).isEmpty():
         raise ValueError("a group is blank")
-    if facts[0] > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
-    names = ("train", "validation", "test")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "o"], ascending=[False, True])
-        total, have, out = int(pdf["n"].sum()), [0, 0, 0], []
-        for n in pdf["n"].tolist():
-            lacks = [r * total - h for r, h in zip(ratios, have, strict=True)]
-            pick = lacks.index(max(lacks))
-            have[pick] += n
-            out.append(names[pick])
-        return pdf.assign(split=out)[[group, "split"]]
-
-    kind = rows.schema[group].dataType.simpleString()
-    hashed = sizes.withColumn("o", F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string"))))
-    assigned = hashed.groupBy().applyInPandas(assign, f"`{group}` {kind}, split string")
+    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
+    names, scale = ("train", "validation", "test"), 1_000_000
+    shares = [round(r * scale) for r in ratios]
+    lacks, plan = [s * sum(r["n"] * r["m"] for r in counts) for s in shares], []
+    for r in counts:
+        for first, turns, order in _turns(lacks, r["n"] * scale, r["m"]):
+            plan.append((r["n"], first, first + turns, [names[i] for i in order]))
+            for k, i in enumerate(order):
+                lacks[i] -= r["n"] * scale * (turns // len(order) + (k < turns % len(order)))
+    turns = rows.sparkSession.createDataFrame(plan, "n long, _from long, _to long, _names array<string>")
+    by_class = Window.partitionBy("n")
+    firsts = sizes.groupBy("n", "_bucket").agg(F.count(F.lit(1)).alias("_k")).withColumn("_first", F.coalesce(F.sum("_k").over(by_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    ranked = sizes.join(firsts, ["n", "_bucket"]).withColumn("_rank", F.col("_first") + F.row_number().over(Window.partitionBy("n", "_bucket").orderBy("_order", group)) - 1)
+    slim = F.broadcast(turns) if len(plan) <= FEW else turns
+    in_turn = ranked.join(slim, (ranked["n"] == turns["n"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    place = F.pmod(F.col("_rank") - F.col("_from"), F.size("_names")).cast("int")
+    assigned = in_turn.select(group, F.get("_names", place).alias("split"))
     return rows.join(assigned, group)
 
 
 def split_summary(rows: DataFrame, group: str) -> DataFrame:
-    """Samples and groups of each split, and how many of its groups other splits have, too."""
+    """Samples and groups of each split, and how many of its groups other splits have, too."""
     spread = rows.groupBy(group).agg(F.count_distinct("split").alias("_splits"))
     return rows.join(spread, group).groupBy("split").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(group).alias("groups"), F.count_distinct(F.when(F.col("_splits") > 1, F.col(group))).alias("shared_groups"))
 
 
+def split_labels(rows: DataFrame, label: str = "shot_label") -> DataFrame:
+    """Rows of each split and label; blank labels aren't counted."""
+    return rows.where(F.trim(label) != "").groupBy("split", F.trim(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_overlap(rows: DataFrame, group: str) -> DataFrame:
+    """Groups that two splits share, for each pair of splits, zeros kept; disjoint says that there are none."""
+    names = ("train", "validation", "test")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    held = rows.groupBy(group).agg(F.collect_set("split").alias("s"))
+    both = [F.count_if(F.array_contains("s", a) & F.array_contains("s", b)) for a, b in pairs]
+    made = held.agg(F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), n.alias("shared")) for (a, b), n in zip(pairs, both, strict=True)]).alias("p"))
+    return made.select(F.inline("p")).withColumn("disjoint", F.col("shared") == 0)
+
+
+def split_audit(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """One row: samples in several splits, groups in several splits, and the verdict of both."""
+    several = lambda c, name: rows.groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    both = several(key, "leaked_samples").crossJoin(F.broadcast(several(group, "shared_groups")))  # one row each
+    verdict = F.when(F.col("leaked_samples") > 0, "leakage").when(F.col("shared_groups") > 0, "valid_not_disjoint").otherwise("valid_disjoint")
+    return both.withColumn("verdict", verdict)
+
+
+def person_counts(rows: DataFrame, label: str = "shot_label") -> DataFrame:
+    """Samples of each person in each split, by label and in all (label NULL)."""
+    return rows.groupingSets([["split", "person_id"], ["split", "person_id", label]], "split", "person_id", label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def players(meta: DataFrame) -> DataFrame:
+    """Samples of each person among usable clips."""
+    return meta.where(use_clip(F.col("use_for_v1"))).groupBy("person_id").agg(F.count(F.lit(1)).alias("samples"))
+
+
 def set_report(full: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """Keys that are missing from the parts, extra in them, or in several splits."""
     missing = full.select(key).distinct().join(parts.select(key), key, "left_anti").withColumn("problem", F.lit("missing"))
@@ -138,6 +227,14 @@ def set_report(full: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     return missing.unionByName(extra).unionByName(leaked)
 
 
+def label_report(full: DataFrame, parts: DataFrame, known: tuple[str, ...], label: str = "shot_label") -> DataFrame:
+    """Labels of the parts that aren't known, and known labels that the whole set never has."""
+    unknown = parts.where(~F.col(label).isin(*known)).select(F.col(label).alias("label")).distinct().withColumn("problem", F.lit("unknown"))
+    names = full.sparkSession.createDataFrame([(k,) for k in known], "label string")
+    unseen = names.join(full.select(F.col(label).alias("label")).distinct(), "label", "left_anti").withColumn("problem", F.lit("unseen"))
+    return unknown.unionByName(unseen)
+
+
 def numeric_schema(df: DataFrame, ignored: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
     """Numeric columns that are features, and the columns left out."""
     from pyspark.sql.types import NumericType

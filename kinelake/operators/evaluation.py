@@ -53,9 +53,33 @@ def score_rows(predictions: DataFrame, labels: tuple[str, ...] = SHOTS) -> DataF
 
 
 def softmax(logits: Column) -> Column:
-    """F24."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
+    """each exponential and their sum are made once: the sum travels with them in a one-element array."""
+    exps = F.transform(F.array(F.array_max(logits)), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    summed = F.transform(exps, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("s")))
+    return F.get(F.transform(summed, lambda r: F.transform(r["e"], lambda x: x / r["s"])), F.lit(0))
+
+
+def extract_probabilities(rows: DataFrame) -> DataFrame:
+    """rows with a probabilities map from the first place that is there, and error where none is.
+
+    Precedence of columns: probabilities, class_probabilities, the same in prediction,
+    then prob_<class> columns that aren't blank. Texts are JSON objects.
+    """
+    kinds = dict(rows.dtypes)
+
+    def parsed(column: Column, kind: str) -> Column:
+        return F.from_json(column, "map<string,double>") if kind == "string" else column.cast("map<string,double>")
+
+    places = [parsed(F.col(n), kinds[n]) for n in ("probabilities", "class_probabilities") if n in kinds]
+    if kinds.get("prediction", "").startswith("struct"):
+        inner = dict(rows.select("prediction.*").dtypes)
+        places += [parsed(F.col(f"prediction.{n}"), inner[n]) for n in ("probabilities", "class_probabilities") if n in inner]
+    single = [c for c in rows.columns if c.startswith("prob_")]
+    if single:
+        entries = F.array_compact(F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.struct(F.lit(c.removeprefix("prob_")).alias("k"), F.col(c).try_cast("double").alias("v"))) for c in single]))
+        places.append(F.when(F.size(entries) > 0, F.map_from_entries(entries)))
+    found = F.coalesce(*places) if places else F.lit(None).cast("map<string,double>")
+    return rows.withColumn("probabilities", found).withColumn("extraction_error", F.when(F.col("probabilities").isNull(), "missing_probabilities"))
 
 
 def confusion(scored: DataFrame, labels: tuple[str, ...] = SHOTS) -> DataFrame:
@@ -75,16 +99,30 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
 
 
 def overall_metrics(matrix: DataFrame) -> DataFrame:
-    """Accuracy, macro and weighted F1."""
+    """Accuracy, and macro and weighted means of precision, recall and F1."""
     own = class_metrics(matrix)
     hits = matrix.agg(F.try_divide(F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    return own.agg(F.avg("f1").alias("macro_f1"), F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall")).crossJoin(hits)
+    return own.agg(F.avg("f1").alias("macro_f1"), F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), *[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}") for m in ("precision", "recall")]).crossJoin(hits)
 
 
 def calibration_totals(scored: DataFrame) -> DataFrame:
-    """A22."""
+    """One row over all scored predictions; macro F1 is over all known classes."""
     ok = scored.where("error is null")
-    return ok.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"), F.avg("confidence").alias("mean_confidence"))
+    own = ok.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"), F.avg("confidence").alias("mean_confidence"))
+    f1 = class_metrics(confusion(ok)).agg(F.avg("f1").alias("macro_f1"))
+    return own.crossJoin(F.broadcast(f1))  # one row each
+
+
+def prediction_counts(scored: DataFrame) -> DataFrame:
+    """Predictions of each label."""
+    return scored.where("error is null").groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst_confusions(matrix: DataFrame, most: int = 10) -> DataFrame:
+    """Pairs of unlike labels by number, true and predicted label, all descending, with their rank."""
+    wrong = matrix.where((F.col("true_label") != F.col("predicted_label")) & (F.col("n") > 0))
+    order = Window.orderBy(F.desc("n"), F.desc("true_label"), F.desc("predicted_label"))  # one row a pair of labels
+    return wrong.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -263,6 +263,53 @@ def health_summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("health_status").agg(F.count(F.lit(1)).alias("features"), F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("names"))
 
 
+#: What a status calls for, in our own words.
+ADVICE = {
+    "dead": "No signal: look at these features before any training.",
+    "near_dead": "Almost no signal: compare these features with the poses they come from.",
+    "noisy": "Jumpy: try smoothing or scaling and compare the models.",
+    "healthy": "Ready for experiments; keep watching.",
+}
+#: Limits of ``health``, by name.
+LIMITS = {"dead_range": 1e-12, "near_dead_variance": 1e-8, "near_dead_delta": 1e-6, "noisy_delta_ratio": 0.35, "noisy_spread": 0.30, "noisy_spread_delta": 0.20}
+
+
+def health_advice(checked: DataFrame) -> DataFrame:
+    """Number of features, limits used and advice of each status that occurs."""
+    advice = F.element_at(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair]), F.col("health_status"))
+    limits = F.lit(", ".join(f"{k}={v}" for k, v in LIMITS.items()))
+    return checked.groupBy("health_status").agg(F.count(F.lit(1)).alias("features")).withColumn("advice", advice).withColumn("limits", limits)
+
+
+def tabular_quality(table: DataFrame, names: tuple[str, ...] = CLIP_FEATURES) -> DataFrame:
+    """A10: for each feature the NaN and infinite values, mean, deviation (0 for one value), ends, and whether it varies.
+
+    One wide aggregate; infinite values enter no statistic. Values that aren't numbers count as NaN.
+    """
+    rows = []
+    for n in names:
+        value = F.col(n).cast("double")
+        good = g.finite(value)
+        spread = F.when(F.count(good) > 1, F.stddev_pop(good)).otherwise(0.0)
+        gone, infinite = F.count_if(value.isNull() | F.isnan(value)), F.count_if(F.abs(value) == float("inf"))
+        parts = {"nan": gone, "infinite": infinite, "mean": F.avg(good), "std": spread, "min": F.min(good), "max": F.max(good)}
+        rows.append(F.struct(F.lit(n).alias("feature"), *[column.alias(name) for name, column in parts.items()]))
+    tall = table.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return tall.withColumn("zero_variance", F.col("std") <= 1e-8)
+
+
+def class_means(table: DataFrame, names: tuple[str, ...] = CLIP_FEATURES, label: str = "shot") -> DataFrame:
+    """A10: rows and means of each class, a row a class and feature."""
+    wide = table.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(g.finite(F.col(n))).alias(n) for n in names])
+    return wide.unpivot([label, "n"], list(names), "feature", "mean")
+
+
+def strongest_pairs(pairs: DataFrame) -> DataFrame:
+    """Correlated pairs with their rank by falling absolute value; ties by name."""
+    order = Window.orderBy(F.desc(F.abs("r")), "feature_a", "feature_b")  # at most one row a pair of features
+    return pairs.withColumn("rank", F.row_number().over(order))
+
+
 def correlations(table: DataFrame, names: list[str], least: float = 0.95) -> DataFrame:
     """Pairs with a Pearson correlation beyond least; one aggregate, no self-join."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]

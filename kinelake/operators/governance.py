@@ -115,6 +115,26 @@ def apply_removals(rows: DataFrame, outcomes: DataFrame, sweep: bool = True) ->
     return joined.select("id", F.coalesce(gone, "storage_status").alias("storage_status"), F.when(done, gone).otherwise(F.col("eligibility")).alias("eligibility"), F.when(F.col("outcome").isNotNull(), F.lit(False)).otherwise(F.col("accepted_for_review")).alias("accepted_for_review"))
 
 
+def retention_sweep(rows: DataFrame, outcomes: DataFrame, now: Column, limit: int = 100, dry_run: bool = False) -> DataFrame:
+    """ST8: the candidates of one incremental batch (P16) and what becomes of them: status, storage_status, error_code.
+
+    A dry run names the candidates only. Candidates without an id or user are
+    skipped; deleted, already deleted and not found count as deleted, else deletion
+    stays pending with the outcome as error.
+    """
+    batch = cleanup_candidates(rows, now, limit).select("id", "user_id", "storage_status")
+    known = F.col("id").isNotNull() & F.col("user_id").isNotNull()
+    if dry_run:
+        return batch.select("id", F.when(known, "dry_run").otherwise("skipped").alias("status"), "storage_status", F.when(~known, "missing_identity").alias("error_code"))
+    outcome = F.coalesce("outcome", F.lit("no_outcome"))
+    done = outcome.isin(*DONE)
+    return batch.join(outcomes, "id", "left").select(
+        "id", F.when(known, outcome).otherwise("skipped").alias("status"),
+        F.when(~known, F.col("storage_status")).when(done, "deleted").otherwise("deletion_pending").alias("storage_status"),
+        F.when(~known, "missing_identity").when(~done, outcome).alias("error_code"),
+    )
+
+
 def candidate_view(rows: DataFrame, now: Column) -> DataFrame:
     """G3."""
     return rows.select("id", "user_id", "predicted_shot", "created_at", reviewable(now).alias("reviewable"), F.get_json_object("evidence_metadata", "$.provider_id").alias("provider_id"))

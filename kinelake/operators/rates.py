@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,22 +18,31 @@ def fixed_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def sliding_window(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Only allowed requests count; they expire after more than the window. At most limit times are held."""
+    """Only allowed requests count; they expire after more than the window.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
+    Keys are dealt to partitions and sorted there; a task streams through its batches
+    and holds the last limit times of the key at hand, however long its log is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: deque = deque()
-        out = []
-        for t in pdf["ts"].astype("int64") / 1e9 if str(pdf["ts"].dtype).startswith("datetime64[ns") else pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            while held and t - held[0] > seconds:
-                held.popleft()
-            ok = limit <= 0 or len(held) < limit
-            if ok and limit > 0:
-                held.append(t)
-            out.append(ok)
-        return pdf.assign(allowed=out)[["request_id", "key", "allowed"]]
+        key = object()
+        for pdf in batches:
+            out = []
+            for own, t in zip(pdf["key"].tolist(), pdf["at"].tolist(), strict=True):
+                if own != key:
+                    key = own
+                    held.clear()
+                while held and t - held[0] > seconds * 1e6:
+                    held.popleft()
+                ok = limit <= 0 or len(held) < limit
+                if ok and limit > 0:
+                    held.append(t)
+                out.append(ok)
+            yield pdf.assign(allowed=out)[["request_id", "key", "allowed"]]
 
-    return requests.select("request_id", "key", "ts").groupBy("key").applyInPandas(run, "request_id bigint, key bigint, allowed boolean")
+    ordered = requests.select("request_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition("key").sortWithinPartitions("key", "at", "request_id")
+    return ordered.mapInPandas(run, "request_id bigint, key bigint, allowed boolean")
 
 
 def metric_sums(metrics: DataFrame) -> DataFrame:
@@ -48,3 +58,8 @@ def exposition(sums: DataFrame) -> DataFrame:
     counter = F.array(F.concat("name", F.lit("_total"), tags, F.lit(" "), F.format_string("%.6f", "total")))
     timer = F.array(F.concat("name", F.lit("_seconds_count"), tags, F.lit(" "), F.col("n").cast("string")), F.concat("name", F.lit("_seconds_sum"), tags, F.lit(" "), F.format_string("%.6f", "total")))
     return sums.select("name", "labels", F.posexplode(F.when(F.col("kind") == "counter", counter).otherwise(timer)).alias("place", "line"))
+
+
+def write_exposition(lines: DataFrame, path: str) -> None:
+    """The text lines of ``exposition``, sorted by name and labels over all files."""
+    lines.orderBy("name", "labels", "place").select("line").write.text(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import labels as rules
+from kinelake.session import settle
 
 #: Components, their weights, and the (feature, statistic) pairs they score.
 COMPONENTS = {
@@ -20,6 +21,8 @@ COMPONENTS = {
 }
 LEAST_SPAN, LEAST_SAMPLES, TOLERANCE = 1e-6, 3, 2.0
 MAINTAIN, ISSUE = 85.0, 75.0
+#: Quantiles of a template, and steps in which its values are counted.
+QUANTILES, CELLS = (0.1, 0.5, 0.9), 1024
 
 
 def specs(spark: SparkSession) -> DataFrame:
@@ -43,20 +46,38 @@ def clip_statistics(features: DataFrame, length: int = 60) -> DataFrame:
 
 def training_clips(clips: DataFrame) -> DataFrame:
     """Of (clip_id, shot, quality), the good ones of classes that have enough of them, else all."""
-    good = F.count_if(F.col("quality") == "good").over(Window.partitionBy("shot"))
-    return clips.withColumn("_good", good).where((F.col("_good") < LEAST_SAMPLES) | (F.col("quality") == "good")).drop("_good")
+    good = clips.groupBy("shot").agg(F.count_if(F.col("quality") == "good").alias("_good"))  # one row a class
+    return clips.join(F.broadcast(good), "shot").where((F.col("_good") < LEAST_SAMPLES) | (F.col("quality") == "good")).select(*clips.columns)
 
 
 def templates(stats: DataFrame, clips: DataFrame) -> DataFrame:
-    """(shot, feature, statistic, low, high, center, std, n); one value a clip goes in, so groups are small.
+    """(shot, feature, statistic, low, high, center, std, n); classes with fewer than three clips have none.
 
-    Classes with fewer than three clips have no template.
+    Exact quantiles without a class in one task: values are counted in CELLS equal
+    steps between the ends of their group; only the cells that hold a wanted rank
+    are ranked, and both neighbours of a quantile are interpolated.
     """
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    made = stats.join(clips.select("clip_id", "shot"), "clip_id").groupBy("shot", "feature", "statistic").agg(q.alias("q"), F.stddev_pop("value").alias("std"), F.count("value").alias("n")).where(F.col("n") >= LEAST_SAMPLES)
-    center, pad = F.col("q")[1], F.greatest(F.abs(F.col("q")[1]) * 0.05, F.lit(LEAST_SPAN))
-    narrow = F.col("q")[2] - F.col("q")[0] < LEAST_SPAN
-    return made.select("shot", "feature", "statistic", F.when(narrow, center - pad).otherwise(F.col("q")[0]).alias("low"), F.when(narrow, center + pad).otherwise(F.col("q")[2]).alias("high"), center.alias("center"), "std", "n")
+    key = ["shot", "feature", "statistic"]
+    rows = settle(stats.join(clips.select("clip_id", "shot"), "clip_id").where("value is not null").select(*key, "value"))
+    facts = rows.groupBy(*key).agg(F.min("value").alias("_min"), F.max("value").alias("_max"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
+    facts = F.broadcast(facts.where(F.col("n") >= LEAST_SAMPLES))  # 20 rows a class
+    width = F.col("_max") - F.col("_min")
+    cell = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("value") - F.col("_min")) / width * CELLS))).otherwise(0).cast("int")
+    placed = rows.join(facts, key).withColumn("_cell", cell)
+    cells = placed.groupBy(*key, "n", "_cell").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_first", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    place = lambda q: (F.col("n") - 1) * q
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in QUANTILES])))
+    wanted = cells.where(F.exists(ranks, lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_k")))).select(*key, "_cell", "_first")
+    ranked = placed.join(F.broadcast(wanted), [*key, "_cell"])  # six cells a group at most
+    ranked = ranked.withColumn("_rank", F.col("_first") + F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("value")) - 1)
+    at = lambda r: F.max(F.when(F.col("_rank") == r, F.col("value")))
+    ends = [(at(F.floor(place(q))), at(F.ceil(place(q))), place(q) - F.floor(place(q))) for q in QUANTILES]
+    q = ranked.groupBy(*key, "n", "std").agg(*[(a + (b - a) * F.max(part)).alias(f"_q{i}") for i, (a, b, part) in enumerate(ends)])
+    center, pad = F.col("_q1"), F.greatest(F.abs("_q1") * 0.05, F.lit(LEAST_SPAN))
+    narrow = F.col("_q2") - F.col("_q0") < LEAST_SPAN
+    return q.select(*key, F.when(narrow, center - pad).otherwise(F.col("_q0")).alias("low"), F.when(narrow, center + pad).otherwise(F.col("_q2")).alias("high"), center.alias("center"), "std", "n")
 
 
 def deviations(stats: DataFrame, predicted: DataFrame, template: DataFrame) -> DataFrame:
@@ -88,6 +109,12 @@ def score_summary(scored: DataFrame) -> DataFrame:
     return scored.rollup("weakest").agg(F.count(F.lit(1)).alias("clips"), F.round(F.avg("technique_score"), 4).alias("mean_score"), F.min("technique_score").alias("min_score"), F.max("technique_score").alias("max_score"))
 
 
+def component_means(comps: DataFrame) -> DataFrame:
+    """Mean, ends and number of scores outside 0 to 100 of each component."""
+    outside = ~F.col("score").between(0.0, 100.0)
+    return comps.groupBy("component").agg(F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count_if(F.coalesce(outside, F.lit(True))).alias("outside"))
+
+
 def worst_deviations(devs: DataFrame, most: int = 5) -> DataFrame:
     """The five worst scores under 100 of a clip, repeats of feature, statistic and value dropped."""
     order = [F.col("score"), F.desc("deviation"), F.col("spec_pos")]
@@ -119,7 +146,7 @@ def tip_table(spark: SparkSession) -> DataFrame:
 
 
 def feedback(scored: DataFrame, found: DataFrame) -> DataFrame:
-    """Band, tips, detailed and spoken text of each clip."""
+    """band, tips, detailed and spoken text of each clip."""
     tips = found.join(F.broadcast(tip_table(scored.sparkSession)), "component").groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tip"))), lambda x: x["tip"]).alias("tips"))
     own = scored.join(tips, "clip_id", "left")
     n = F.coalesce(F.size("tips"), F.lit(0))
@@ -129,3 +156,25 @@ def feedback(scored: DataFrame, found: DataFrame) -> DataFrame:
     detailed = F.format_string("%s: technique %.1f of 100 (%s), %d issue(s). %s", shot, "technique_score", rules.band(F.col("technique_score")), n, first)
     spoken = F.when((n == 0) & (F.col("technique_score") >= MAINTAIN), F.concat(F.lit("Great "), shot, F.lit("."))).otherwise(F.concat(F.lit("Your "), shot, F.lit(" scored "), F.format_string("%.0f", "technique_score"), F.lit(". "), first))
     return own.select("clip_id", n.alias("issue_count"), rules.band(F.col("technique_score")).alias("band"), detailed.alias("detailed"), spoken.alias("spoken"))
+
+
+def feature_tip(feature: Column, direction: Column) -> Column:
+    """our own wording of a tip for a feature and the side on which it lies."""
+    name = F.replace(F.regexp_replace(feature, "_(signal|angle)$", ""), F.lit("_"), F.lit(" "))
+    side = F.when(direction == "below", "Raise the").when(direction == "above", "Lower the").otherwise("Watch the")
+    return F.when(feature.isin(*sorted({f for _, pairs in COMPONENTS.values() for f, _ in pairs})), F.concat(side, F.lit(" "), name, F.lit(" towards that of good clips.")))
+
+
+def issue_tips(found: DataFrame) -> DataFrame:
+    """issues with the tip of their feature, else that of their component."""
+    table = F.broadcast(tip_table(found.sparkSession).withColumnRenamed("tip", "_general"))
+    return found.join(table, "component", "left").withColumn("tip", F.coalesce(feature_tip(F.col("feature"), F.col("direction")), "_general")).drop("_general")
+
+
+def feedback_summary(made: DataFrame) -> DataFrame:
+    """One row: clips, issues, clips with spoken text, and whether all have spoken and detailed texts."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return made.agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("issue_count").alias("issues"), F.count_if(filled("spoken")).alias("with_spoken"),
+        F.bool_and(filled("spoken")).alias("spoken_present"), F.bool_and(filled("detailed")).alias("detailed_present"),
+    )

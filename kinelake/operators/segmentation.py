@@ -43,67 +43,73 @@ def motion_energy(features: DataFrame, weights: dict[str, float] | None = None,
     return scaled.select("clip_id", "t", "raw", "normalised", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / window)).alias("smoothed"))
 
 
+#: What a frame does to the counters of a state, before its rules are looked at.
+TICKS = {
+    "preparation": lambda m, e: {"count": m.count + 1},
+    "backswing": lambda m, e: {"swing": m.swing + 1},
+    "swing": lambda m, e: {"swing": m.swing + 1},
+    "follow_through": lambda m, e: {"count": m.count + 1 if e <= m.end else 0},
+    "cooldown": lambda m, e: {"count": m.count - 1},
+}
+#: Of each state: (test, next state, what is set then, suffix of the transition's name); the first test that holds.
+RULES = {
+    "idle": ((lambda m, e: e >= m.start, "preparation", lambda m, t, e: {"begun": t, "count": 1}, ""),),
+    "preparation": (
+        (lambda m, e: e < m.active, "idle", lambda m, t, e: {"begun": -1, "count": 0}, ""),
+        (lambda m, e: m.count >= LEAST_PREPARATION, "backswing", None, ""),
+    ),
+    "backswing": (
+        (lambda m, e: e >= m.start, "swing", None, ""),
+        (lambda m, e: m.swing >= LEAST_SWING, "swing", None, "_by_duration"),
+    ),
+    "swing": ((lambda m, e: m.swing >= LEAST_SWING and e < m.active, "follow_through", lambda m, t, e: {"count": int(e <= m.end)}, ""),),
+    "follow_through": ((lambda m, e: m.count >= STABLE, "completed", lambda m, t, e: {"ended": t}, ""),),
+    "completed": ((lambda m, e: True, "cooldown", lambda m, t, e: {"count": COOLDOWN}, ""),),
+    "cooldown": ((lambda m, e: m.count <= 0 and e <= m.active, "idle", None, ""),),
+}
+#: States in which a sequence's end completes the shot.
+UNFINISHED = ("preparation", "backswing", "swing", "follow_through")
+#: What is kept between frames, and how it begins.
+KEPT = {"state": "idle", "count": 0, "begun": -1, "ended": -1, "trigger": -1, "swing": 0, "peak": -1, "peak_energy": 0.0, "energy": 0.0}
+
+
 class Automaton:
-    """ST1: idle, preparation, backswing, swing, follow_through, completed, cooldown; one step a frame."""
+    """ST1: one step a frame through the table of rules; batch trace, segments and stream share it."""
 
     def __init__(self, start: float = START, active: float = ACTIVE, end: float = END, saved: tuple | None = None) -> None:
-        self.limits = (start, active, end)
-        if saved:
-            self.restore(saved)
-        else:
-            self.state, self.count, self.begun, self.ended, self.trigger = "idle", 0, -1, -1, -1
-            self.swing, self.peak, self.peak_energy, self.energy = 0, -1, 0.0, 0.0
+        self.start, self.active, self.end = start, active, end
+        self.__dict__.update(zip(KEPT, saved, strict=True) if saved else KEPT)
 
     def saved(self) -> tuple:
-        return (self.state, self.count, self.begun, self.ended, self.trigger, self.swing, self.peak, self.peak_energy, self.energy)
-
-    def restore(self, saved: tuple) -> None:
-        self.state, self.count, self.begun, self.ended, self.trigger, self.swing, self.peak, self.peak_energy, self.energy = saved
+        return tuple(getattr(self, name) for name in KEPT)
 
     def step(self, t: int, energy: float) -> tuple[str, bool]:
         """(transition, triggered) of one frame."""
-        start, active, end = self.limits
-        was, why, fired = self.state, "", False
         self.energy = energy
         if energy > self.peak_energy:
             self.peak_energy, self.peak = energy, t
-        if was == "idle" and energy >= start:
-            self.state, self.begun, self.count = "preparation", t, 1
-        elif was == "preparation":
-            if energy < active:
-                self.state, self.begun, self.count = "idle", -1, 0
-            else:
-                self.count += 1
-                if self.count >= LEAST_PREPARATION:
-                    self.state = "backswing"
-        elif was == "backswing":
-            self.swing += 1
-            if energy >= start or self.swing >= LEAST_SWING:
-                self.state, why = "swing", "" if energy >= start else "_by_duration"
-        elif was == "swing":
-            self.swing += 1
-            if self.swing >= LEAST_SWING and energy < active:
-                self.state, self.count = "follow_through", int(energy <= end)
-        elif was == "follow_through":
-            self.count = self.count + 1 if energy <= end else 0
-            if self.count >= STABLE:
-                self.state, self.ended = "completed", t
-                if self.trigger < 0:
-                    fired, self.trigger = True, t
-        elif was == "completed":
-            self.state, self.count = "cooldown", COOLDOWN
-        elif was == "cooldown":
-            self.count -= 1
-            if self.count <= 0 and energy <= active:
-                self.state = "idle"
-        return (f"{was}_to_{self.state}{why}" if self.state != was else ""), fired
+        was = self.state
+        if was in TICKS:
+            self.__dict__.update(TICKS[was](self, energy))
+        for test, following, effect, suffix in RULES[was]:
+            if test(self, energy):
+                self.state = following
+                self.__dict__.update(effect(self, t, energy) if effect else {})
+                return f"{was}_to_{following}{suffix}", following == "completed" and self._fire(t)
+        return "", False
+
+    def _fire(self, t: int) -> bool:
+        """One trigger until the automaton is armed again."""
+        fired = self.trigger < 0
+        self.trigger = t if fired else self.trigger
+        return fired
 
     def finish(self, t: int) -> bool:
         """ST2: complete an active shot at the end of its sequence."""
-        if self.trigger >= 0 or self.begun < 0 or self.state not in ("preparation", "backswing", "swing", "follow_through"):
+        if self.trigger >= 0 or self.begun < 0 or self.state not in UNFINISHED:
             return False
-        self.state, self.ended, self.trigger = "completed", t, t
-        return True
+        self.state, self.ended = "completed", t
+        return self._fire(t)
 
 
 def trace(energy: DataFrame) -> DataFrame:

@@ -120,3 +120,21 @@ def probe_check(rows: DataFrame) -> DataFrame:
 def by_accuracy(rows: DataFrame, which: str = "all", threshold: float = 75.0) -> DataFrame:
     """sessions with an accuracy of the threshold at least (high), under it (low), or all."""
     return rows if which == "all" else rows.where(F.col("accuracy") >= threshold if which == "high" else F.col("accuracy") < threshold)
+
+
+def mean_accuracy(rows: DataFrame) -> DataFrame:
+    """mean of the accuracies that are known, to one decimal; NULL without any."""
+    return rows.agg(F.count("accuracy").alias("known"), F.round(F.avg("accuracy"), 1).alias("mean_accuracy"))
+
+
+def result_details(sessions: DataFrame) -> DataFrame:
+    """Each session's voice_output object (as JSON) and landmarks from its JSON result.
+
+    Landmarks without numbers for x and y are dropped; a missing visibility is 0.
+    Results that aren't objects, or hold no such parts, give NULL and an empty list.
+    """
+    parsed = F.from_json("full_result", "landmarks array<struct<x: string, y: string, visibility: string>>")
+    number = lambda m, c: m[c].try_cast("double")
+    marks = F.transform(F.coalesce(parsed["landmarks"], F.array()), lambda m: F.struct(number(m, "x").alias("x"), number(m, "y").alias("y"), F.coalesce(number(m, "visibility"), F.lit(0.0)).alias("visibility")))
+    voice = F.get_json_object("full_result", "$.voice_output")
+    return sessions.select("id", F.when(voice.startswith("{"), voice).alias("voice_output"), F.filter(marks, lambda m: m["x"].isNotNull() & m["y"].isNotNull()).alias("landmarks"))

@@ -19,9 +19,19 @@ def _scored(s, d):
     return evaluation.score_rows(derive.predictions(s, d))
 
 
+def _past_ties(df):
+    """Four digits on either side by the same arithmetic: quotients that end in a 5 at the fifth digit are moved past the tie first."""
+    return df.select(*[(F.round(F.col(c) + 1e-11, 4) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def _runs(s, d):
-    ok = _scored(s, d).where("error is null").groupBy("model", "seed")
-    return ok.agg(F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("nll").alias("loss"), F.avg("confidence").alias("macro_f1"), F.count(F.lit(1)).alias("parameters")).withColumn("gap", F.col("macro_f1") - F.col("accuracy"))
+    """Runs with their macro F1 over the four classes; the gap is that of mean confidence and accuracy."""
+    ok = _scored(s, d).where("error is null")
+    own = ok.groupBy("model", "seed").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("nll").alias("loss"), F.avg("confidence").alias("_mean"), F.count(F.lit(1)).alias("parameters"))
+    hit = F.when(F.col("true_label") == F.col("predicted_label"), 1).otherwise(0)
+    tall = ok.select("model", "seed", F.inline(F.array(*[F.struct(F.lit(x).alias("label"), (F.col("true_label") == x).cast("int").alias("t"), (F.col("predicted_label") == x).cast("int").alias("p"), (hit * (F.col("true_label") == x).cast("int")).alias("h")) for x in SHOTS])))
+    f1 = tall.groupBy("model", "seed", "label").agg(F.coalesce(F.try_divide(F.sum("h") * 2.0, F.sum("t") + F.sum("p")), F.lit(0.0)).alias("f1")).groupBy("model", "seed").agg(F.avg("f1").alias("macro_f1"))
+    return own.join(f1, ["model", "seed"]).withColumn("gap", F.col("_mean") - F.col("accuracy")).drop("_mean")
 
 
 def _split(s, d):
@@ -47,7 +57,7 @@ QUERIES = {
     "a19_split_summary": lambda s, d: dataset.split_summary(_split(s, d), "person_id"),
     "g4_player_split": lambda s, d: dataset.split_summary(dataset.player_disjoint_split(derive.clips(s, d), "person_id"), "person_id"),
     "a35_manifest": lambda s, d: dataset.manifest(_split(s, d), 32),
-    "f23_score_rows": lambda s, d: tidy(_scored(s, d).where("error is null").select("row_index", "predicted_label", "confidence", "correct", "nll", "brier")),
+    "f23_score_rows": lambda s, d: _past_ties(_scored(s, d).where("error is null").select("row_index", "predicted_label", "confidence", "correct", "nll", "brier")),
     "a21_confusion": lambda s, d: evaluation.confusion(_scored(s, d).where("error is null")),
     "a20_class_metrics": lambda s, d: tidy(evaluation.class_metrics(evaluation.confusion(_scored(s, d).where("error is null")))),
     "a20_overall_metrics": lambda s, d: tidy(evaluation.overall_metrics(evaluation.confusion(_scored(s, d).where("error is null")))),
@@ -68,7 +78,7 @@ QUERIES = {
     "a33d_chart": lambda s, d: tidy(sessions.chart(derive.sessions(s, d))),
     "t10_latest_output": lambda s, d: sessions.latest_output(derive.sessions(s, d)),
     "t11_strongest": lambda s, d: sessions.strongest(sessions.shot_distribution(derive.sessions(s, d))),
-    "t12_first_issues": lambda s, d: sessions.first_issues(derive.sessions(s, d).where("trim(coaching_tips[0]) <> ''")),
+    "t12_first_issues": lambda s, d: sessions.first_issues(derive.sessions(s, d)),
     "w12_streak": lambda s, d: sessions.streak(derive.sessions(s, d), F.expr("DATE '1998-06-01'")),
     "p10_segment_timing": lambda s, d: tidy(sessions.segment_timing(derive.sessions(s, d).selectExpr("id", "start_frame", "end_frame", "CASE WHEN id % 4 = 0 THEN NULL ELSE transform(sequence(0, 49), i -> CASE WHEN id % 3 = 0 AND i = 45 THEN NULL ELSE i / 25.0D END) END AS timing")).select("id", "status", "seconds")),
     "p11_quality_gate": lambda s, d: sessions.quality_gate(derive.sessions(s, d)).select("id", "quality_status", "reasons"),
@@ -101,7 +111,19 @@ _CM = _PR + ", lb(l) AS (VALUES ('cover_drive'), ('defensive_shot'), ('pull_shot
 mt AS (SELECT l AS label, sup AS support, coalesce(hit / nullif(pr, 0), 0) AS precision, coalesce(hit / nullif(sup, 0), 0) AS recall FROM (SELECT l, sum(n) FILTER (true_label = l)::DOUBLE AS sup, sum(n) FILTER (predicted_label = l)::DOUBLE AS pr, sum(n) FILTER (true_label = l AND predicted_label = l)::DOUBLE AS hit FROM lb, cm GROUP BY l)),
 m2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM mt)"""
 _RB = _PR + ", rb AS (SELECT bin, count(confidence) AS n, coalesce(avg(correct::INT), 0) AS accuracy, coalesce(avg(confidence), 0) AS confidence FROM (SELECT i::INT AS bin, i / 10.0::DOUBLE AS lo, (i + 1) / 10.0::DOUBLE AS hi FROM range(0, 10) r(i)) b LEFT JOIN sc ON sc.confidence >= lo AND (sc.confidence < hi OR (bin = 9 AND sc.confidence <= hi)) GROUP BY bin), rg AS (SELECT *, abs(accuracy - confidence) AS gap FROM rb)"
-_RUN = _PR + ", ru AS (SELECT model, seed, avg(correct::INT) AS accuracy, avg(-ln(greatest(pt, 1e-12))) AS loss, avg(confidence) AS macro_f1, count(*) AS parameters FROM sc GROUP BY ALL), ag AS (SELECT model, count(*) AS seeds, avg(macro_f1) AS mean_f1, stddev_pop(macro_f1) AS std_f1, avg(accuracy) AS mean_accuracy, avg(macro_f1 - accuracy) AS mean_gap, avg(loss) AS mean_loss, arg_min(parameters, seed) AS parameters FROM ru GROUP BY model)"
+_RUN = _PR + """, lb(l) AS (VALUES ('cover_drive'), ('defensive_shot'), ('pull_shot'), ('sweep_shot')),
+f1 AS (
+  SELECT model, seed, l, coalesce(2e0 * sum((true_label = l AND correct)::INT) / nullif(sum((true_label = l)::INT) + sum((predicted_label = l)::INT), 0), 0) AS f1
+  FROM sc, lb GROUP BY ALL
+), mf AS (SELECT model, seed, avg(f1) AS macro_f1 FROM f1 GROUP BY ALL),
+ru AS (
+  SELECT model, seed, avg(correct::INT) AS accuracy, avg(-ln(greatest(pt, 1e-12))) AS loss, avg(confidence) AS conf, count(*) AS parameters
+  FROM sc GROUP BY ALL
+), ag AS (
+  SELECT model, count(*) AS seeds, avg(macro_f1) AS mean_f1, stddev_pop(macro_f1) AS std_f1, avg(accuracy) AS mean_accuracy,
+    avg(conf - accuracy) AS mean_gap, avg(loss) AS mean_loss, arg_min(parameters, seed) AS parameters
+  FROM ru JOIN mf USING (model, seed) GROUP BY model
+)"""
 _DIST = _SE + f", us AS (SELECT DISTINCT user_id FROM se), lb(predicted_shot) AS (VALUES ('cover_drive'), ('defensive_shot'), ('pull_shot'), ('sweep_shot')), di AS (SELECT us.user_id, lb.predicted_shot, count(se.id) AS shots, round(avg(technique_match_score), 1) AS mean_score FROM us CROSS JOIN lb LEFT JOIN se ON se.user_id = us.user_id AND se.predicted_shot = lb.predicted_shot GROUP BY ALL), dp AS (SELECT *, CASE WHEN sum(shots) OVER (PARTITION BY user_id) > 0 THEN round(shots * 100.0::DOUBLE / sum(shots) OVER (PARTITION BY user_id), 1) ELSE 0.0 END AS percent FROM di)"
 _LATER = f"try_cast(retention_expires_at AS TIMESTAMP) > {NOW}"
 _DEC = f"""{_SE}, {_FB}, de AS (
@@ -123,11 +145,14 @@ ORACLE = {
     "a17_distribution": f"WITH {_SPLIT} SELECT split, shot_label, count(*) AS n FROM sl GROUP BY ROLLUP (split, shot_label)",
     "a19_split_summary": f"WITH {_SPLIT}, sp AS (SELECT person_id, count(DISTINCT split) AS k FROM sl GROUP BY 1) SELECT split, count(*) AS samples, count(DISTINCT sl.person_id) AS groups, count(DISTINCT sl.person_id) FILTER (k > 1) AS shared_groups FROM sl JOIN sp ON sl.person_id = sp.person_id GROUP BY split",
     "a35_manifest": f"WITH {_SPLIT} SELECT count(*) AS samples, 32 AS features, count(DISTINCT shot_label) AS classes, string_agg(DISTINCT shot_label, ',' ORDER BY shot_label) AS class_names, count(*) FILTER (split = 'train') AS train_samples, count(*) FILTER (split = 'validation') AS validation_samples, count(*) FILTER (split = 'test') AS test_samples FROM sl",
-    "f23_score_rows": tidy_sql(_PR, "SELECT *, -ln(greatest(pt, 1e-12)) AS nll, p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3 - 2 * pt + 1 AS brier FROM sc", ["row_index", "predicted_label", "correct"], ["confidence", "nll", "brier"]),
+    "f23_score_rows": f"""
+WITH {_PR}, m AS (SELECT *, -ln(greatest(pt, 1e-12)) AS nll, p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3 - 2 * pt + 1 AS brier FROM sc)
+SELECT row_index, predicted_label, correct, round(confidence + 1e-11, 4) + 0.0 AS confidence, round(nll + 1e-11, 4) + 0.0 AS nll, round(brier + 1e-11, 4) + 0.0 AS brier
+FROM m""",
     "a21_confusion": f"WITH {_CM} SELECT * FROM cm",
     "a20_class_metrics": tidy_sql(_CM, "SELECT * FROM m2", ["label", "support::BIGINT AS support"], ["precision", "recall", "f1"]),
-    "a20_overall_metrics": tidy_sql(_CM, "SELECT avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, avg(precision) AS macro_precision, avg(recall) AS macro_recall, (SELECT sum(n) FILTER (true_label = predicted_label)::DOUBLE / sum(n) FROM cm) AS accuracy FROM m2", [], ["macro_f1", "weighted_f1", "macro_precision", "macro_recall", "accuracy"]),
-    "a22_calibration": tidy_sql(_PR, "SELECT count(*) AS n, avg(correct::INT) AS accuracy, avg(-ln(greatest(pt, 1e-12))) AS nll, avg(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3 - 2 * pt + 1) AS brier, avg(confidence) AS mean_confidence FROM sc", ["n"], ["accuracy", "nll", "brier", "mean_confidence"]),
+    "a20_overall_metrics": tidy_sql(_CM, "SELECT avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, avg(precision) AS macro_precision, avg(recall) AS macro_recall, sum(precision * support) / sum(support) AS weighted_precision, sum(recall * support) / sum(support) AS weighted_recall, (SELECT sum(n) FILTER (true_label = predicted_label)::DOUBLE / sum(n) FROM cm) AS accuracy FROM m2", [], ["macro_f1", "weighted_f1", "macro_precision", "macro_recall", "weighted_precision", "weighted_recall", "accuracy"]),
+    "a22_calibration": tidy_sql(_CM, "SELECT (SELECT avg(f1) FROM m2) AS macro_f1, count(*) AS n, avg(correct::INT) AS accuracy, avg(-ln(greatest(pt, 1e-12))) AS nll, avg(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3 - 2 * pt + 1) AS brier, avg(confidence) AS mean_confidence FROM sc", ["n"], ["accuracy", "nll", "brier", "mean_confidence", "macro_f1"]),
     "a23_reliability": tidy_sql(_RB, "SELECT * FROM rg", ["bin", "n"], ["accuracy", "confidence", "gap"]),
     "a23_calibration_error": tidy_sql(_RB, "SELECT sum(gap * n) / sum(n) AS ece, max(gap) AS mce FROM rg", [], ["ece", "mce"]),
     "a24_rejection": tidy_sql(_PR, "SELECT th AS threshold, count(*) FILTER (confidence >= th) AS accepted, count(*) FILTER (confidence < th) AS rejected, coalesce(avg(correct::INT) FILTER (confidence >= th), 0) AS accuracy, (count(*) FILTER (confidence >= th))::DOUBLE / count(*) AS coverage FROM sc, (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in _THRESHOLDS) + ") v(th) GROUP BY th", ["accepted", "rejected"], ["threshold", "accuracy", "coverage"]),
@@ -144,7 +169,7 @@ ORACLE = {
     "a33d_chart": tidy_sql(_SE, "SELECT coalesce(predicted_shot, 'unknown') AS shot, count(*) AS n, sum(duration_seconds) AS seconds, avg(shot_confidence) AS mean_confidence FROM se GROUP BY 1", ["shot", "n"], ["seconds", "mean_confidence"]),
     "t10_latest_output": f"WITH {_SE} SELECT user_id, id, CASE WHEN id % 3 <> 0 THEN 'tip ' || (id % 10)::VARCHAR WHEN id % 2 = 0 THEN 'spoken ' || user_id::VARCHAR ELSE 'detail ' || id::VARCHAR END AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM se) WHERE r = 1",
     "t11_strongest": f"WITH {_DIST} SELECT user_id, max(predicted_shot) FILTER (a = 1 AND mean_score IS NOT NULL) AS strongest, max(predicted_shot) FILTER (b = 1) AS most_practised FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mean_score DESC NULLS LAST, predicted_shot) AS a, row_number() OVER (PARTITION BY user_id ORDER BY shots DESC, predicted_shot) AS b FROM di) GROUP BY user_id",
-    "t12_first_issues": f"WITH {_SE} SELECT user_id, r::INT AS rank, 'tip ' || (id % 10)::VARCHAR AS issue FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM se WHERE id % 3 <> 0) WHERE r <= 3",
+    "t12_first_issues": f"WITH {_SE} SELECT user_id, r::INT AS rank, CASE WHEN id % 3 = 0 THEN '' ELSE 'tip ' || (id % 10)::VARCHAR END AS issue FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM se) WHERE r <= 3",
     "w12_streak": f"WITH {_SE}, dd AS (SELECT DISTINCT user_id, day::DATE AS day FROM se), il AS (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS g FROM dd) SELECT user_id, count(*) AS streak FROM il GROUP BY user_id, g HAVING max(day) = DATE '1998-06-01'",
     "p11_quality_gate": f"WITH {_SE} SELECT id, CASE WHEN clean_frames < 20 THEN 'insufficient_quality' WHEN shot_confidence < 0.55 THEN 'uncertain' ELSE 'ok' END AS quality_status, concat_ws(',', CASE WHEN shot_confidence < 0.55 THEN 'low_confidence' END, CASE WHEN clean_frames < 20 THEN 'too_few_clean_frames' END) AS reasons FROM se",
     "p10_segment_timing": tidy_sql(_SE, "SELECT id, st AS status, CASE WHEN st = 'ok' THEN round(greatest(0, (end_frame - start_frame) / 25.0::DOUBLE), 3) WHEN end_frame >= start_frame THEN round((end_frame - start_frame + 1) / 30.0::DOUBLE, 2) ELSE 0 END AS seconds FROM (SELECT *, CASE WHEN id % 4 = 0 THEN 'unavailable' WHEN end_frame < start_frame OR end_frame >= 50 THEN 'invalid_segment' WHEN id % 3 = 0 AND (start_frame = 45 OR end_frame = 45) THEN 'missing_timestamps' ELSE 'ok' END AS st FROM se)", ["id", "status"], ["seconds"]),

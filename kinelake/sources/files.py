@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +49,10 @@ def read_metadata(spark: SparkSession, path: str, required: tuple[str, ...] = ME
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:
     """S3: path, length, modificationTime of .mov and .mp4 files, without reading their content."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(mov|mp4)$")).orderBy(F.lower("path"))
+    return found.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(mov|mp4)$"))
 
 
-def read_rows(spark: SparkSession, path: str, kind: str, wrappers: tuple[str, ...] = ("samples",)) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, kind: str, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
     """Rows of a CSV, JSONL or JSON file; JSON is a list, or an object with one of the wrappers."""
     if kind == "csv":
         return spark.read.option("header", True).csv(path)
@@ -61,13 +64,34 @@ def read_rows(spark: SparkSession, path: str, kind: str, wrappers: tuple[str, ..
 
 
 def write_rows(df: DataFrame, path: str, kind: str) -> None:
-    """CSV in column order, JSONL with sorted keys, or JSON with one samples list for each partition's file."""
+    """CSV in column order, JSONL with sorted keys, or JSON: objects with a list of samples, one for each partition.
+
+    Each file of JSON is one object that ``read_rows`` takes; no list passes through one task.
+    """
     if kind == "csv":
         df.write.option("header", True).csv(path)
     elif kind == "jsonl":
         df.select(*sorted(df.columns)).write.json(path)
+    elif kind == "json":
+        row = F.to_json(F.struct(*sorted(df.columns)))
+
+        def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = True
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_pydict({"value": [('{"samples": [' if first else ",") + text]})
+                    first = False
+            if not first:
+                yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+        df.select(row.alias("value")).mapInArrow(wrap, "value string").write.text(path)
     else:
-        raise ValueError("kind is csv or jsonl")
+        raise ValueError("kind is csv, jsonl or json")
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Pose documents (out_name, other columns) as JSON lines, a folder for each output name."""
+    docs.write.partitionBy("out_name").json(path)
 
 
 def union_ragged(parts: list[DataFrame]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over live frames, sessions and requests.
 
-Event time is the frame's or request's own time; late rows beyond the watermark
-are dropped, and state goes by timeout.
+Aggregates go by the rows' own time: rows beyond the watermark are dropped, and a
+session's or window's state leaves once the watermark has passed it. Automata and
+sliding windows keep a bounded state a key, which leaves by processing-time timeout.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kinelake.functions.labels import SHOTS
 from kinelake.operators.segmentation import Automaton
 
-WATERMARK = "10 minutes"
+WATERMARK, SESSION_GAP = "10 minutes", "1 hour"
 STATE = "state string, count int, begun int, ended int, trigger int, swing int, peak int, peak_energy double, energy double, last int"
 SHOT = "session_id string, start_frame int, end_frame int, peak_frame int, trigger_frame int, completion_reason string"
 
@@ -50,14 +51,22 @@ def segment_stream(energy: DataFrame) -> DataFrame:
     return energy.groupBy("session_id").applyInPandasWithState(run, SHOT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def running_scores(results: DataFrame) -> DataFrame:
+def _sessions(results: DataFrame, watermark: str, gap: str):
+    """Supported shots (session_id, shot, score, ts) grouped by session and shot; a pause of gap ends a session's state."""
+    known = results.where(F.col("shot").isin(*SHOTS)).withWatermark("ts", watermark)
+    return known.groupBy(F.session_window("ts", gap).alias("span"), "session_id", "shot")
+
+
+def running_scores(results: DataFrame, watermark: str = WATERMARK, gap: str = SESSION_GAP) -> DataFrame:
     """ST4: mean score of each session's supported shots; NULL scores are passed over."""
-    return results.where(F.col("shot").isin(*SHOTS) & F.col("score").isNotNull()).groupBy("session_id", "shot").agg(F.round(F.avg("score"), 1).alias("mean_score"))
+    made = _sessions(results.where(F.col("score").isNotNull()), watermark, gap).agg(F.round(F.avg("score"), 1).alias("mean_score"))
+    return made.select("session_id", "shot", F.col("span.start").alias("since"), "mean_score")
 
 
-def running_counts(results: DataFrame) -> DataFrame:
+def running_counts(results: DataFrame, watermark: str = WATERMARK, gap: str = SESSION_GAP) -> DataFrame:
     """ST5."""
-    return results.where(F.col("shot").isin(*SHOTS)).groupBy("session_id", "shot").agg(F.count(F.lit(1)).alias("n"))
+    made = _sessions(results, watermark, gap).agg(F.count(F.lit(1)).alias("n"))
+    return made.select("session_id", "shot", F.col("span.start").alias("since"), "n")
 
 
 def shots_per_day(results: DataFrame, watermark: str = WATERMARK) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.functions import geometry, labels
-from kinelake.operators import dataset, evaluation, features, pose, rates, segmentation
+from kinelake.operators import dataset, evaluation, features, pose, rates, segmentation, sessions
 from kinelake.plans import registry
 from kinelake.sources import files
 from kinelake.streaming import live
@@ -27,7 +27,7 @@ def compare(df, sql):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["p1_metadata", "w11_stratified_split", "a21_confusion", "a23_reliability", "a33_shot_distribution", "j7_verdicts", "g1_decisions", "p14_review_queue", "w14_fixed_window", "p5_clean_counts", "p8_resample", "p19_verify"])
+@pytest.mark.parametrize("name", ["p1_metadata", "w11_stratified_split", "a21_confusion", "a23_reliability", "a33_shot_distribution", "j7_verdicts", "g1_decisions", "p14_review_queue", "w14_fixed_window", "p5_clean_counts", "p8_resample", "p19_verify", "f23_score_rows", "st1_state_trace", "w15_sliding_window", "g4_player_split", "a28_templates", "a18_split_audit", "j1_match_sequences"])
 def test_against_sql(spark, name):
     compare(registry.queries()[name](spark, SF), registry.oracle_sql()[name])
 
@@ -136,7 +136,80 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("session_id string, t int, smoothed double").parquet(str(tmp_path / "e"))
     got = run_stream(live.segment_stream(stream), "shots", "append").collect()
     assert len(got) == 1 and got[0]["peak_frame"] == 5
-    spark.createDataFrame([("s", "cover_drive", 80.0), ("s", "cover_drive", None), ("s", "x", 1.0)], "session_id string, shot string, score double").write.parquet(str(tmp_path / "r"))
-    stream = spark.readStream.schema("session_id string, shot string, score double").parquet(str(tmp_path / "r"))
+    rows = [("s", "cover_drive", 80.0, "2024-01-01 10:00:00"), ("s", "cover_drive", None, "2024-01-01 10:01:00"), ("s", "x", 1.0, "2024-01-01 10:02:00")]
+    spark.createDataFrame(rows, "session_id string, shot string, score double, t string").withColumn("ts", F.to_timestamp("t")).write.parquet(str(tmp_path / "r"))
+    stream = spark.readStream.schema("session_id string, shot string, score double, t string, ts timestamp").parquet(str(tmp_path / "r"))
     assert run_stream(live.running_scores(stream), "means", "complete").first()["mean_score"] == 80.0
     assert run_stream(live.running_counts(stream), "counts", "complete").first()["n"] == 2
+    days = stream.withColumn("user_id", F.lit("u"))
+    assert run_stream(live.shots_per_day(days), "days", "complete").first()["n"] == 3
+    requests = spark.createDataFrame([(i, 1, f"2024-01-01 00:00:0{i}") for i in range(4)], "request_id bigint, key bigint, t string").withColumn("ts", F.to_timestamp("t"))
+    requests.coalesce(1).write.parquet(str(tmp_path / "q"))
+    log = spark.readStream.schema("request_id bigint, key bigint, t string, ts timestamp").parquet(str(tmp_path / "q"))
+    assert [r["allowed"] for r in run_stream(live.sliding_requests(log, 2, 10), "slides", "append").orderBy("request_id").collect()] == [True, True, False, False]
+    assert run_stream(live.request_windows(log, 3, 60), "windows", "complete").first()["rejected"] == 1
+
+
+def test_turns_against_brute_force():
+    import random
+
+    random.seed(1)
+    for case in range(3000):
+        n, m, lacks = random.randint(1, 7), random.randint(1, 60), [random.randint(-20, 60) for _ in range(3)]
+        lacks = [x // 3 * 3 for x in lacks] if case % 3 == 0 else lacks
+        got = [order[k % len(order)] for _, turns, order in dataset._turns(lacks, n, m) for k in range(turns)]
+        have, want = list(lacks), []
+        for _ in range(m):
+            want.append(have.index(max(have)))
+            have[want[-1]] -= n
+        assert got == want
+
+
+def test_encoding_refuses(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "shot_label string")
+    assert {r["encoded_label"] for r in dataset.encode_labels(rows).collect()} == {0, 1}
+    for bad, classes in ((rows.unionByName(spark.createDataFrame([(" ",)], "shot_label string")), None), (rows.where("shot_label = 'a'"), None), (rows, ["a"])):
+        with pytest.raises(ValueError):
+            dataset.encode_labels(bad, classes=classes)
+
+
+def test_documents_and_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "k int, name string").repartition(2)
+    files.write_rows(rows, str(tmp_path / "json"), "json")
+    assert files.read_rows(spark, str(tmp_path / "json"), "json").count() == 5
+    files.write_rows(rows, str(tmp_path / "jsonl"), "jsonl")
+    assert files.read_rows(spark, str(tmp_path / "jsonl"), "jsonl").columns == ["k", "name"]
+    named = rows.select(files.stage_name(F.lit("a/b_normalized_aligned.json"), "_sequence").alias("out_name"), "k")
+    files.write_documents(named, str(tmp_path / "docs"))
+    assert spark.read.json(str(tmp_path / "docs")).where("out_name = 'b_sequence.json'").count() == 5
+    ragged = files.union_ragged([rows.select("k"), rows.select("name", "k")])
+    assert ragged.columns == ["k", "name"] and ragged.count() == 10
+    (tmp_path / "v").mkdir()
+    for name in ("b.MOV", "a.mp4", "c.txt"):
+        (tmp_path / "v" / name).write_bytes(b"x")
+    assert files.list_videos(spark, str(tmp_path / "v")).count() == 2
+    sums = rates.metric_sums(spark.createDataFrame([("m", "counter", {"a": "1"}, 2.0), ("k", "timer", {}, 1.5)], "name string, kind string, labels map<string,string>, value double"))
+    rates.write_exposition(rates.exposition(sums), str(tmp_path / "text"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()) == ["k_seconds_count 1", "k_seconds_sum 1.500000", 'm_total{a="1"} 2.000000']
+
+
+def test_fixed_length_and_vectors(spark):
+    mark = (0.1, 0.2, 0.3, 0.9)
+    schema = "clip_id bigint, frames array<struct<frame_index: int, timestamp: double, landmarks: array<struct<x: double, y: double, z: double, visibility: double>>>>"
+    docs = spark.createDataFrame([(1, [(i, i / 30, [mark]) for i in range(7)]), (2, [(0, 0.0, [mark])]), (3, [])], schema)
+    got = {r["clip_id"]: [f["frame_index"] for f in r["frames"]] for r in pose.fixed_length(docs, 4).collect()}
+    assert got == {1: [0, 2, 4, 6], 2: [0, 0, 0, 0], 3: []}
+    assert docs.where("clip_id = 1").select(pose.flat_vector(F.col("frames")[0]["landmarks"]).alias("v")).first()["v"] == list(mark)
+
+
+def test_results_without_objects(spark):
+    rows = spark.createDataFrame([(1, None), (2, "no json"), (3, '{"landmarks": [{"x": 1, "y": "2"}, {"x": "a", "y": 1}], "voice_output": {"e": 1}}'), (4, '{"voice_output": "v"}')], "id int, full_result string")
+    got = {r["id"]: r for r in sessions.result_details(rows).collect()}
+    assert got[3]["voice_output"] == '{"e":1}' and [tuple(m) for m in got[3]["landmarks"]] == [(1.0, 2.0, 0.0)]
+    assert all(got[i]["voice_output"] is None and got[i]["landmarks"] == [] for i in (1, 2, 4))
+
+
+def test_quality_of_features(spark):
+    rows = spark.createDataFrame([("p", 1.0, 5.0), ("p", float("nan"), 5.0), ("q", float("inf"), 5.0), ("q", None, 5.0)], "shot string, a double, b double")
+    got = {r["feature"]: r for r in features.tabular_quality(rows, ("a", "b")).collect()}
+    assert (got["a"]["nan"], got["a"]["infinite"], got["a"]["mean"], got["a"]["std"], got["b"]["zero_variance"]) == (2, 1, 1.0, 0.0, True)

@@ -21,6 +21,8 @@ DIMENSIONS, NGRAM, SEED = 512, 3, 20
 TRAIN_DOCS = 1500
 #: n-gram vectors that a task remembers: 512 float32 each.
 REMEMBERED = 60_000
+#: Letters whose vectors a task remembers; the others are drawn again.
+LETTERS = 8192
 #: Sharpness of the score: exp(SHARPNESS * cosine), normalised over languages.
 SHARPNESS = 25.0
 NO_LANGUAGE = "und"
@@ -39,6 +41,8 @@ class Encoder:
     def _letter(self, code: int) -> np.ndarray:
         """Code 0, anything but letters, is the word boundary and has a vector, too."""
         if code not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
             rng = np.random.default_rng([self.seed, code])
             self.letters[code] = rng.integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
         return self.letters[code]
@@ -94,7 +98,8 @@ def held_out(id_col):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
     """Unit prototype of each language, from about train_docs hashed texts of each that aren't held out.
 
-    Only the prototypes, one row a language and dimension, reach the driver.
+    Only the prototypes, one row a language and dimension, reach the driver. Null
+    languages and texts without a letter teach nothing; an empty table, no language.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rates = settle(usable.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")))
@@ -106,7 +111,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         own = encoder()
         # Every text weighs alike, however long it is.
         vectors = [own.vector(text) for text in texts]
-        return [[[] if v is None else np.round(v / np.linalg.norm(v) * 1e6).astype(np.int64) for v in vectors]]
+        return [[[] if v is None else np.round(v / (np.linalg.norm(v) or 1.0) * 1e6).astype(np.int64) for v in vectors]]
 
     parts = map_column(chosen, ["lang"], "text", run, {"vector": "array<long>"})
     sums = parts.select("lang", F.posexplode("vector").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -121,7 +126,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 
     lang_pred is ``und`` with score 0 for a null text or one without letters, and
     where no language was learned. Equal cosines go to the first language by code
-    point. Repeated rows are predicted one by one; other columns are ignored.
+    point. Texts are read whole. Repeated rows, and rows with a null id, are predicted
+    one by one; other columns are ignored. An empty table gives no rows.
     """
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS), dtype=np.float32)

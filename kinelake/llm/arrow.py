@@ -33,7 +33,10 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
     release drops what function remembers; a task calls it at its end.
     """
     _bound_batches(df)
-    slim = df.select(*keep, df[column].alias("_value"))
+    value = "_value"
+    while value in keep:
+        value += "_"
+    slim = df.select(*keep, df[column].alias(value))
     made_fields = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in out.items())).fields
     schema = StructType(slim.schema.fields[:-1] + made_fields)
 

@@ -387,3 +387,170 @@ def test_recall_of_fuzzy_passages(spark):
     print(recall)
     assert min(recall.values()) >= 0.9
     assert all(abs(a - b) == 1 and max(a, b) % 2 for a, b in best)
+
+
+CLASHES = ("score", "predicted", "_text", "copies", "_mixed", "_value", "_row", "_id", "digest", "row", "text_key", "node", "label", "rows")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Null ids, ids with several texts, repeated rows, and columns named like those that operators make."""
+    near = " ".join(f"n{i}" for i in range(60))
+    texts = [(5, "aaa"), (5, "unique text"), (9, "AAA"), (7, "dup one"), (7, "dup one"), (None, "no id"), (None, "no id"), (None, "aaa"), (3, None), (3, ""), (4, None), (2, near), (2, near + " end"), (None, near + " last"), (1, "other words here")]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(n) for n, c in enumerate(CLASHES)})
+
+
+def counted(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_stages_neither_lose_nor_keep_rows_by_id(spark, clashing):
+    once = exact_dedup.drop_exact_copies(clashing)
+    near = [t for i, t in ((r["doc_id"], r["text"]) for r in clashing.collect()) if t and t.startswith("n0 ")]
+    assert once.columns == clashing.columns
+    want = [(5, "unique text"), (9, "AAA"), (7, "dup one"), (None, "no id"), (4, None), (1, "other words here"), (2, near[0]), (2, near[1]), (None, near[2])]
+    assert counted(once) == sorted(want, key=str)
+    left = jaccard_join.drop_near_copies(clashing)
+    assert left.columns == clashing.columns
+    kept = counted(left)
+    # wordless texts stay, one near copy under the smallest id stays, of equal sets the smallest id
+    assert [r for r in kept if r[1] in (None, "")] == [(3, ""), (3, None), (4, None)]
+    assert sum(1 for _, t in kept if t and t.startswith("n0 ")) == 1 and (2 in [i for i, t in kept if t and t.startswith("n0 ")])
+    assert sorted((i, t) for i, t in kept if t and not t.startswith("n0 ") and i is not None) == [(1, "other words here"), (5, "aaa"), (5, "unique text"), (7, "dup one")]
+    assert [r for r in kept if r[0] is None] == [(None, "no id")]
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
+    calm = toxicity.drop_toxic(clashing, labels)
+    assert calm.columns == clashing.columns and counted(calm) == counted(clashing)
+    mixed = mixing.mix_documents(clashing)
+    words = [t for _, t in counted(clashing) if t]
+    assert mixed.columns == clashing.columns and sorted(t for _, t in counted(mixed)) == sorted(words)
+    assert sum(i is None for i, _ in counted(mixed)) == 4
+    encoded = sentencepiece_codec.encode(clashing)
+    assert encoded.count() == clashing.count() and set(CLASHES) < set(encoded.columns)
+
+
+def test_repeated_and_null_ids_in_joins(spark, clashing):
+    got = jaccard_join.link(clashing, size=4, percent=85).collect()
+    assert len(got) == clashing.count()
+    near = {(r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] > 50}
+    assert near == {(57, 2), (58, 2)}
+    found = substring_dedup.repeated_passages(clashing).collect()
+    assert sorted((str(r["doc_id"]), str(r["other_id"])) for r in found) == [("2", "2"), ("None", "2"), ("None", "2")] and all(r["words"] == 60 for r in found)
+
+
+def test_empty_tables(spark):
+    none = empty(spark)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for made in (
+        sentencepiece_codec.round_trip(none), sentencepiece_codec.encode(none), media.read_media(media.store_texts(none)), toxicity.drop_toxic(none, labels),
+        exact_dedup.drop_exact_copies(none), jaccard_join.drop_near_copies(none), mixing.mix_documents(none),
+        html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")),
+    ):
+        assert made.count() == 0
+
+
+def test_language_vectors_by_definition():
+    own = language_id.Encoder(dimensions=64)
+    text = "Ab c, éa"
+    letters = lambda c: np.random.default_rng([language_id.SEED, ord(c) if c else 0]).integers(0, 2, 64) * 2.0 - 1
+    codes = ["", "a", "b", "", "c", "", "é", "a", ""]
+    want = np.zeros(64)
+    for i in range(len(codes) - 2):
+        bound = np.ones(64)
+        for place in range(3):
+            bound *= np.roll(letters(codes[i + place]), place)
+        want += bound
+    got = own.vector(text)
+    assert np.allclose(got, want)
+    other = own.vector("zz top")
+    cosine = sum(a * b for a, b in zip(got.tolist(), other.tolist(), strict=True)) / (sum(a * a for a in got.tolist()) ** 0.5 * sum(b * b for b in other.tolist()) ** 0.5)
+    assert abs(cosine - float(got @ other) / np.linalg.norm(got) / np.linalg.norm(other)) < 1e-6
+    assert own.vector("12 !") is None and own.vector(None) is None
+
+
+def test_viterbi_against_all_readings():
+    grams = {}
+    for word in ("idiot", "stupid", "tool", "list", "belt"):
+        for i in range(len(word) + 1):
+            gram = f"  {word} "[i : i + 3]
+            grams[gram] = grams.get(gram, 0) + 50
+    restorer = toxicity.Restorer(grams)
+
+    def readings(span):
+        if not span:
+            yield "", 0.0
+            return
+        char, spaced = span[-1], any(c in " .-_*" for c in whole)
+        steps = [("", toxicity.DROPPED), (" ", toxicity.LITERAL)] if spaced and char in " .-_*" else [(c, toxicity.DISGUISE) for c in toxicity.READINGS[char]] + [(" ", toxicity.LITERAL)] if char in toxicity.READINGS else [(char, 0.0)]
+        if len(span) > 1 and span[-2] == char and char.isalpha():
+            steps.append(("", toxicity.DROPPED))
+        for before, price in readings(span[:-1]):
+            for out, more in steps:
+                yield before + out, price + more
+
+    def cost(reading):
+        state, total = "  ", 0.0
+        for c in [*reading, " "]:
+            total += restorer.cost(state, c)
+            state = state[1] + c
+        return total
+
+    for whole in ("1d10t", "stuupid", "t00l", "b3l7", "i d i o t", "l1$7", "t-0-0-l", "xx1"):
+        best = min(price + cost(reading) for reading, price in readings(whole))
+        found = restorer._search(whole)
+        assert min(price + cost(reading) for reading, price in readings(whole) if " ".join(reading.split()) == found) <= best + 1e-9, whole
+
+
+def test_long_runs_of_letters_are_read_in_linear_time():
+    import time
+
+    restorer, began = toxicity.Restorer({"abc": 5}), time.process_time()
+    for text in ("acgt" * 50_000, "abcd" * 50_000 + "ee", "1234" * 5000):
+        toxicity.words_of(text, restorer)
+    assert time.process_time() - began < 20
+
+
+def test_cosine_hash_by_definition_and_split_chunks():
+    rng = np.random.default_rng(3)
+    samples = rng.integers(0, 256, (24, 48), dtype=np.uint8)
+    h, w = samples.shape
+    waves = [[sum(float(samples[y, x]) * np.cos(np.pi * u * (2 * y + 1) / (2 * h)) * np.cos(np.pi * v * (2 * x + 1) / (2 * w)) for y in range(h) for x in range(w)) / (h * w) for v in range(8)] for u in range(8)]
+    flat = np.round(np.array(waves).ravel(), 9)
+    bits = flat > np.median(flat[1:])
+    assert media.cosine_hash(samples) == "%016x" % int("".join("01"[int(b)] for b in bits), 2)
+    whole = media.write_png(samples)
+    at = whole.index(b"IDAT") - 4
+    size = struct.unpack(">I", whole[at : at + 4])[0]
+    body = whole[at + 8 : at + 8 + size]
+    parts = b"".join(media._chunk(b"IDAT", body[i : i + 100]) for i in range(0, size, 100))
+    assert (media.read_png(whole[:at] + parts + whole[at + 12 + size :]) == samples).all()
+
+
+def test_windows_decide_without_containers():
+    """Given pages with article and main renamed: the text is the same on 95 % and more."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()
+    same = sum(html_extract.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page)) == html_extract.main_text(page) for page in pages)
+    assert same >= 0.95 * len(pages)
+    long = "<nav>Menu</nav>" + "".join(f"<p>word{i} text of a long page.</p>" for i in range(20_000)) + "<footer>f</footer>"
+    assert html_extract.main_text(long).count("word") == 20_000 and "Menu" not in html_extract.main_text(long)
+    tie = "<p>one two three</p><nav>x</nav><p>one two three</p>"
+    assert html_extract.main_text(tie) == "one two three one two three"
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        lengths = np.where(rng.random(30) < 0.3, 0, rng.integers(1, 200, 30))
+        parts = html_extract.stretches(lengths)
+        inside = {i for first, last, _ in parts for i in range(first, last)}
+        assert {i for i in range(30) if lengths[i]} <= inside
+        # lines of one stretch are never parted by a window of empty lines
+        for first, last, _ in parts:
+            filled = [i for i in range(first, last) if lengths[i]]
+            assert all(b - a <= html_extract.WINDOW for a, b in zip(filled, filled[1:], strict=False))
+    assert html_extract.stretches(np.array([0, 0], dtype=np.int64)) == []

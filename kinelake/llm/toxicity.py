@@ -213,6 +213,7 @@ class Model:
         self.starts = {f.rstrip("*") for f in weights if f.endswith("*")}
         self.heads = {start[: STARTS[0]] for start in self.starts}
         self.telling: dict[str, tuple[str, ...]] = {}
+        self.before: dict[str, tuple[str, ...]] = {}
 
     def restorer(self) -> Restorer:
         """One restorer a task process, with its memory."""
@@ -221,10 +222,13 @@ class Model:
 
     def _telling(self, token: str, restorer: Restorer) -> tuple[str, ...]:
         """Words of a token that the model knows, or whose start it knows."""
-        found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
+        found = self.before.get(token)
+        if found is None:
+            found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
         if len(token) <= LONG:
-            if len(self.telling) > 2 * REMEMBERED:
-                self.telling.clear()
+            # Two generations: what is met again in time isn't forgotten.
+            if len(self.telling) > REMEMBERED:
+                self.before, self.telling = self.telling, {}
             self.telling[token] = found
         return found
 
@@ -232,9 +236,8 @@ class Model:
         restorer, lower = self.restorer(), (text or "").lower()
         tokens = lower.split()
         words = spaced_words(lower, tokens, restorer)
-        known = self.telling
         for token in set(tokens):
-            found = known.get(token)
+            found = self.telling.get(token)
             words.update(self._telling(token, restorer) if found is None else found)
         found = words & self.weights.keys()
         started = Counter(w[:n] for w in words if w[: STARTS[0]] in self.heads for n in STARTS if len(w) >= n and w[:n] in self.starts)

@@ -144,27 +144,25 @@ def flat_vector(landmarks: Column) -> Column:
 def interpolate(frames: DataFrame, chunk: str = "clip_id") -> DataFrame:
     """Fill missing parts over time: linear inside, nearest at the ends, 0 without any valid value.
 
-    An Arrow group a clip: 132 series of one clip are one small matrix.
+    Spark flattens the landmarks; an Arrow group a clip is one matrix of frames by
+    132 series, and Spark makes landmarks of it again.
     """
-    schema = "clip_id bigint, pos int, landmarks array<struct<x: double, y: double, z: double, visibility: double>>"
+    part = lambda m: F.array(*[g.finite(m[c]) for c in "xyz"], F.when(m.isNotNull(), F.coalesce(g.finite(m["visibility"]), F.lit(0.0))))
+    places = F.sequence(F.lit(0), F.lit(g.LANDMARKS - 1))
+    flat = frames.select("clip_id", "pos", F.flatten(F.transform(places, lambda k: part(F.get("landmarks", k)))).alias("flat"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        data = np.full((len(pdf), g.LANDMARKS, 4), np.nan)
-        for t, marks in enumerate(pdf["landmarks"]):
-            for k, m in enumerate(marks if marks is not None else []):
-                if k < g.LANDMARKS and m is not None:
-                    data[t, k] = [np.nan if m[c] is None else m[c] for c in ("x", "y", "z", "visibility")]
-                    data[t, k, 3] = np.nan_to_num(data[t, k, 3])
-        flat = data.reshape(len(pdf), -1)
-        flat[~np.isfinite(flat)] = np.nan
-        for series in flat.T:
+        data = np.stack(pdf["flat"].to_numpy()).astype(np.float64)
+        times = np.arange(len(data))
+        for series in data.T:
             valid = np.flatnonzero(~np.isnan(series))
-            series[:] = np.interp(np.arange(len(series)), valid, series[valid]) if len(valid) else 0.0
-        rows = [[dict(zip(("x", "y", "z", "visibility"), m.tolist(), strict=True)) for m in frame] for frame in data]
-        return pd.DataFrame({"clip_id": pdf["clip_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "landmarks": rows})
+            series[:] = np.interp(times, valid, series[valid]) if len(valid) else 0.0
+        return pdf.assign(flat=list(data))
 
-    return frames.select("clip_id", "pos", "landmarks").groupBy(chunk).applyInPandas(fill, schema)
+    filled = flat.groupBy(chunk).applyInPandas(fill, flat.schema)
+    mark = lambda k: F.struct(*[F.get("flat", k * 4 + i).alias(c) for i, c in enumerate(("x", "y", "z", "visibility"))])
+    return filled.select("clip_id", "pos", F.transform(places, mark).alias("landmarks"))
 
 
 def verify(frames: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ ROWS = 256
 BYTES_SETTING, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def _bound_batches(df: DataFrame) -> None:
+def bound_batches(df: DataFrame) -> None:
+    """Arrow batches of df's session end at BYTES, unless it has a bound already."""
     settings = df.sparkSession.conf
     settings.set(BYTES_SETTING, settings.get(BYTES_SETTING, str(BYTES)))
 
@@ -32,7 +33,7 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
     arrays, so nulls and large integers survive; df may hold any other columns.
     release drops what function remembers; a task calls it at its end.
     """
-    _bound_batches(df)
+    bound_batches(df)
     value = "_value"
     while value in keep:
         value += "_"
@@ -56,7 +57,7 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
 
 def keep_rows(df: DataFrame, column: str, function: Callable[[list], list[bool]]) -> DataFrame:
     """Rows of df for which function, given a list of column's values, says true; all columns untouched."""
-    _bound_batches(df)
+    bound_batches(df)
     place = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

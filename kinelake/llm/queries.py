@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, substring_dedup, toxicity
+from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, source_divergence, substring_dedup, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op12_source_divergence": source_divergence.op12_source_divergence,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": mixing.OP3_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op3_mix": mixing.OP3_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op12_source_divergence": source_divergence.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}

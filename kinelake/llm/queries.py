@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, source_divergence, substring_dedup, toxicity, vector_codes
+from kinelake.llm import exact_dedup, html_extract, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, simhash, source_divergence, substring_dedup, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_simhash": simhash.op11_simhash,
         "op12_source_divergence": source_divergence.op12_source_divergence,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }

@@ -25,14 +25,19 @@ def quality_of(name: Column, label: Column | None = None) -> Column:
     return found if label is None else F.when(label == "idle", "none").otherwise(found)
 
 
-def player_of(stem: Column) -> Column:
-    """Player from quality and clip number: two clips a player for good and average, one for bad."""
+#: Players in the order of their clips.
+PLAYERS = ("playerA", "playerB", "playerC", "playerD")
+
+
+def player_of(stem: Column, label: Column | None = None) -> Column:
+    """Player from quality and clip number: two clips a player for good and average, one for bad; idle clips have none."""
     pattern = r"(?i)_(good|average|avg|bad)_(\d+)$"
     kind = F.lower(F.regexp_extract(stem, pattern, 1))
     number = F.regexp_extract(stem, pattern, 2).try_cast("int")
-    letters = F.split(F.lit("A,B,C,D"), ",")
+    players = F.array(*[F.lit(x) for x in PLAYERS])
     place = F.when(kind == "bad", number).when(kind != "", F.ceil(number / 2).cast("int"))
-    return F.coalesce(F.when(place.between(1, 4), F.get(letters, place - 1)), F.lit("unknown"))
+    found = F.coalesce(F.when(place.between(1, len(PLAYERS)), F.get(players, place - 1)), F.lit("unknown"))
+    return found if label is None else F.when(F.lower(label) == "idle", "unknown").otherwise(found)
 
 
 def yes(value: Column, lenient: bool = False) -> Column:

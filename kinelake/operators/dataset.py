@@ -32,7 +32,7 @@ def metadata(files: DataFrame) -> DataFrame:
     label = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise("unknown")
     return ranked.select(
         F.format_string("%03d", number).alias("video_id"), name.alias("file_name"), F.col("path").alias("relative_path"), label.alias("shot_label"),
-        rules.quality_of(stem, label).alias("quality"), rules.player_of(stem).alias("person_id"), F.when(label == "idle", "no").otherwise("yes").alias("use_for_v1"),
+        rules.quality_of(stem, label).alias("quality"), rules.player_of(stem, label).alias("person_id"), F.when(label == "idle", "no").otherwise("yes").alias("use_for_v1"),
     )
 
 

@@ -27,9 +27,9 @@ def verdicts(feedback: DataFrame) -> DataFrame:
 
 
 def feedback_accuracy(sessions: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Percent correct by user and shot, and by user (shot NULL)."""
+    """Percent correct by user and shot, and by user (shot NULL); verdicts without a known session count for the user."""
     told = feedback.where(F.col("verdict").isin("correct", "incorrect"))
-    own = told.join(sessions.select(F.col("id").alias("session_id"), "predicted_shot"), "session_id")
+    own = told.join(sessions.select(F.col("id").alias("session_id"), "predicted_shot"), "session_id", "left")
     shot = F.when(F.col("predicted_shot").isin(*SHOTS), F.col("predicted_shot")).otherwise("other").alias("shot")
     rows = own.select("user_id", shot, (F.col("verdict") == "correct").cast("int").alias("hit"))
     return rows.rollup("user_id", "shot").agg(F.count(F.lit(1)).alias("verdicts"), F.round(F.avg("hit") * 100, 1).alias("accuracy")).where("user_id is not null and (shot is null or shot <> 'other')")
@@ -49,13 +49,15 @@ def shot_distribution(sessions: DataFrame) -> DataFrame:
 
 
 def daily(sessions: DataFrame) -> DataFrame:
-    """Supported shots of each user and day (in the timestamp's own offset)."""
-    return sessions.where(F.col("predicted_shot").isin(*SHOTS)).groupBy("user_id", rules.day_key(F.col("created_at")).alias("day")).agg(F.count(F.lit(1)).alias("shots"))
+    """Sessions of each user and day (in the timestamp's own offset), whatever their shot; supported shots beside."""
+    day = rules.day_key(F.col("created_at"))
+    return sessions.groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.coalesce(F.col("predicted_shot").isin(*SHOTS), F.lit(False))).alias("shots"))
 
 
 def totals(sessions: DataFrame) -> DataFrame:
-    """Shots, active days and shots a day of each user."""
-    return daily(sessions).groupBy("user_id").agg(F.sum("shots").alias("total_shots"), F.count(F.lit(1)).alias("session_days"), F.round(F.sum("shots") / F.count(F.lit(1)), 2).alias("shots_per_session"))
+    """Supported shots, active days (of all sessions) and shots a day of each user; NULL a day without any day."""
+    days = F.count("day")
+    return daily(sessions).groupBy("user_id").agg(F.sum("shots").alias("total_shots"), days.alias("session_days"), F.round(F.try_divide(F.sum("shots"), days), 2).alias("shots_per_session"))
 
 
 def chart(sessions: DataFrame) -> DataFrame:
@@ -75,19 +77,31 @@ def streak(sessions: DataFrame, today: Column) -> DataFrame:
     return island.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("streak"), F.max("day").alias("last")).where(F.col("last") == today).select("user_id", "streak")
 
 
+#: Fixed value: what an issue without any text says.
+NO_ISSUE_TEXT = "Review the coaching feedback for this analysis."
+
+
+def feedback_text() -> Column:
+    """tips that aren't empty, else spoken, else detailed feedback. A list of tips decides even if all of them are empty."""
+    tips = F.array_join(F.filter("coaching_tips", lambda t: F.coalesce(t, F.lit("")) != ""), " ")
+    spoken, detailed = F.nullif(F.trim("spoken_feedback"), F.lit("")), F.nullif(F.trim(F.get_json_object("full_result", "$.detailed_feedback")), F.lit(""))
+    return F.when(F.coalesce(F.size("coaching_tips"), F.lit(0)) > 0, tips).otherwise(F.coalesce(spoken, detailed))
+
+
 def latest_output(sessions: DataFrame) -> DataFrame:
-    """The newest session of each user, with its first text: tips, spoken, detailed."""
-    tips = F.array_join(F.filter("coaching_tips", lambda t: F.trim(t) != ""), " ")
-    text = F.coalesce(F.nullif(tips, F.lit("")), F.nullif(F.trim("spoken_feedback"), F.lit("")), F.get_json_object("full_result", "$.detailed_feedback"))
-    return sessions.groupBy("user_id").agg(F.max_by(F.struct("id", text.alias("text")), F.struct("created_at", "id")).alias("s")).select("user_id", F.col("s.id").alias("id"), F.col("s.text").alias("text"))
+    """The newest session of each user in full: shot, scores, time, text, voice output and landmarks."""
+    own = F.struct("id", "predicted_shot", "shot_confidence", "technique_match_score", "created_at", feedback_text().alias("text"), *_details())
+    return sessions.groupBy("user_id").agg(F.max_by(own, F.struct("created_at", "id")).alias("s")).select("user_id", "s.*")
 
 
 def first_issues(sessions: DataFrame, most: int = 3) -> DataFrame:
-    """The first issue of each of a user's sessions, newest first."""
-    issue = F.coalesce(F.get_json_object("full_result", "$.issues[0].description"), F.get_json_object("full_result", "$.issues[0].issue"), F.get("coaching_tips", F.lit(0)))
-    told = sessions.withColumn("issue", issue).where("issue is not null")
-    ranked = told.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))))
-    return ranked.where(F.col("rank") <= most).select("user_id", "rank", "issue")
+    """The first issue of each of a user's sessions that has any, newest first: its description, name, the first tip or a standing text."""
+    held = lambda key: F.nullif(F.get_json_object("full_result", f"$.detected_issues[0].{key}"), F.lit(""))
+    note = F.coalesce(held("description"), held("issue"), F.nullif(F.get("coaching_tips", F.lit(0)), F.lit("")), F.lit(NO_ISSUE_TEXT))
+    found = sessions.where(F.get_json_object("full_result", "$.detected_issues[0]").isNotNull())
+    shot = F.initcap(F.replace(F.coalesce(F.nullif("predicted_shot", F.lit("")), F.lit("Unknown")), F.lit("_"), F.lit(" ")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))))
+    return ranked.where(F.col("rank") <= most).select("user_id", "rank", shot.alias("shot"), note.alias("note"))
 
 
 def quality_gate(rows: DataFrame) -> DataFrame:
@@ -111,10 +125,19 @@ def segment_timing(rows: DataFrame, fps: float = 30.0) -> DataFrame:
 
 
 def probe_check(rows: DataFrame) -> DataFrame:
-    """error_code of clip probes (frames, fps, width, height), NULL when accepted."""
-    seconds = F.when(F.col("fps") > 0, F.col("frames") / F.col("fps"))
-    code = F.when(F.coalesce(F.col("frames"), F.lit(0)) <= 0, "no_readable_frames").when(seconds > LONGEST_S, "too_long").when(F.col("width") * F.col("height") > MOST_PIXELS, "too_large")
-    return rows.withColumn("seconds", seconds).withColumn("error_code", code)
+    """error_code of clip probes (frames, fps, width, height, seconds), NULL when accepted.
+
+    A duration that isn't given follows from frames and fps, a number of frames from duration and fps.
+    """
+    fps, frames, given = (F.coalesce(F.col(c), F.lit(0)) for c in ("fps", "frames", "seconds"))
+    seconds = F.when((given <= 0) & (fps > 0) & (frames > 0), frames / fps).otherwise(given)
+    width, height = (F.coalesce(F.col(c), F.lit(0)) for c in ("width", "height"))
+    code = (
+        F.when((width <= 0) | (height <= 0) | ((frames <= 0) & (seconds <= 0)), "no_readable_frames")
+        .when(seconds > LONGEST_S, "too_long").when(width.cast("long") * height > MOST_PIXELS, "too_large")
+    )
+    filled = F.when((frames <= 0) & (seconds > 0) & (fps > 0), F.greatest(F.lit(1), F.bround(seconds * fps).cast("long"))).otherwise(frames)
+    return rows.withColumns({"seconds": seconds, "frames": filled.cast("long"), "error_code": code})
 
 
 def by_accuracy(rows: DataFrame, which: str = "all", threshold: float = 75.0) -> DataFrame:
@@ -127,14 +150,18 @@ def mean_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("accuracy").alias("known"), F.round(F.avg("accuracy"), 1).alias("mean_accuracy"))
 
 
+def _details() -> tuple[Column, Column]:
+    parsed = F.from_json("full_result", "landmarks array<struct<x: string, y: string, visibility: string>>")
+    number = lambda m, c: m[c].try_cast("double")
+    marks = F.transform(F.coalesce(parsed["landmarks"], F.array()), lambda m: F.struct(number(m, "x").alias("x"), number(m, "y").alias("y"), F.coalesce(number(m, "visibility"), F.lit(0.0)).alias("visibility")))
+    voice = F.get_json_object("full_result", "$.voice_output")
+    return F.when(voice.startswith("{"), voice).alias("voice_output"), F.filter(marks, lambda m: m["x"].isNotNull() & m["y"].isNotNull()).alias("landmarks")
+
+
 def result_details(sessions: DataFrame) -> DataFrame:
     """Each session's voice_output object (as JSON) and landmarks from its JSON result.
 
     Landmarks without numbers for x and y are dropped; a missing visibility is 0.
     Results that aren't objects, or hold no such parts, give NULL and an empty list.
     """
-    parsed = F.from_json("full_result", "landmarks array<struct<x: string, y: string, visibility: string>>")
-    number = lambda m, c: m[c].try_cast("double")
-    marks = F.transform(F.coalesce(parsed["landmarks"], F.array()), lambda m: F.struct(number(m, "x").alias("x"), number(m, "y").alias("y"), F.coalesce(number(m, "visibility"), F.lit(0.0)).alias("visibility")))
-    voice = F.get_json_object("full_result", "$.voice_output")
-    return sessions.select("id", F.when(voice.startswith("{"), voice).alias("voice_output"), F.filter(marks, lambda m: m["x"].isNotNull() & m["y"].isNotNull()).alias("landmarks"))
+    return sessions.select("id", *_details())

@@ -54,10 +54,6 @@ def _details(s, d):
     return found.select("id", F.col("voice_output").isNotNull().alias("has_voice"), F.size("landmarks").alias("landmarks"), total.alias("total"))
 
 
-def _outcomes(s, d):
-    return derive.sessions(s, d).where("id % 4 <> 1").selectExpr("id", "CASE id % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'not_found' ELSE 'failed' END AS outcome")
-
-
 def _accuracies(s, d):
     return derive.sessions(s, d).selectExpr("id", "technique_match_score AS accuracy")
 
@@ -116,8 +112,8 @@ QUERIES = {
     "f24_softmax": _softmax,
     "f26_text_rules": _texts,
     "f29_mean_accuracy": lambda s, d: tidy(sessions.mean_accuracy(sessions.by_accuracy(_accuracies(s, d), "high"))),
-    "st8_retention_sweep": lambda s, d: governance.retention_sweep(derive.sessions(s, d), _outcomes(s, d), F.expr(NOW), 500),
-    "st8_dry_run": lambda s, d: governance.retention_sweep(derive.sessions(s, d), _outcomes(s, d), F.expr(NOW), 500, dry_run=True),
+    "st8_retention_sweep": lambda s, d: governance.retention_sweep(derive.sessions(s, d), table_queries._outcomes(s, d).drop("user_id"), F.expr(NOW), 500),
+    "st8_dry_run": lambda s, d: governance.retention_sweep(derive.sessions(s, d), table_queries._outcomes(s, d).drop("user_id"), F.expr(NOW), 500, dry_run=True),
 }
 
 _CL, _SE, _PR, _SPLIT = derive.CLIPS_SQL, derive.SESSIONS_SQL, derive.PREDICTIONS_SQL, table_queries._SPLIT
@@ -249,7 +245,7 @@ FROM x"""
 _SOFT = _PR + ", ex AS (SELECT row_index, " + ", ".join(f"exp(q{i} - greatest(q0, q1, q2, q3)) AS e{i}" for i in range(4)) + " FROM raw)"
 _DUE = f"storage_status IN ('stored', 'deletion_pending') AND try_cast(retention_expires_at AS TIMESTAMP) <= {NOW}"
 _BATCH = f"{_SE}, ba AS (SELECT * FROM se WHERE {_DUE} ORDER BY retention_expires_at, id LIMIT 500)"
-_SWEPT = "CASE WHEN id % 4 = 1 THEN 'no_outcome' ELSE CASE id % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'not_found' ELSE 'failed' END END"
+_SWEPT = f"CASE WHEN id % 4 = 1 THEN 'no_outcome' ELSE {table_queries.OUTCOME} END"
 _MATCH = f"""
 WITH {_CL}, sq AS (
   SELECT CASE WHEN clip_key % 7 = 1 THEN clip_key + 10000000 ELSE clip_key END AS k, replace(file_name, '.mp4', '') AS stem FROM clips WHERE clip_key % 5 <> 2
@@ -301,8 +297,8 @@ FROM orders""",
     "f29_mean_accuracy": tidy_sql(_SE, "SELECT count(technique_match_score) AS known, round(avg(technique_match_score), 1) AS mean_accuracy FROM se WHERE technique_match_score >= 75", ["known"], ["mean_accuracy"]),
     "st8_retention_sweep": f"""
 WITH {_BATCH}, o AS (SELECT id, {_SWEPT} AS status FROM ba)
-SELECT id, status, CASE WHEN status IN ('deleted', 'not_found') THEN 'deleted' ELSE 'deletion_pending' END AS storage_status,
-  CASE WHEN status NOT IN ('deleted', 'not_found') THEN status END AS error_code
+SELECT id, status, CASE WHEN status IN ('deleted', 'already_deleted', 'not_found') THEN 'deleted' ELSE 'deletion_pending' END AS storage_status,
+  CASE WHEN status NOT IN ('deleted', 'already_deleted', 'not_found') THEN status END AS error_code
 FROM o""",
     "st8_dry_run": f"WITH {_BATCH} SELECT id, 'dry_run' AS status, storage_status, NULL::VARCHAR AS error_code FROM ba",
     "st1_state_trace": tidy_sql(_MACHINE, _TRACE, ["clip_id", "step", "t", "state", "transition", "triggered"], ["energy"]).replace("WITH ", "WITH RECURSIVE ", 1),

@@ -96,6 +96,16 @@ scored AS (
 ), sc AS (SELECT *, true_label = predicted_label AS correct FROM scored)"""
 
 
+#: Expressions that Spark and DuckDB share: states of evidence and review, so that every rule meets rows on both sides.
+STORAGE = "CASE (o_custkey * 7 + o_orderkey) % 9 WHEN 0 THEN 'deleted' WHEN 1 THEN 'deletion_pending' WHEN 2 THEN 'withdrawn' WHEN 3 THEN 'uploading' WHEN 4 THEN NULL ELSE 'stored' END"
+REVIEW = "CASE (o_custkey + o_orderkey) % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'candidate' ELSE 'needs_second_review' END"
+ELIGIBILITY = "CASE (o_custkey + o_orderkey) % 6 WHEN 0 THEN 'eligible' WHEN 1 THEN 'pending_review' WHEN 2 THEN 'not_eligible' WHEN 3 THEN 'eligible' WHEN 4 THEN 'withdrawn' ELSE 'rejected' END"
+CONSENT = "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey % 3 <> 0 END"
+#: Issues of a session: none named, an empty list, one with a description, with a name, with an empty description, without text.
+ISSUES = ", ".join(f"WHEN {n} THEN '{text}'" for n, text in enumerate(("", "[]", '[{"description": "late foot"}, {"issue": "x"}]', '[{"issue": "low elbow"}]', '[{"description": "", "issue": "open hip"}]', "[{}]"))).replace(", WHEN", " WHEN")
+ISSUES = f"CASE o_orderkey % 6 {ISSUES} END"
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis sessions, one an order."""
     return table(spark, sf_dir, "orders").selectExpr(
@@ -104,12 +114,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_orderkey % 60 AS INT) AS clean_frames", "CAST((o_orderkey % 50) / 4.0 AS DOUBLE) AS duration_seconds", "CAST(o_orderkey % 40 AS INT) AS start_frame", "CAST(o_orderkey % 40 + o_custkey % 30 - 3 AS INT) AS end_frame",
         "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T', lpad(CAST(o_orderkey % 24 AS STRING), 2, '0'), ':00:00Z') AS created_at",
         "CASE WHEN o_orderkey % 3 = 0 THEN array('', ' ') ELSE array(concat('tip ', CAST(o_orderkey % 10 AS STRING))) END AS coaching_tips", "CASE WHEN o_orderkey % 2 = 0 THEN concat('spoken ', CAST(o_custkey AS STRING)) END AS spoken_feedback",
-        "concat('{\"detailed_feedback\": \"detail ', CAST(o_orderkey AS STRING), '\"}') AS full_result",
-        "CASE o_custkey % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'deletion_pending' ELSE 'stored' END AS storage_status", "CASE WHEN o_orderkey % 9 <> 0 THEN concat('evidence/', CAST(o_orderkey AS STRING)) END AS evidence_object_path",
-        "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' ELSE concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' 00:00:00') END AS retention_expires_at",
-        "CASE WHEN o_orderkey % 13 = 0 THEN '2024-01-01' END AS withdrawn_at", "CAST(NULL AS STRING) AS deleted_at", "concat('{\"user_id\": \"', CAST(o_custkey AS STRING), '\", \"session_id\": \"s\", \"checksum\": \"', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'c' END, '\"}') AS evidence_metadata",
-        "concat('h', CAST(o_custkey % 50 AS STRING)) AS clip_hash", "CASE WHEN o_orderkey % 2 = 0 THEN 'm1' END AS model_version", "CAST(NULL AS STRING) AS pipeline_version", "o_orderkey % 3 <> 0 AS consent",
-        "o_orderkey % 4 <> 0 AS accepted_for_review", "CASE WHEN o_orderkey % 10 < 8 THEN 'candidate' ELSE 'not_consented' END AS eligibility", "CASE o_custkey % 3 WHEN 0 THEN 'approved' ELSE 'pending_review' END AS review_status",
+        f"concat('{{\"detailed_feedback\": \"detail ', CAST(o_orderkey AS STRING), '\"', CASE WHEN {ISSUES} <> '' THEN concat(', \"detected_issues\": ', {ISSUES}) ELSE '' END, '}}') AS full_result",
+        f"{STORAGE} AS storage_status", "CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('evidence/', CAST(o_orderkey AS STRING)) END AS evidence_object_path",
+        "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' WHEN 2 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' 00:00:00') ELSE concat(date_format(date_add(o_orderdate, 2000), 'yyyy-MM-dd'), ' 00:00:00') END AS retention_expires_at",
+        "CASE WHEN o_orderkey % 13 = 0 THEN '2024-01-01' END AS withdrawn_at", "CASE WHEN o_orderkey % 17 = 0 THEN '2024-02-01' END AS deleted_at",
+        "concat('{\"user_id\": \"', CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 19 = 0 THEN '\"' ELSE '\", \"analysis_session_id\": \"s\"' END, ', \"checksum_sha256\": \"', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'c' END, '\"}') AS evidence_metadata",
+        "concat('H', CAST(o_custkey % 50 AS STRING)) AS clip_hash", "CASE WHEN o_orderkey % 2 = 0 THEN 'm1' END AS model_version", "CAST(NULL AS STRING) AS pipeline_version", f"{CONSENT} AS consent",
+        "o_orderkey % 4 <> 0 AS accepted_for_review", f"{ELIGIBILITY} AS eligibility", f"{REVIEW} AS review_status",
         "CASE WHEN o_orderkey % 4 <> 1 THEN 'r1' END AS reviewer_id", f"CASE WHEN o_orderkey % 5 <> 2 THEN {SHOT.format(k='o_orderkey')} END AS reviewer_label",
     )
 
@@ -120,11 +131,12 @@ se AS (
     ((o_orderkey * 37 % 100) / 100.0)::DOUBLE AS shot_confidence, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ((o_orderkey * 53 % 1000) / 8.0)::DOUBLE END AS technique_match_score,
     (o_orderkey % 60)::INT AS clean_frames, ((o_orderkey % 50) / 4.0)::DOUBLE AS duration_seconds, (o_orderkey % 40)::INT AS start_frame, (o_orderkey % 40 + o_custkey % 30 - 3)::INT AS end_frame,
     strftime(o_orderdate, '%Y-%m-%d') || 'T' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':00:00Z' AS created_at, strftime(o_orderdate, '%Y-%m-%d') AS day,
-    CASE o_custkey % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'deletion_pending' ELSE 'stored' END AS storage_status, CASE WHEN o_orderkey % 9 <> 0 THEN 'evidence/' || o_orderkey::VARCHAR END AS evidence_object_path,
-    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS retention_expires_at,
-    CASE WHEN o_orderkey % 13 = 0 THEN '2024-01-01' END AS withdrawn_at, o_orderkey % 7 <> 0 AS has_checksum, 'h' || (o_custkey % 50)::VARCHAR AS clip_hash,
-    CASE WHEN o_orderkey % 2 = 0 THEN 'm1' END AS model_version, o_orderkey % 3 <> 0 AS consent, o_orderkey % 4 <> 0 AS accepted_for_review,
-    CASE WHEN o_orderkey % 10 < 8 THEN 'candidate' ELSE 'not_consented' END AS eligibility, CASE o_custkey % 3 WHEN 0 THEN 'approved' ELSE 'pending_review' END AS review_status,
+    {STORAGE} AS storage_status, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'evidence/' || o_orderkey::VARCHAR END AS evidence_object_path,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' ELSE strftime(o_orderdate + INTERVAL 2000 DAY, '%Y-%m-%d') || ' 00:00:00' END AS retention_expires_at,
+    CASE WHEN o_orderkey % 13 = 0 THEN '2024-01-01' END AS withdrawn_at, CASE WHEN o_orderkey % 17 = 0 THEN '2024-02-01' END AS deleted_at,
+    o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0 AS has_metadata, 'H' || (o_custkey % 50)::VARCHAR AS clip_hash, {ISSUES} AS issues,
+    CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'tip ' || (o_orderkey % 10)::VARCHAR END AS tips, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'tip ' || (o_orderkey % 10)::VARCHAR END AS first_tip,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'm1' END AS model_version, {CONSENT} AS consent, o_orderkey % 4 <> 0 AS accepted_for_review, {ELIGIBILITY} AS eligibility, {REVIEW} AS review_status,
     CASE WHEN o_orderkey % 4 <> 1 THEN 'r1' END AS reviewer_id, CASE WHEN o_orderkey % 5 <> 2 THEN {SHOT.format(k='o_orderkey')} END AS reviewer_label
   FROM orders
 )"""
@@ -136,7 +148,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.selectExpr(
         "(l_orderkey * 1000003 + l_partkey) * 10 + l_linenumber AS id", "l_orderkey AS session_id", "CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id",
         "CASE l_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'unsure' END AS verdict", f"CASE WHEN l_partkey % 3 = 0 THEN {SHOT.format(k='l_partkey')} WHEN l_partkey % 31 = 1 THEN 'sky_shot' END AS corrected_shot",
-        "CAST(l_partkey % 8 AS INT) AS rating", "CASE WHEN l_partkey % 5 = 0 THEN array('helpful', 'odd') ELSE array('helpful') END AS tip_flags", "l_suppkey % 3 <> 0 AS consent", "date_format(l_shipdate, 'yyyy-MM-dd') AS created_at",
+        "CAST(l_partkey % 8 AS INT) AS rating", "CASE WHEN l_partkey % 5 = 0 THEN array('useful', 'helpful') WHEN l_partkey % 5 = 1 THEN array('incorrect', 'unsafe', 'unclear') ELSE array('useful') END AS tip_flags", "l_suppkey % 3 <> 0 AS consent", "date_format(l_shipdate, 'yyyy-MM-dd') AS created_at",
     )
 
 
@@ -144,7 +156,7 @@ FEEDBACK_SQL = f"""
 fb AS (
   SELECT (l_orderkey * 1000003 + l_partkey) * 10 + l_linenumber AS id, l_orderkey AS session_id, CASE WHEN l_partkey % 7 = 0 THEN -1 ELSE o_custkey END AS user_id,
     CASE l_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'unsure' END AS verdict, CASE WHEN l_partkey % 3 = 0 THEN {SHOT.format(k='l_partkey')} WHEN l_partkey % 31 = 1 THEN 'sky_shot' END AS corrected_shot,
-    (l_partkey % 8)::INT AS rating, l_partkey % 5 = 0 AS odd_flag, l_suppkey % 3 <> 0 AS consent, strftime(l_shipdate, '%Y-%m-%d') AS created_at
+    (l_partkey % 8)::INT AS rating, l_partkey % 5 = 0 AS odd_flag, CASE l_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS flag_count, l_suppkey % 3 <> 0 AS consent, strftime(l_shipdate, '%Y-%m-%d') AS created_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
 

@@ -4,8 +4,9 @@ Slot i of the mix gets the point frac(i * golden ratio), in exact 32-bit integer
 arithmetic; the point's place among the cumulative targets names the slot's
 source. Slots are ranked within their source and joined with that source's
 shuffled blocks of equal token counts; the ranks wrap around, so a source with
-few tokens is repeated. A source too small for slots takes its target's words one
-by one instead. All rankings are two-level (bucket sums, then prefix sums
+few tokens is repeated. Slots hand out whole blocks; what they give a source beyond or
+short of its target, a few blocks, is settled in words at the end of the last block
+taken, for every source alike. All rankings are two-level (bucket sums, then prefix sums
 over a bounded number of buckets), so that a source with a third of all rows is
 never sorted in one task.
 """
@@ -28,8 +29,6 @@ BUCKET_HEX = 3
 GOLDEN, MODULUS = 2654435769, 2**32
 #: A block has at most this many tokens, and the mix at least this many slots.
 BLOCK_TOKENS, LEAST_SLOTS = 1024, 50_000
-#: A source of fewer blocks than this takes exactly its target, in words.
-LEAST_BLOCKS = 1024
 #: Sources whose buckets, and sources that, fit a broadcast.
 FEW_SOURCES, MOST_SOURCES = 50, 100_000
 #: Slots ranked together; cells that u-space is cut into for the interval join.
@@ -106,7 +105,6 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(BLOCK_TOKENS, total // LEAST_SLOTS))
     slots = -(-total // block)
-    small = F.col("source_size") < LEAST_BLOCKS * block
 
     # Place every document on its source's shuffled line of tokens.
     starts = _prefix(by_bucket, ["source"], "bucket", "bucket_size", "bucket_start").drop("bucket_size")
@@ -144,28 +142,30 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str
         .join(counts, ["sid", "chunk"])
         .join(few_sources("sid", "source_size"), "sid")
         .withColumn("rank", F.col("before") + F.col("rank_in"))
-        .where((F.col("rank") < blocks * max_repeats) & ~small)
+        .where(F.col("rank") < blocks * max_repeats)
     )
     uses = ranked.groupBy("sid", F.pmod(F.col("rank"), blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
     # A document takes, of each block it lies in, its overlap times the block's uses.
-    info = few_sources(F.col("source").alias("s_source"), "sid", "source_size", "target")
+    turns = ranked.groupBy("sid").agg(F.count(F.lit(1)).alias("turns"))
+    turned = sources.join(turns, "sid", "left").select(F.col("source").alias("s_source"), "sid", "source_size", "target", F.coalesce("turns", F.lit(0).cast("long")).alias("turns"))
+    info = F.broadcast(turned) if sources.count() <= MOST_SOURCES else turned
     known = placed.join(info, placed["source"].eqNullSafe(F.col("s_source"))).drop("s_source")
     lies = (
-        known.where((F.col("size") > 0) & ~small)
+        known.where("size > 0")
         .select("sid", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
         .withColumn("overlap", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
     )
     taken = lies.join(uses, ["sid", "block"]).groupBy("sid", F.col("start").alias("t_start")).agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
-    # A small source: whole rounds over its line of tokens, then a part of one from the start on.
-    words = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
-    rest = F.least(F.greatest(F.pmod(words, F.col("source_size")) - F.col("start"), F.lit(0)), F.col("size"))
-    exact = known.where((F.col("size") > 0) & small).select("source", "text_key", "doc_id", "size", "source_size", "target", (F.floor(words / F.col("source_size")) * F.col("size") + rest).cast("long").alias("taken"))
+    # Where the slots of a source end on its line of tokens, and where its target does.
+    passed = lambda to: F.floor(to / F.col("source_size")) * F.col("size") + F.least(F.greatest(F.pmod(to, F.col("source_size")) - F.col("t_start"), F.lit(0)), F.col("size"))
+    reached = F.floor(F.col("turns") / blocks) * F.col("source_size") + F.least(F.pmod(F.col("turns"), blocks) * block, F.col("source_size"))
+    meant = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
+    settled = (F.coalesce("taken", F.lit(0)) + passed(meant) - passed(reached)).cast("long")
     # (sid, start) names a document with words: documents of a source never overlap.
     return (
-        known.where((F.col("size") > 0) & ~small).withColumnRenamed("start", "t_start").join(taken, ["sid", "t_start"], "left")
-        .select("source", "text_key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
-        .unionByName(exact)
+        known.where("size > 0").withColumnRenamed("start", "t_start").join(taken, ["sid", "t_start"], "left")
+        .select("source", "text_key", "doc_id", "size", "source_size", "target", settled.alias("taken"))
         .unionByName(known.where("size = 0").select("source", "text_key", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     )
 
@@ -224,6 +224,10 @@ k AS (
 ), n AS (
   SELECT sid, rank % CAST(ceil(source_size::DOUBLE / b) AS BIGINT) AS block, count(*) AS times
   FROM k, t WHERE rank < {MAX_REPEATS} * CAST(ceil(source_size::DOUBLE / b) AS BIGINT) GROUP BY ALL
+), m AS (
+  SELECT sp.sid, least(round(target)::BIGINT, {MAX_REPEATS} * source_size) AS meant, CAST(ceil(source_size::DOUBLE / b) AS BIGINT) AS blocks,
+    coalesce((SELECT sum(n.times) FROM n WHERE n.sid = sp.sid), 0)::BIGINT AS turns FROM sp, t
+), e AS (SELECT m.sid, meant, turns // greatest(blocks, 1) * source_size + least(turns % greatest(blocks, 1) * b, source_size) AS reached FROM m JOIN sp USING (sid), t
 ), p AS (
   SELECT d.doc_id, d.size, sp.sid, sp.source_size, sp.target,
          coalesce(sum(d.size) OVER (PARTITION BY sp.sid ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
@@ -233,6 +237,7 @@ k AS (
   FROM p JOIN t ON true JOIN n ON n.sid = p.sid AND n.block * b < p.start + p.size AND (n.block + 1) * b > p.start
   WHERE size > 0 GROUP BY ALL
 )
-SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN coalesce(l.taken, 0) ELSE 0 END AS taken
-FROM p LEFT JOIN l ON p.sid = l.sid AND p.start = l.start AND p.size > 0
+SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN CAST(coalesce(l.taken, 0)
+  + meant // source_size * size + least(greatest(meant % source_size - p.start, 0), size) - reached // source_size * size - least(greatest(reached % source_size - p.start, 0), size) AS BIGINT) ELSE 0 END AS taken
+FROM p JOIN e ON e.sid = p.sid LEFT JOIN l ON p.sid = l.sid AND p.start = l.start AND p.size > 0
 """

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm.exact_dedup import BROADCAST_IDS
 from kinelake.llm.mixing import word_count
-from kinelake.session import settle
+from kinelake.session import discard, settle
 
 #: Pieces that a bucket has on average, and buckets whose bins are packed together.
 BUCKET_GROUPS, BUCKET_JOIN = 262_144, 64
@@ -31,6 +31,10 @@ ROW_BYTES = 16
 FILLERS, BUNDLES, FINER = 0.08, 128, 256
 #: Part of a bin that a filler may take.
 LARGEST_FILLER = 0.01
+#: A group with more than this part of all rows is hot; there are fewer than so many.
+HOT_SHARE = 5000
+#: Rows of a lane while lanes are few, and lanes of a shard at most: their prefix sums are one window a shard.
+LANE_ROWS, MOST_LANES = 50, 4096
 MEASURES = ["bytes", "tokens", "rows"]
 
 
@@ -90,6 +94,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     Extra columns are ignored. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # Rows are numbered by the written table, so that pieces don't depend on ids.
     rows = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -97,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
             F.crc32(text).alias("text_crc32"),
             word_count(text).alias("tokens"),
             F.xxhash64(text).alias("digest"),
-        ).withColumn("pick", F.xxhash64(F.lit("piece"), F.col("doc_id")))
+        ).withColumn("row", F.monotonically_increasing_id())
     )
     groups = settle(_measures(rows, "digest"))
     totals = groups.agg(F.sum("bytes"), F.count(F.lit(1))).first()
@@ -106,7 +111,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     # Fewer groups than shards are this large.
     large = groups.where((F.col("bytes") > share) & (F.col("rows") > 1)).select("digest", F.ceil(F.col("bytes") * PIECES_PER_SHARD / share).alias("pieces"))
-    cut = settle(rows.join(F.broadcast(large), "digest").withColumn("piece", F.pmod(F.col("pick"), F.col("pieces"))).drop("pieces"))
+    cut = settle(rows.join(F.broadcast(large), "digest").withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), "row"), F.col("pieces"))).drop("pieces"))
     pieces = _measures(cut, "digest", "piece").unionByName(groups.join(F.broadcast(large), "digest", "left_anti").withColumn("piece", F.lit(0).cast("long")))
     buckets = max(1, n_groups // BUCKET_GROUPS)
     # Each level's items: their name (digest, piece), what they measure, their bucket.
@@ -124,6 +129,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         return run
 
     levels: list[DataFrame] = []
+    made = [rows, groups, cut]
     while True:
         last, finer = buckets == 1, -(-FINER // min(buckets, BUCKET_JOIN)) * shards
         levels.append(settle(items.groupBy("bucket").applyInPandas(packed(last, finer), "digest long, piece long, bucket long, bin long, bytes long, tokens long, rows long")))
@@ -134,22 +140,32 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         bins = levels[-1].groupBy(F.col("bucket").alias("digest"), F.col("bin").alias("piece")).agg(*[F.sum(c).alias(c) for c in MEASURES])
         items = bins.withColumn("bucket", F.floor(F.col("digest") / BUCKET_JOIN)).withColumn("filler", F.col("piece") >= finer)
     homes = levels.pop().select("digest", "piece", F.col("bin").cast("int").alias("shard"))
+    made += levels
     while levels:
         own = homes.withColumnsRenamed({"digest": "bucket", "piece": "bin"})
         homes = levels.pop().select("digest", "piece", "bucket", "bin").join(own, ["bucket", "bin"]).select("digest", "piece", "shard")
     homes = settle(homes)
+    made.append(homes)
 
     # Whole groups meet their home by digest, the rows of cut ones by digest and piece.
     whole = rows.join(F.broadcast(large.select("digest")), "digest", "left_anti").withColumn("piece", F.lit(0).cast("long"))
-    slim = F.broadcast(homes) if homes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else homes
-    lanes_of_shard = max(4, n_groups // 2000 // shards * 40)
-    where = settle(
-        whole.unionByName(cut).join(slim, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "tokens", "shard", "digest", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(lanes_of_shard)).alias("lane"))
-    )
+    rows_in_all = groups.agg(F.sum("rows")).first()[0] or 0
+    # Groups with a hot key's share of the rows, HOT_SHARE at most, find their homes by broadcast whatever the size of homes.
+    hot = groups.where((F.col("rows") * HOT_SHARE > rows_in_all) & (F.col("rows") > 1)).select("digest")
+    placed = whole.unionByName(cut)
+    if homes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        homed = placed.join(F.broadcast(homes), ["digest", "piece"])
+    else:
+        few = F.broadcast(homes.join(F.broadcast(hot), "digest", "left_semi"))
+        homed = placed.join(few, ["digest", "piece"]).unionByName(placed.join(F.broadcast(hot), "digest", "left_anti").join(homes, ["digest", "piece"]))
+    lanes_of_shard = min(MOST_LANES, max(4, n_groups // (LANE_ROWS * shards)))
+    lane = F.pmod(F.xxhash64("row", "digest"), F.lit(lanes_of_shard))
+    where = settle(homed.select("doc_id", "size", "text_crc32", "tokens", "shard", "digest", "row", lane.alias("lane")))
+    discard(*made)
     # Slots: counts of lanes, prefix sums over them, ranks inside a lane.
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = where.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
-    inside = Window.partitionBy("shard", "lane").orderBy("doc_id", "digest")
+    inside = Window.partitionBy("shard", "lane").orderBy("row")
     return (
         where.withColumn("rank", F.row_number().over(inside) - 1)
         .join(F.broadcast(lanes) if lanes_of_shard * shards <= BROADCAST_IDS else lanes, ["shard", "lane"])

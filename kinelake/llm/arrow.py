@@ -55,8 +55,11 @@ def map_column(df: DataFrame, keep: list[str], column: str, function: Callable[[
     return slim.mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, column: str, function: Callable[[list], list[bool]]) -> DataFrame:
-    """Rows of df for which function, given a list of column's values, says true; all columns untouched."""
+def keep_rows(df: DataFrame, column: str, function: Callable[[list], list[bool]], release: Callable[[], None] | None = None) -> DataFrame:
+    """Rows of df for which function, given a list of column's values, says true; all columns untouched.
+
+    release drops what function remembers; a task calls it at its end.
+    """
     bound_batches(df)
     place = df.columns.index(column)
 
@@ -65,6 +68,8 @@ def keep_rows(df: DataFrame, column: str, function: Callable[[list], list[bool]]
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(function(part.column(place).to_pylist()), type=pa.bool_()))
+        if release is not None:
+            release()
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

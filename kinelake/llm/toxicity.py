@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 from itertools import repeat
@@ -42,34 +43,78 @@ DOUBLE = re.compile(r"(.)\1")
 TRAILING = "".join(READINGS)
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Bounds of what is learned: labelled rows (on average), features, word starts, trigrams that a broadcast holds.
-TRAIN_ROWS, FEATURES, STARTS, SUPPORT = 24_000, 4000, (4, 5, 6, 7), 3
-TRIGRAMS = 500_000
+#: Bounds of what is learned: labelled rows (on average), word starts, toxic rows that a feature needs.
+TRAIN_ROWS, STARTS, SUPPORT = 24_000, (4, 5, 6, 7), 3
+#: Cells of each of the rows of the sketch of character counts (4 MB a row), and the rows' seeds.
+CELLS, SEEDS = 1 << 19, (0x9E3779B1, 0x85EBCA77)
 #: Tokens and spans that a process remembers, and characters of one.
-REMEMBERED, LONG = 100_000, 48
+REMEMBERED, LONG = 60_000, 48
+
+
+def cells_of(gram: str) -> tuple[int, ...]:
+    """Cell of a gram in each row of the sketch."""
+    data = gram.encode("utf-32-le", "surrogatepass")
+    return tuple(row * CELLS + zlib.crc32(data, seed) % CELLS for row, seed in enumerate(SEEDS))
+
+
+def cell_counts(grams: dict[str, int]) -> Counter[int]:
+    """What trigram counts add to the cells: for the trigram, its first two and its last character, and in all."""
+    counts: Counter[str] = Counter(grams)
+    for gram, n in grams.items():
+        counts[gram[:2]] += n
+        counts[gram[2]] += n
+        counts[""] += n
+    cells: Counter[int] = Counter()
+    for gram, n in counts.items():
+        for cell in cells_of(gram):
+            cells[cell] += n
+    return cells
+
+
+class Counts:
+    """Counts of character trigrams, pairs and single characters over all texts: a count-min sketch.
+
+    No gram is left out and none is counted too low; one whose cells are all shared is
+    counted too high, by the least of what shares them. Its size is the same for any input.
+    """
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+
+    @classmethod
+    def of(cls, grams: dict[str, int]) -> Counts:
+        """The sketch of given trigram counts."""
+        table = np.zeros(CELLS * len(SEEDS), dtype=np.int64)
+        for cell, n in cell_counts(grams).items():
+            table[cell] = n
+        return cls(table)
+
+    def __getitem__(self, gram: str) -> int:
+        return int(min(self.table[cell] for cell in cells_of(gram)))
 
 
 class Restorer:
-    """Viterbi decoder under trigram counts {three characters: count}; space is the word boundary."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        pairs: dict[str, int] = {}
-        singles: dict[str, int] = {}
-        for gram, n in counts.items():
-            pairs[gram[:2]] = pairs.get(gram[:2], 0) + n
-            singles[gram[2]] = singles.get(gram[2], 0) + n
-        self.counts, self.pairs, self.singles = counts, pairs, singles
-        self.total = sum(singles.values()) + 1.0
+    """Viterbi decoder under character counts (or counts by trigram); space is the word boundary."""
+
+    def __init__(self, counts: Counts | dict[str, int]) -> None:
+        self.counts = counts if isinstance(counts, Counts) else Counts.of(counts)
+        self.total = self.counts[""] + 1.0
+        self.forget()
+
+    def forget(self) -> None:
         self.memory: dict[str, str] = {}
         self.tokens: dict[str, frozenset[str]] = {}
         self.costs: dict[tuple[str, str], float] = {}
 
     def cost(self, before: str, char: str) -> float:
         key = (before, char)
-        if key not in self.costs:
-            base = (self.singles.get(char, 0) + 0.1) / (self.total + 10)
-            self.costs[key] = -math.log((self.counts.get(before + char, 0) + 20 * base) / (self.pairs.get(before, 0) + 20))
-        return self.costs[key]
+        found = self.costs.get(key)
+        if found is None:
+            if len(self.costs) > REMEMBERED:
+                self.costs.clear()
+            base = (self.counts[char] + 0.1) / (self.total + 10)
+            found = self.costs[key] = -math.log((self.counts[before + char] + 20 * base) / (self.counts[before] + 20))
+        return found
 
     def restore(self, span: str) -> str:
         """Likeliest reading of one span, in lower case."""
@@ -162,23 +207,29 @@ def _sampled(rows: DataFrame, bound: int, salt: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(n, 1))))
 
 
-def character_model(texts: DataFrame) -> dict[str, int]:
-    """Counts of the character trigrams of words in all texts; of the TRIGRAMS most frequent ones, if there are more."""
+def character_model(texts: DataFrame) -> Counts:
+    """Sketch of how often each character trigram of words, its first two and its last character occur in all texts.
+
+    Tasks count their texts and hand on cells, so that neither a shuffle nor the driver has more than the sketch's cells.
+    """
 
     def run(values: list) -> list:
         words: Counter[str] = Counter()
         for value in values:
             words.update(WORD.findall((value or "").lower()))
-        grams: dict[str, int] = {}
+        grams: Counter[str] = Counter()
         for word, n in words.items():
             padded = f"  {word} "
             for i in range(len(padded) - 2):
-                gram = padded[i : i + 3]
-                grams[gram] = grams.get(gram, 0) + n
-        return [list(grams), list(grams.values())]
+                grams[padded[i : i + 3]] += n
+        cells = cell_counts(grams)
+        return [list(cells), list(cells.values())]
 
-    counted = map_column(texts, [], "text", run, {"gram": "string", "n": "long"}).groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: int(r["n"]) for r in counted.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()}
+    counted = map_column(texts, [], "text", run, {"cell": "long", "n": "long"}).groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros(CELLS * len(SEEDS), dtype=np.int64)
+    for batch in counted.toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return Counts(table)
 
 
 def fit_weights(rows: list[tuple[list[int], int]], n_features: int, l2: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -205,9 +256,9 @@ def fit_weights(rows: list[tuple[list[int], int]], n_features: int, l2: float =
 
 
 class Model:
-    """Trigram counts, feature weights and intercept: what a task needs to score texts."""
+    """Character counts, feature weights and intercept: what a task needs to score texts."""
 
-    def __init__(self, grams: dict[str, int], weights: dict[str, float], bias: float) -> None:
+    def __init__(self, grams: Counts, weights: dict[str, float], bias: float) -> None:
         self.grams, self.weights, self.bias = grams, weights, bias
         self.made: Restorer | None = None
         self.starts = {f.rstrip("*") for f in weights if f.endswith("*")}
@@ -215,6 +266,11 @@ class Model:
         self.telling: dict[str, tuple[str, ...]] = {}
         self.before: dict[str, tuple[str, ...]] = {}
 
+    def forget(self) -> None:
+        """What a task remembers of texts goes with it."""
+        self.made = None
+        self.telling, self.before = {}, {}
+
     def restorer(self) -> Restorer:
         """One restorer a task process, with its memory."""
         self.made = self.made or Restorer(self.grams)
@@ -249,8 +305,8 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Model of labelled rows that aren't held out: about TRAIN_ROWS of them, equal texts once.
 
-    Features that at least SUPPORT toxic and relatively few other texts have are
-    kept, the FEATURES with the highest likelihood ratio at most. Without any
+    All features are kept that at least SUPPORT toxic and relatively few other texts
+    have; the bound of labelled rows bounds them. Without any
     labelled row of either class all scores are those of the intercept, 0.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
@@ -267,7 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = shared.value.restorer()
         return [[sorted(features_of(words_of(value, own))) for value in values]]
 
-    listed = settle(map_column(train, ["doc_id", "label"], "text", run, {"features": "array<string>"}))
+    listed = settle(map_column(train, ["doc_id", "label"], "text", run, {"features": "array<string>"}, lambda: shared.value.forget()))
     positives = listed.where("label > 0").count()
     negatives = listed.count() - positives
     if not positives or not negatives:
@@ -277,12 +333,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         listed.select("label", F.explode("features").alias("feature")).groupBy("feature")
         .agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") > 0, 0).otherwise(1)).alias("neg"))
         .where((F.col("pos") >= SUPPORT) & (rate1 > 4 * rate0))
-        .withColumn("gain", F.col("pos") * F.log(rate1 / rate0) + (positives - F.col("pos")) * F.log((1 - rate1 + 1e-9) / (1 - rate0 + 1e-9)))
-        .orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+        .orderBy("feature").collect()
     )
     number = {r["feature"]: i for i, r in enumerate(ranked)}
-    hits = listed.select("label", "doc_id", F.array_sort(F.array_intersect("features", F.array(*[F.lit(f) for f in number]) if number else F.array().cast("array<string>"))).alias("found"))
-    rows = sorted(([number[f] for f in r["found"]], int(r["label"] > 0)) for r in hits.select("found", "label").toLocalIterator())
+    hits = map_column(listed, ["label"], "features", lambda lists: [[sorted(number[f] for f in own if f in number) for own in lists]], {"found": "array<int>"})
+    rows = sorted((list(r["found"]), int(r["label"] > 0)) for r in hits.toLocalIterator())
     weights, bias = fit_weights(rows, len(number))
     return Model(grams, {f: float(weights[i]) for f, i in number.items() if weights[i]}, min(bias, -0.5))
 
@@ -299,7 +354,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         scores = [shared.value.score(value) for value in values]
         return [scores, [int(s >= 0.5) for s in scores]]
 
-    return map_column(docs, keep, text_col, run, {"score": "double", "predicted": "int"})
+    return map_column(docs, keep, text_col, run, {"score": "double", "predicted": "int"}, lambda: shared.value.forget())
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -317,4 +372,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     to learn from but are judged alike. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
-    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values])
+    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values], lambda: shared.value.forget())

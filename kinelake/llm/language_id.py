@@ -90,6 +90,12 @@ def encoder() -> Encoder:
     return _encoder
 
 
+def forget() -> None:
+    """A task's n-gram vectors go with it."""
+    global _encoder
+    _encoder = None
+
+
 def held_out(id_col):
     """Rows that no model learns from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
@@ -99,9 +105,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Unit prototype of each language, from about train_docs hashed texts of each that aren't held out.
 
     Only the prototypes, one row a language and dimension, reach the driver. Null
-    languages and texts without a letter teach nothing; an empty table, no language.
+    languages, null ids and texts without a letter teach nothing; an empty table, no language.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rates = settle(usable.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")))
     if rates.count() <= 10_000:  # language codes; with more, Spark chooses the join
         rates = F.broadcast(rates)
@@ -113,7 +119,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         vectors = [own.vector(text) for text in texts]
         return [[[] if v is None else np.round(v / (np.linalg.norm(v) or 1.0) * 1e6).astype(np.int64) for v in vectors]]
 
-    parts = map_column(chosen, ["lang"], "text", run, {"vector": "array<long>"})
+    parts = map_column(chosen, ["lang"], "text", run, {"vector": "array<long>"}, forget)
     sums = parts.select("lang", F.posexplode("vector").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
     prototypes: dict[str, np.ndarray] = {}
     for row in sums.toLocalIterator():
@@ -148,7 +154,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         return [langs, scores]
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_column(slim, ["doc_id"], "text", run, {"lang_pred": "string", "score": "double"})
+    return map_column(slim, ["doc_id"], "text", run, {"lang_pred": "string", "score": "double"}, forget)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.plans import audit_queries, pose_queries, table_queries
+from kinelake.plans import audit_queries, pose_queries, stream_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return pose_queries.QUERIES | table_queries.QUERIES | audit_queries.QUERIES
+    return pose_queries.QUERIES | table_queries.QUERIES | audit_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return pose_queries.ORACLE | table_queries.ORACLE | audit_queries.ORACLE
+    return pose_queries.ORACLE | table_queries.ORACLE | audit_queries.ORACLE | stream_queries.ORACLE

@@ -39,12 +39,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage: compute once and write a table to the shared checkpoint folder.
 
     Columnar and compressed, so that later readers take only the columns they use.
     """
-    path = f"{_shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.settled_path = path

@@ -10,6 +10,8 @@ from kinelake.session import settle
 
 #: Rows of a label or plan table that is broadcast.
 FEW = 100_000
+#: Characters of the runs by which file names are indexed.
+GRAM = 8
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -36,25 +38,61 @@ def metadata(files: DataFrame) -> DataFrame:
     )
 
 
+def _stem(name: Column) -> Column:
+    """A file name without its last ending."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def _grams(text: Column, length: Column) -> Column:
+    """Distinct runs of length characters of a text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, length)))
+
+
+def files_that_hold(stems: DataFrame, files: DataFrame, most: int = GRAM) -> DataFrame:
+    """(stem, hits, seq_file) of distinct stems: how many files hold the stem in their own, and the least of them.
+
+    Files are indexed by the runs of most characters of their stems (of fewer, for
+    shorter stems), as far as a wanted stem has such a run. Each stem looks its rarest run
+    up and is compared with those files alone.
+    """
+    wanted = settle(stems.where("stem <> ''").select("stem", F.least(F.length("stem"), F.lit(most)).alias("size")).distinct())
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # most at most
+    runs = wanted.select("stem", F.explode(_grams(F.col("stem"), F.col("size"))).alias("gram"))
+    kinds = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
+    named = files.select("seq_file", _stem(F.col("seq_file")).alias("own"))
+    long_enough = named.select("seq_file", "own", F.explode(kinds).alias("size")).where(F.length("own") >= F.col("size"))
+    index = settle(long_enough.select("seq_file", "own", F.explode(_grams(F.col("own"), F.col("size"))).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A run that no file has settles its stem: it is held by none.
+    rarest = runs.join(counts, "gram", "left").groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    found = rarest.join(index, "gram").where(F.contains("own", "stem"))
+    return found.groupBy("stem").agg(F.count(F.lit(1)).alias("hits"), F.min("seq_file").alias("fallback"))
+
+
 def match_sequences(meta: DataFrame, files: DataFrame) -> DataFrame:
-    """Status and sequence file of each metadata row: matched, ambiguous or missing.
+    """Status and sequence file of each metadata row (video_id, file_name): matched, ambiguous or missing.
 
-    Files (seq_file) are joined on the normalised id that begins their name; of
-    several, those that hold the row's stem count; rows without any fall back
-    to files that hold the stem, found by the stem's own key, the name without
-    the leading id and the ending.
+    Files (seq_file, their names) are joined on the normalised id that their name
+    begins with. Of several, the only one that holds the row's stem counts, else the
+    one that is named id, stem and ending exactly. Rows without any fall back to the
+    only file whose stem holds theirs (``files_that_hold``); rows without a stem don't.
     """
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    rows = meta.withColumn("_id", rules.video_id(F.col("video_id"))).withColumn("_stem", stem)
-    listed = files.select("seq_file", rules.video_id(F.regexp_extract("seq_file", r"^([^_]+)_", 1)).alias("_id"), F.regexp_replace(F.regexp_replace("seq_file", r"^[^_]+_", ""), r"_sequence\.json$", "").alias("_rest"))
-    by_id = rows.join(listed, "_id", "left").withColumn("_holds", F.coalesce(F.contains("seq_file", "_stem"), F.lit(False)))
-    found = by_id.groupBy("video_id", "file_name", "_stem").agg(F.count("seq_file").alias("n"), F.count_if("_holds").alias("held"), F.min("seq_file").alias("any"), F.min(F.when(F.col("_holds"), F.col("seq_file"))).alias("one"))
-    by_stem = found.where("n = 0").join(listed.select(F.col("_rest").alias("_stem"), "seq_file"), "_stem", "left").groupBy("video_id", "file_name").agg(F.count("seq_file").alias("m"), F.min("seq_file").alias("fallback"))
-    return found.join(by_stem, ["video_id", "file_name"], "left").select(
-        "video_id", "file_name",
-        F.when((F.col("n") == 1) | (F.col("held") == 1) | (F.col("m") == 1), "matched").when((F.col("n") > 1) | (F.col("m") > 1), "ambiguous").otherwise("missing").alias("status"),
-        F.when(F.col("n") == 1, F.col("any")).when(F.col("held") == 1, F.col("one")).when(F.col("m") == 1, F.col("fallback")).alias("seq_file"),
+    rows = meta.withColumn("_id", F.coalesce(rules.video_id(F.col("video_id").cast("string")), F.lit(""))).withColumn("_stem", _stem(F.trim(F.coalesce("file_name", F.lit("")))))
+    token = F.substring_index("seq_file", "_", 1)
+    listed = files.select("seq_file", F.when(token.rlike(r"^\d+$"), rules.video_id(token)).otherwise(token).alias("_id"))
+    holds = (F.col("_stem") != "") & F.contains("seq_file", "_stem")
+    exact = F.col("seq_file") == F.concat("_id", F.lit("_"), "_stem", F.lit("_sequence.json"))
+    found = (
+        rows.join(listed, "_id", "left").groupBy("video_id", "file_name", "_stem")
+        .agg(F.count("seq_file").alias("n"), F.count_if(F.coalesce(holds, F.lit(False))).alias("held"), F.min("seq_file").alias("any"), F.min(F.when(holds, F.col("seq_file"))).alias("one"), F.max(F.when(exact, F.col("seq_file"))).alias("named"))
     )
+    found = settle(found)
+    by_stem = files_that_hold(found.where("n = 0").select(F.col("_stem").alias("stem")), files)
+    both = found.join(by_stem, (F.col("_stem") == F.col("stem")) & (F.col("n") == 0), "left")
+    file = F.when(F.col("n") == 1, F.col("any")).when(F.col("held") == 1, F.col("one")).when(F.col("n") > 1, F.col("named")).when(F.col("hits") == 1, F.col("fallback"))
+    status = F.when(file.isNotNull(), "matched").when((F.col("n") > 1) | (F.col("hits") > 1), "ambiguous").otherwise("missing")
+    return both.select("video_id", "file_name", status.alias("status"), file.alias("seq_file"))
 
 
 def join_violations(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

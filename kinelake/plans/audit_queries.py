@@ -74,19 +74,25 @@ def _softmax(s, d):
     return tidy(made.select("row_index", *[F.col("p")[i].alias(f"p{i}") for i in range(4)]), 6)
 
 
+#: Sequence files of clips, in words that Spark and DuckDB share: under the id, under an id of another range, a second
+#: take under the same id, an older take under an id of its own, another file of the same id.
+_SEQUENCES = {
+    "clip_key % 5 <> 2": "CASE WHEN clip_key % 7 = 1 THEN clip_key + 10000000 ELSE clip_key END || '_' || stem || '_sequence.json'",
+    "clip_key % 11 = 3": "clip_key || '_other_sequence.json'",
+    "clip_key % 13 = 5": "clip_key || '_' || stem || '_take2_sequence.json'",
+    "clip_key % 10 = 2": "'x' || clip_key || '_old_' || stem || '_take2_sequence.json'",
+}
+
+
 def _sequence_files(s, d):
-    """A sequence file for most clips; some under an unpadded id, some twice, some only by their name."""
-    clips = derive.clips(s, d)
-    name = F.regexp_replace("file_name", ".mp4$", "_sequence.json")
-    key = F.when(F.col("clip_key") % 7 == 1, F.col("clip_key") + 10_000_000).otherwise(F.col("clip_key")).cast("string")
-    once = clips.where("clip_key % 5 <> 2").select(F.concat(key, F.lit("_"), name).alias("seq_file"))
-    again = clips.where("clip_key % 11 = 3").select(F.concat(F.col("clip_key").cast("string"), F.lit("_other_sequence.json")).alias("seq_file"))
-    return once.unionByName(again)
+    clips = derive.clips(s, d).withColumn("stem", F.regexp_replace("file_name", ".mp4$", ""))
+    parts = [clips.where(test).selectExpr(f"{name} AS seq_file") for test, name in _SEQUENCES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def _matches(s, d):
-    meta = derive.clips(s, d).select(F.col("clip_key").cast("string").alias("video_id"), "file_name")
-    return dataset.match_sequences(meta, _sequence_files(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("seq_file").alias("files"))
+    named = "CASE WHEN clip_key % 31 = 7 THEN '' ELSE file_name END AS file_name"
+    return dataset.match_sequences(derive.clips(s, d).selectExpr("CAST(clip_key AS STRING) AS video_id", named), _sequence_files(s, d))
 
 
 QUERIES = {
@@ -247,18 +253,17 @@ _DUE = f"storage_status IN ('stored', 'deletion_pending') AND try_cast(retention
 _BATCH = f"{_SE}, ba AS (SELECT * FROM se WHERE {_DUE} ORDER BY retention_expires_at, id LIMIT 500)"
 _SWEPT = f"CASE WHEN id % 4 = 1 THEN 'no_outcome' ELSE {table_queries.OUTCOME} END"
 _MATCH = f"""
-WITH {_CL}, sq AS (
-  SELECT CASE WHEN clip_key % 7 = 1 THEN clip_key + 10000000 ELSE clip_key END AS k, replace(file_name, '.mp4', '') AS stem FROM clips WHERE clip_key % 5 <> 2
-  UNION ALL SELECT clip_key, 'other' FROM clips WHERE clip_key % 11 = 3
-), bi AS (
-  SELECT clip_key, replace(file_name, '.mp4', '') AS stem, count(sq.k) AS n, count(*) FILTER (contains(sq.stem, replace(file_name, '.mp4', ''))) AS held
-  FROM clips LEFT JOIN sq ON sq.k = clip_key GROUP BY ALL
-), bs AS (SELECT bi.clip_key, count(sq.k) AS m FROM bi LEFT JOIN sq ON sq.stem = bi.stem WHERE n = 0 GROUP BY 1),
-mt AS (
-  SELECT CASE WHEN n = 1 OR held = 1 OR m = 1 THEN 'matched' WHEN n > 1 OR m > 1 THEN 'ambiguous' ELSE 'missing' END AS status
-  FROM bi LEFT JOIN bs USING (clip_key)
-)
-SELECT status, count(*) AS n, count(*) FILTER (status = 'matched') AS files FROM mt GROUP BY status"""
+WITH {_CL}, cs AS (SELECT *, replace(file_name, '.mp4', '') AS stem FROM clips),
+sq AS ({" UNION ALL ".join(f"SELECT {name} AS seq_file FROM cs WHERE {test}" for test, name in _SEQUENCES.items())}),
+sf AS (SELECT seq_file, CASE WHEN regexp_full_match(split_part(seq_file, '_', 1), '\\d+') THEN printf('%03d', split_part(seq_file, '_', 1)::BIGINT) ELSE split_part(seq_file, '_', 1) END AS fid, regexp_replace(seq_file, '\\.[^.]*$', '') AS own FROM sq),
+me AS (SELECT clip_key::VARCHAR AS video_id, printf('%03d', clip_key) AS vid, CASE WHEN clip_key % 31 = 7 THEN '' ELSE file_name END AS file_name, CASE WHEN clip_key % 31 = 7 THEN '' ELSE stem END AS stem FROM cs),
+bi AS (
+  SELECT video_id, file_name, stem, count(seq_file) AS n, count(*) FILTER (stem <> '' AND contains(seq_file, stem)) AS held, min(seq_file) AS any_file,
+    min(seq_file) FILTER (stem <> '' AND contains(seq_file, stem)) AS one, max(seq_file) FILTER (seq_file = vid || '_' || stem || '_sequence.json') AS named
+  FROM me LEFT JOIN sf ON fid = vid GROUP BY ALL
+), bs AS (SELECT stem, count(*) AS hits, min(seq_file) AS fallback FROM (SELECT DISTINCT stem FROM bi WHERE n = 0 AND stem <> '') JOIN sf ON contains(own, stem) GROUP BY stem),
+mt AS (SELECT bi.*, hits, CASE WHEN n = 1 THEN any_file WHEN held = 1 THEN one WHEN n > 1 THEN named WHEN n = 0 AND hits = 1 THEN fallback END AS seq_file FROM bi LEFT JOIN bs ON bs.stem = bi.stem AND n = 0)
+SELECT video_id, file_name, CASE WHEN seq_file IS NOT NULL THEN 'matched' WHEN n > 1 OR hits > 1 THEN 'ambiguous' ELSE 'missing' END AS status, seq_file FROM mt"""
 
 ORACLE = {
     "a10_tabular_quality": tidy_sql(_TAB, _quality_sql(), ["feature", "nan", "infinite", "zero_variance"], ["mean", "std", "min", "max"], 3),

@@ -18,10 +18,11 @@ from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.arrow import keep_rows, map_column
+from kinelake.llm.arrow import ROWS, bound_batches, keep_rows, map_column
 from kinelake.llm.exact_dedup import BROADCAST_IDS
 from kinelake.llm.language_id import held_out
 from kinelake.session import settle
@@ -48,7 +49,9 @@ TRAIN_ROWS, STARTS, SUPPORT = 24_000, (4, 5, 6, 7), 3
 #: Cells of each of the rows of the sketch of character counts (4 MB a row), and the rows' seeds.
 CELLS, SEEDS = 1 << 19, (0x9E3779B1, 0x85EBCA77)
 #: Tokens and spans that a process remembers, and characters of one.
-REMEMBERED, LONG = 60_000, 48
+REMEMBERED, LONG = 100_000, 48
+#: Words that a task counts before it hands them on.
+WORDS_HELD = 300_000
 
 
 def cells_of(gram: str) -> tuple[int, ...]:
@@ -99,9 +102,6 @@ class Restorer:
     def __init__(self, counts: Counts | dict[str, int]) -> None:
         self.counts = counts if isinstance(counts, Counts) else Counts.of(counts)
         self.total = self.counts[""] + 1.0
-        self.forget()
-
-    def forget(self) -> None:
         self.memory: dict[str, str] = {}
         self.tokens: dict[str, frozenset[str]] = {}
         self.costs: dict[tuple[str, str], float] = {}
@@ -210,22 +210,33 @@ def _sampled(rows: DataFrame, bound: int, salt: str) -> DataFrame:
 def character_model(texts: DataFrame) -> Counts:
     """Sketch of how often each character trigram of words, its first two and its last character occur in all texts.
 
-    Tasks count their texts and hand on cells, so that neither a shuffle nor the driver has more than the sketch's cells.
+    A task counts words over all its texts and hands on cells once; when it holds
+    WORDS_HELD words, it hands on what it has. Neither a shuffle nor the driver has more than
+    the sketch's cells.
     """
+    bound_batches(texts)
 
-    def run(values: list) -> list:
-        words: Counter[str] = Counter()
-        for value in values:
-            words.update(WORD.findall((value or "").lower()))
+    def cells(words: Counter[str]) -> pa.RecordBatch:
         grams: Counter[str] = Counter()
         for word, n in words.items():
             padded = f"  {word} "
             for i in range(len(padded) - 2):
                 grams[padded[i : i + 3]] += n
-        cells = cell_counts(grams)
-        return [list(cells), list(cells.values())]
+        found = cell_counts(grams)
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["cell", "n"])
 
-    counted = map_column(texts, [], "text", run, {"cell": "long", "n": "long"}).groupBy("cell").agg(F.sum("n").alias("n"))
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                for value in batch.column(0).slice(at, ROWS).to_pylist():
+                    words.update(WORD.findall((value or "").lower()))
+                if len(words) > WORDS_HELD:
+                    yield cells(words)
+                    words.clear()
+        yield cells(words)
+
+    counted = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros(CELLS * len(SEEDS), dtype=np.int64)
     for batch in counted.toArrow().to_batches():
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -266,11 +277,6 @@ class Model:
         self.telling: dict[str, tuple[str, ...]] = {}
         self.before: dict[str, tuple[str, ...]] = {}
 
-    def forget(self) -> None:
-        """What a task remembers of texts goes with it."""
-        self.made = None
-        self.telling, self.before = {}, {}
-
     def restorer(self) -> Restorer:
         """One restorer a task process, with its memory."""
         self.made = self.made or Restorer(self.grams)
@@ -323,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = shared.value.restorer()
         return [[sorted(features_of(words_of(value, own))) for value in values]]
 
-    listed = settle(map_column(train, ["doc_id", "label"], "text", run, {"features": "array<string>"}, lambda: shared.value.forget()))
+    listed = settle(map_column(train, ["doc_id", "label"], "text", run, {"features": "array<string>"}))
     positives = listed.where("label > 0").count()
     negatives = listed.count() - positives
     if not positives or not negatives:
@@ -354,7 +360,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         scores = [shared.value.score(value) for value in values]
         return [scores, [int(s >= 0.5) for s in scores]]
 
-    return map_column(docs, keep, text_col, run, {"score": "double", "predicted": "int"}, lambda: shared.value.forget())
+    return map_column(docs, keep, text_col, run, {"score": "double", "predicted": "int"})
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -372,4 +378,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     to learn from but are judged alike. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
-    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values], lambda: shared.value.forget())
+    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values])

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from kinelake.functions import labels as rules
+from kinelake.operators import contracts
 from kinelake.session import settle
 
 #: Rows of a label or plan table that is broadcast.
 FEW = 100_000
+#: Columns that describe a clip and are no features.
+METADATA_COLUMNS = ("video_id", "file_name", "relative_path", "shot_label", "quality", "person_id", "use_for_v1", "encoded_label")
 #: Characters of the runs by which file names are indexed.
 GRAM = 8
 
@@ -101,6 +105,30 @@ def join_violations(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return counted(left, "left").unionByName(counted(right, "right"))
 
 
+def joined_split(split: DataFrame, meta: DataFrame) -> DataFrame:
+    """The rows of a split (video_id, file_name, shot_label) with their person, and what is wrong with them (violation).
+
+    Each row should meet one metadata row of its video_id and file_name. violation is
+    duplicate_split, duplicate_meta, missing_person (no such row, or a blank person) or
+    label_mismatch, NULL if all is well; a row that repeats on either side comes once for each pair.
+    """
+    keys = ["video_id", "file_name"]
+    repeats = lambda df, name: df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    known = repeats(meta.select(*keys, "person_id", F.col("shot_label").alias("_label")), "_meta")
+    joined = repeats(split, "_split").join(known, keys, "left")
+    violation = (
+        F.when(F.col("_split") > 1, "duplicate_split").when(F.col("_meta") > 1, "duplicate_meta")
+        .when(F.coalesce(F.trim("person_id"), F.lit("")) == "", "missing_person").when(~F.col("shot_label").eqNullSafe(F.col("_label")), "label_mismatch")
+    )
+    return joined.select(*split.columns, "person_id", violation.alias("violation"))
+
+
+def strict_split(split: DataFrame, meta: DataFrame) -> DataFrame:
+    """``joined_split``, written once; ContractError with the number of rows of each violation."""
+    rules_of = {name: F.col("violation") == name for name in ("duplicate_split", "duplicate_meta", "missing_person", "label_mismatch")}
+    return contracts.checked(joined_split(split, meta), rules_of).drop("violation")
+
+
 def with_person(predictions: DataFrame, meta: DataFrame) -> DataFrame:
     """Person and quality by file name; with any duplicate name the lookup counts as empty."""
     clash = meta.groupBy("file_name").count().agg(F.coalesce(F.max("count") > 1, F.lit(False)).alias("_clash"))
@@ -275,12 +303,30 @@ def label_report(full: DataFrame, parts: DataFrame, known: tuple[str, ...], labe
 
 def numeric_schema(df: DataFrame, ignored: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
     """Numeric columns that are features, and the columns left out."""
-    from pyspark.sql.types import NumericType
-
     features = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in ignored]
     return features, [c for c in df.columns if c not in features]
 
 
+def feature_schema(df: DataFrame, target: str, metadata: tuple[str, ...] = METADATA_COLUMNS, text: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """Features and ignored columns of a table, by one pass; ContractError with the counts of missing and unreadable values.
+
+    Numeric columns other than target and metadata are features, booleans aren't; columns in
+    text count as numeric if they can be read as numbers, which must then hold for all rows.
+    """
+    features, _ = numeric_schema(df, (target, *metadata))
+    features += [c for c in text if c in df.columns and c not in features]
+    if not features:
+        raise contracts.ContractError({"numeric features missing": 1})
+    value = {c: F.col(c).try_cast("double") if c in text else F.col(c).cast("double") for c in features}
+    missing = [F.count_if(F.col(c).isNull() | F.coalesce(F.isnan(v), F.lit(False))).alias(f"{c}: missing") for c, v in value.items()]
+    odd = [F.count_if(F.col(c).isNotNull() & v.isNull()).alias(f"{c}: not a number") for c, v in value.items() if c in text]
+    counts = {name: n for name, n in df.agg(*missing, *odd).first().asDict().items() if n}
+    if counts:
+        raise contracts.ContractError(counts)
+    ordered = [c for c in df.columns if c in features]
+    return {"features": ordered, "ignored": [c for c in df.columns if c not in ordered]}
+
+
 def column_report(found: list[str], expected: list[str]) -> dict[str, list[str]]:
     """Missing, unexpected and misplaced columns."""
     return {"missing": [c for c in expected if c not in found], "unexpected": [c for c in found if c not in expected], "misplaced": [c for c, d in zip(found, expected, strict=False) if c != d and c in expected]}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import geometry as g
+from kinelake.functions.labels import SHOTS
+from kinelake.operators import contracts
 
 #: Names and order of the features of a frame and of a clip.
 FRAME_FEATURES = (
@@ -235,27 +237,51 @@ def long_form(table: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return table.unpivot(keys, names, "feature", "value")
 
 
-def statistics(table: DataFrame, names: list[str] = FRAME_FEATURES, near_zero: float = 1e-8) -> DataFrame:
-    """One row a feature, from one wide aggregate over (clip_id, t, features)."""
+def _deltas(table: DataFrame, names: list[str], *keep: str) -> DataFrame:
     clip = Window.partitionBy("clip_id").orderBy("t")
-    moved = table.select("clip_id", "t", *names, *[F.abs(F.col(n) - F.lag(n).over(clip)).alias(f"d_{n}") for n in names])
-    rows = [
-        F.struct(F.lit(n).alias("feature"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("min"), F.max(n).alias("max"), (F.max(n) - F.min(n)).alias("range"), F.var_pop(n).alias("variance"), F.coalesce(F.avg(f"d_{n}"), F.lit(0.0)).alias("mean_abs_delta"), (F.count_if(F.abs(F.col(n)) <= near_zero) * 100.0 / F.count(n)).alias("near_zero_pct"))
-        for n in names
+    return table.select("clip_id", "t", *keep, *names, *[F.abs(F.col(n) - F.lag(n).over(clip)).alias(f"d_{n}") for n in names])
+
+
+def _facts(n: str, near_zero: float) -> list[Column]:
+    return [
+        F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("min"), F.max(n).alias("max"), (F.max(n) - F.min(n)).alias("range"), F.var_pop(n).alias("variance"),
+        F.coalesce(F.avg(f"d_{n}"), F.lit(0.0)).alias("mean_abs_delta"), (F.count_if(F.abs(F.col(n)) <= near_zero) * 100.0 / F.count(n)).alias("near_zero_pct"),
     ]
-    return moved.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def statistics(table: DataFrame, names: list[str] = FRAME_FEATURES, near_zero: float = 1e-8) -> DataFrame:
+    """One row a feature, from one wide aggregate over (clip_id, t, features)."""
+    rows = [F.struct(F.lit(n).alias("feature"), *_facts(n, near_zero)) for n in names]
+    return _deltas(table, names).agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def class_statistics(table: DataFrame, names: list[str] = FRAME_FEATURES, classes: tuple[str, ...] = SHOTS, label: str = "shot", near_zero: float = 1e-8) -> DataFrame:
+    """``statistics``, and beside them mean_<class> and std_<class> of every class: a row a feature.
+
+    One aggregate over grouping sets (all rows, each class); classes are pivoted on its few rows.
+    """
+    rows = [F.struct(F.lit(n).alias("feature"), *_facts(n, near_zero)) for n in names]
+    sets = _deltas(table, names, label).groupingSets([[], [label]], label).agg(F.grouping(label).alias("_all"), F.array(*rows).alias("r"))
+    tall = sets.select("_all", F.col(label).alias("_class"), F.inline("r"))
+    whole = [c for c in tall.columns if c not in ("_all", "_class", "feature")]
+    of_class = lambda c, what: F.max(F.when((F.col("_all") == 0) & (F.col("_class") == c), F.col(what))).alias(f"{what}_{c}")
+    return tall.groupBy("feature").agg(*[F.max(F.when(F.col("_all") == 1, F.col(w))).alias(w) for w in whole], *[of_class(c, w) for c in classes for w in ("mean", "std")])
+
+
+#: What speaks against a feature, in our own words.
+NOTES = {"dead": "doesn't vary", "still": "hardly varies or moves", "jumpy": "large steps for its range", "unstable": "wide spread with large steps"}
 
 
 def health(stats: DataFrame) -> DataFrame:
-    """Dead, near_dead, noisy or healthy."""
+    """Dead, near_dead, noisy or healthy, with notes on why."""
     ratio = F.when(F.col("range") > 0, F.col("mean_abs_delta") / F.col("range")).otherwise(0.0)
     spread = F.when(F.col("range") > 0, F.col("std") / F.col("range")).otherwise(0.0)
-    status = (
-        F.when((F.col("variance") == 0) | (F.col("range") <= 1e-12), "dead")
-        .when((F.col("variance") <= 1e-8) | (F.col("mean_abs_delta") <= 1e-6), "near_dead")
-        .when((ratio >= 0.35) | ((spread >= 0.30) & (ratio >= 0.20)), "noisy").otherwise("healthy")
-    )
-    return stats.withColumn("health_status", status)
+    dead = (F.col("variance") == 0) | (F.col("range") <= 1e-12)
+    still = (F.col("variance") <= 1e-8) | (F.col("mean_abs_delta") <= 1e-6)
+    jumpy, unstable = ratio >= 0.35, (spread >= 0.30) & (ratio >= 0.20)
+    status = F.when(dead, "dead").when(still, "near_dead").when(jumpy | unstable, "noisy").otherwise("healthy")
+    notes = F.when(dead, F.array(F.lit(NOTES["dead"]))).otherwise(F.array_compact(F.array(*[F.when(test, NOTES[name]) for name, test in (("still", still), ("jumpy", jumpy), ("unstable", unstable))])))
+    return stats.withColumn("health_status", status).withColumn("notes", F.array_join(notes, "; "))
 
 
 def health_summary(checked: DataFrame) -> DataFrame:
@@ -317,17 +343,40 @@ def correlations(table: DataFrame, names: list[str], least: float = 0.95) -> Dat
     return table.agg(F.array(*rows).alias("p")).select(F.explode("p").alias("p")).select("p.*").where(g.finite(F.col("r")).isNotNull() & (F.abs("r") > least))
 
 
+def feature_vectors(clips: DataFrame, names: list[str] = CLIP_FEATURES) -> DataFrame:
+    """Clips with their features in one array, in the contract's order; ContractError with counts.
+
+    Missing or unexpected features are an error at once, values that aren't finite when the
+    table has been written, in the same pass.
+    """
+    contracts.require_columns([c for c in clips.columns if c != "clip_id"], list(names))
+    made = contracts.checked(clips.select("clip_id", *names), {"rows with non-finite features": contracts.not_finite(list(names)) > 0})
+    return made.select("clip_id", F.array(*[F.col(n).cast("double") for n in names]).alias("features"))
+
+
 def fit_scaler(train: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, mean, std) of the training rows; deviations under 1e-6 count as 1."""
-    rows = [F.struct(F.lit(n).alias("feature"), F.avg(n).alias("mean"), F.when(F.stddev_pop(n) < 1e-6, 1.0).otherwise(F.stddev_pop(n)).alias("std")) for n in names]
+    """(feature, mean, std) of the training rows; deviations under 1e-6 count as 1.
+
+    A value that isn't finite fails the job, with its feature and the number of such values.
+    """
+    rows = []
+    for n in names:
+        odd = F.sum(contracts.not_finite([n]))
+        wrong = F.raise_error(F.concat(F.lit(f"{n}: "), odd.cast("string"), F.lit(" values aren't finite"))).cast("double")
+        spread = F.when(F.stddev_pop(n) < 1e-6, 1.0).otherwise(F.stddev_pop(n))
+        rows.append(F.struct(F.lit(n).alias("feature"), F.when(odd > 0, wrong).otherwise(F.avg(n)).alias("mean"), spread.alias("std")))
     return train.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def scale(table: DataFrame, scaler: DataFrame, names: list[str]) -> DataFrame:
-    """(x - mean) / std in single precision; the scaler, a row a feature, is broadcast."""
+    """(x - mean) / std in single precision; the scaler, a row a feature, is broadcast.
+
+    A value that isn't finite, before or after, fails the job.
+    """
     packed = scaler.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("_s"))
     shifted = lambda n: ((F.col(n) - F.col("_s")[n]["mean"]) / F.col("_s")[n]["std"]).cast("float").alias(n)
-    return table.crossJoin(F.broadcast(packed)).select(*[c for c in table.columns if c not in names], *[shifted(n) for n in names])
+    made = table.crossJoin(F.broadcast(packed)).select(*[c for c in table.columns if c not in names], *[shifted(n) for n in names])
+    return contracts.guard(made, {"a scaled value isn't finite": contracts.not_finite(names) > 0})
 
 
 def tensor(table: DataFrame, names: list[str] = FRAME_FEATURES) -> DataFrame:

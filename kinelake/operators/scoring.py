@@ -20,6 +20,8 @@ COMPONENTS = {
     "balance_score": (0.10, (("stance_width", "mean"), ("body_center_offset_y", "abs_mean"), ("upper_body_balance_offset", "abs_mean"))),
 }
 LEAST_SPAN, LEAST_SAMPLES, TOLERANCE = 1e-6, 3, 2.0
+#: Size of a quantile sketch, and how far off the rank of its quantiles is at most, as a share of the values.
+SKETCH_K, RANK_ERROR = 400, 0.0073
 MAINTAIN, ISSUE = 85.0, 75.0
 #: Quantiles of a template, and steps in which its values are counted.
 QUANTILES, CELLS = (0.1, 0.5, 0.9), 1024
@@ -51,7 +53,7 @@ def training_clips(clips: DataFrame) -> DataFrame:
 
 
 def templates(stats: DataFrame, clips: DataFrame) -> DataFrame:
-    """(shot, feature, statistic, low, high, center, std, n); classes with fewer than three clips have none.
+    """(shot, feature, statistic, low, high, center, std, n); a class of fewer than three clips fails the job.
 
     Exact quantiles without a class in one task: values are counted in CELLS equal
     steps between the ends of their group; only the cells that hold a wanted rank
@@ -60,7 +62,7 @@ def templates(stats: DataFrame, clips: DataFrame) -> DataFrame:
     key = ["shot", "feature", "statistic"]
     rows = settle(stats.join(clips.select("clip_id", "shot"), "clip_id").where("value is not null").select(*key, "value"))
     facts = rows.groupBy(*key).agg(F.min("value").alias("_min"), F.max("value").alias("_max"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
-    facts = F.broadcast(facts.where(F.col("n") >= LEAST_SAMPLES))  # 20 rows a class
+    facts = F.broadcast(_enough(facts))  # 20 rows a class
     width = F.col("_max") - F.col("_min")
     cell = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("value") - F.col("_min")) / width * CELLS))).otherwise(0).cast("int")
     placed = rows.join(facts, key).withColumn("_cell", cell)
@@ -75,17 +77,60 @@ def templates(stats: DataFrame, clips: DataFrame) -> DataFrame:
     at = lambda r: F.max(F.when(F.col("_rank") == r, F.col("value")))
     ends = [(at(F.floor(place(q))), at(F.ceil(place(q))), place(q) - F.floor(place(q))) for q in QUANTILES]
     q = ranked.groupBy(*key, "n", "std").agg(*[(a + (b - a) * F.max(part)).alias(f"_q{i}") for i, (a, b, part) in enumerate(ends)])
+    return _widened(q, key)
+
+
+def _enough(facts: DataFrame) -> DataFrame:
+    """facts, failing with class and count where a group has fewer than LEAST_SAMPLES values."""
+    told = F.concat(F.lit("class "), F.coalesce("shot", F.lit("NULL")), F.lit(": "), F.col("n").cast("string"), F.lit(f" values of "), "feature", F.lit(f", {LEAST_SAMPLES} are needed"))
+    return facts.withColumn("n", F.when(F.col("n") < LEAST_SAMPLES, F.raise_error(told).cast("bigint")).otherwise(F.col("n")))
+
+
+def _widened(q: DataFrame, key: list[str]) -> DataFrame:
+    """Templates of quantiles _q0, _q1, _q2: ranges that are too narrow are widened round the median."""
     center, pad = F.col("_q1"), F.greatest(F.abs("_q1") * 0.05, F.lit(LEAST_SPAN))
     narrow = F.col("_q2") - F.col("_q0") < LEAST_SPAN
     return q.select(*key, F.when(narrow, center - pad).otherwise(F.col("_q0")).alias("low"), F.when(narrow, center + pad).otherwise(F.col("_q2")).alias("high"), center.alias("center"), "std", "n")
 
 
+def template_sketches(stats: DataFrame, clips: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """A28, opt-in for classes of very many clips: (shot, feature, statistic, sketch, n, total, squares), which new clips add to.
+
+    One pass and one row a group whatever its size; before, sketches made earlier, are merged
+    in. The KLL sketches keep SKETCH_K values a level; a quantile's rank is off by RANK_ERROR
+    of the group's size at most, with 99 % confidence.
+    """
+    key = ["shot", "feature", "statistic"]
+    rows = stats.join(clips.select("clip_id", "shot"), "clip_id").where("value is not null")
+    made = rows.groupBy(*key).agg(
+        F.kll_sketch_agg_double("value", SKETCH_K).alias("sketch"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"),
+    )
+    if before is None:
+        return made
+    both = made.unionByName(before.select(*made.columns))
+    return both.groupBy(*key).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"), *[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+
+
+def sketched_templates(sketches: DataFrame) -> DataFrame:
+    """A28 from ``template_sketches``: the columns of ``templates``, quantiles to RANK_ERROR."""
+    key = ["shot", "feature", "statistic"]
+    mean = F.col("total") / F.col("n")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)).alias("std")
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"_q{i}") for i, q in enumerate(QUANTILES)]
+    return _widened(_enough(sketches).select(*key, "n", std, *quantiles), key)
+
+
 def deviations(stats: DataFrame, predicted: DataFrame, template: DataFrame) -> DataFrame:
     """Clip x spec rows with score and deviation from the template of the predicted class.
 
-    Templates are 20 rows a class, so Spark broadcasts them by their size.
+    Templates are 20 rows a class, so Spark broadcasts them by their size. A predicted class
+    without templates fails the job.
     """
-    joined = stats.join(predicted.select("clip_id", "shot"), "clip_id").join(template, ["shot", "feature", "statistic"]).join(F.broadcast(specs(stats.sparkSession)), ["feature", "statistic"])
+    known = template.select("shot").distinct().withColumn("_known", F.lit(True))
+    named = predicted.select("clip_id", "shot").join(F.broadcast(known), "shot", "left")
+    lost = F.raise_error(F.concat(F.lit("no templates of class "), F.coalesce("shot", F.lit("NULL"))))
+    named = named.select("clip_id", F.when(F.col("_known"), F.col("shot")).otherwise(lost.cast("string")).alias("shot"))
+    joined = stats.join(named, "clip_id").join(template, ["shot", "feature", "statistic"]).join(F.broadcast(specs(stats.sparkSession)), ["feature", "statistic"])
     away = F.when(F.col("value") < F.col("low"), F.col("low") - F.col("value")).when(F.col("value") > F.col("high"), F.col("value") - F.col("high")).otherwise(0.0)
     span = F.greatest(F.col("high") - F.col("low"), F.lit(LEAST_SPAN))
     return joined.withColumn("deviation", away).withColumn("score", F.greatest(F.lit(0.0), (1.0 - F.col("deviation") / (span * TOLERANCE)) * 100.0))

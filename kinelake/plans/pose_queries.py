@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions.labels import SHOTS
 from kinelake.operators import features as feat
 from kinelake.operators import dataset, pose, scoring, segmentation
 from kinelake.plans import derive
@@ -82,6 +83,7 @@ QUERIES = {
     "f8_frame_features": lambda s, d: tidy(frame_table(s, d), 3),
     "a9_clip_features": lambda s, d: tidy(feat.clip_features(pose.clean(derive.frames(s, d))), 3),
     "a11_feature_statistics": lambda s, d: tidy(feat.health(feat.statistics(frame_table(s, d))), 3),
+    "a11_class_statistics": lambda s, d: tidy(feat.class_statistics(frame_table(s, d).withColumn("shot", F.expr(derive.SHOT.format(k="clip_id")))), 3),
     "a13_correlations": lambda s, d: tidy(feat.correlations(frame_table(s, d), feat.FRAME_FEATURES, 0.95), 3),
     "a14_health_summary": lambda s, d: feat.health_summary(feat.health(feat.statistics(frame_table(s, d)))),
     "a15_scaler": _scaled,
@@ -188,7 +190,18 @@ _MOVED = ", ".join(f"abs({n} - lag({n}) OVER w) AS d_{n}" for n in feat.FRAME_FE
 _FS = _FF + f""",
 mv AS (SELECT *, {_MOVED} FROM ff WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
 fs AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, avg({n}) AS mean, stddev_pop({n}) AS std, min({n}) AS min, max({n}) AS max, max({n}) - min({n}) AS range, var_pop({n}) AS variance, coalesce(avg(d_{n}), 0) AS mean_abs_delta, count(*) FILTER (abs({n}) <= 1e-8) * 100.0 / count(*) AS near_zero_pct FROM mv" for n in feat.FRAME_FEATURES)}),
-he AS (SELECT *, CASE WHEN variance = 0 OR range <= 1e-12 THEN 'dead' WHEN variance <= 1e-8 OR mean_abs_delta <= 1e-6 THEN 'near_dead' WHEN mean_abs_delta / range >= 0.35 OR (std / range >= 0.3 AND mean_abs_delta / range >= 0.2) THEN 'noisy' ELSE 'healthy' END AS health_status FROM fs)"""
+he AS (SELECT *, CASE WHEN variance = 0 OR range <= 1e-12 THEN 'dead' WHEN variance <= 1e-8 OR mean_abs_delta <= 1e-6 THEN 'near_dead' WHEN mean_abs_delta / range >= 0.35 OR (std / range >= 0.3 AND mean_abs_delta / range >= 0.2) THEN 'noisy' ELSE 'healthy' END AS health_status,
+  CASE WHEN variance = 0 OR range <= 1e-12 THEN 'doesn''t vary' ELSE concat_ws('; ', CASE WHEN variance <= 1e-8 OR mean_abs_delta <= 1e-6 THEN 'hardly varies or moves' END,
+    CASE WHEN mean_abs_delta / range >= 0.35 THEN 'large steps for its range' END, CASE WHEN std / range >= 0.3 AND mean_abs_delta / range >= 0.2 THEN 'wide spread with large steps' END) END AS notes FROM fs)"""
+
+
+def _class_sql() -> str:
+    """A11 with a mean and deviation of each class beside the totals."""
+    shot = derive.SHOT.format(k="clip_id")
+    of_class = lambda n: ", ".join(f"avg({n}) FILTER ({shot} = '{c}') AS mean_{c}, stddev_pop({n}) FILTER ({shot} = '{c}') AS std_{c}" for c in SHOTS)
+    classes = " UNION ALL ".join(f"SELECT '{n}' AS feature, {of_class(n)} FROM mv" for n in feat.FRAME_FEATURES)
+    shown = ["mean", "std", "min", "max", "range", "variance", "mean_abs_delta", "near_zero_pct", *[f"{w}_{c}" for c in SHOTS for w in ("mean", "std")]]
+    return tidy_sql(f"{_FS}, of_class AS ({classes})", "SELECT * FROM fs JOIN of_class USING (feature)", ["feature"], shown, 3)
 
 
 def _clip_sql() -> str:
@@ -233,7 +246,8 @@ ORACLE = {
     "t8_overlay_frame": tidy_sql(derive.FRAMES_SQL, "SELECT clip_id, arg_min(pos, round(-vis * 1000000) * 1000 + pos) AS pos, max(vis) AS visibility FROM (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n FROM fr) WHERE NOT blank AND pos >= n // 3 AND pos < greatest(n // 3 + 1, 2 * n // 3) GROUP BY clip_id", ["clip_id", "pos"], ["visibility"]),
     "f8_frame_features": tidy_sql(_FF, "SELECT * FROM ff", ["clip_id", "t"], _NAMES, 3),
     "a9_clip_features": tidy_sql(_clip_sql(), "SELECT * FROM cf", ["clip_id"], list(feat.CLIP_FEATURES), 3),
-    "a11_feature_statistics": tidy_sql(_FS, "SELECT * FROM he", ["feature", "health_status"], ["mean", "std", "min", "max", "range", "variance", "mean_abs_delta", "near_zero_pct"], 3),
+    "a11_class_statistics": _class_sql(),
+    "a11_feature_statistics": tidy_sql(_FS, "SELECT * FROM he", ["feature", "health_status", "notes"], ["mean", "std", "min", "max", "range", "variance", "mean_abs_delta", "near_zero_pct"], 3),
     "a14_health_summary": f"WITH {_FS} SELECT health_status, count(*) AS features, string_agg(feature, ',' ORDER BY feature) AS names FROM he GROUP BY ALL",
     "a13_correlations": tidy_sql(_FF, "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM ff" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]) + ") WHERE isfinite(r) AND abs(r) > 0.95", ["feature_a", "feature_b"], ["r"], 3),
     "a15_scaler": tidy_sql(_FF, "SELECT clip_id, t, " + ", ".join(f"(({n} - (SELECT avg({n}) FROM ff WHERE clip_id % 5 < 3)) / (SELECT stddev_pop({n}) FROM ff WHERE clip_id % 5 < 3))::FLOAT::DOUBLE AS {n}" for n in _SCALED) + " FROM ff", ["clip_id", "t"], _SCALED, 3),

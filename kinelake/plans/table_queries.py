@@ -76,11 +76,20 @@ def _decisions(s, d):
     )
 
 
+def _joined_split(s, d):
+    """A split whose rows partly repeat, lack metadata or a person, or disagree in their class."""
+    made = _split(s, d).selectExpr("clip_key", "CAST(clip_key AS STRING) AS video_id", "CASE WHEN clip_key % 17 = 3 THEN 'gone.mp4' ELSE file_name END AS file_name", "CASE WHEN clip_key % 19 = 5 THEN 'idle' ELSE shot_label END AS shot_label", "split")
+    split = made.unionByName(made.where("clip_key % 41 = 1"))
+    meta = derive.clips(s, d).selectExpr("CAST(clip_key AS STRING) AS video_id", "file_name", "shot_label", "CASE WHEN clip_key % 23 = 7 THEN ' ' ELSE person_id END AS person_id")
+    return dataset.joined_split(split, meta.unionByName(meta.where("file_name LIKE '%77.mp4'")))
+
+
 QUERIES = {
     "p1_metadata": lambda s, d: dataset.metadata(derive.clip_files(s, d).select("path")),
     "p2_use_clip": lambda s, d: dataset.metadata(derive.clip_files(s, d).select("path")).where(dataset.use_clip(F.col("use_for_v1"))).groupBy("shot_label").agg(F.count(F.lit(1)).alias("n")),
     "p18_name_rules": lambda s, d: derive.clips(s, d).select("clip_key", rules.shot_of(F.col("file_name")).alias("shot"), rules.quality_of(F.col("file_name")).alias("quality"), rules.video_id(F.col("clip_key").cast("string")).alias("video_id")),
     "j2_join_violations": lambda s, d: dataset.join_violations(derive.clips(s, d).selectExpr("person_id", "clip_key % 50 AS slot"), derive.clips(s, d).selectExpr("person_id", "clip_key % 7 AS slot"), ["person_id", "slot"]),
+    "j2_joined_split": _joined_split,
     "j3_with_person": lambda s, d: dataset.with_person(derive.clips(s, d).selectExpr("clip_key AS row_index", "file_name"), derive.clips(s, d).where("clip_key % 3 = 0").select("file_name", "person_id", "quality")).select("row_index", "person_id", "quality"),
     "j9_set_report": lambda s, d: dataset.set_report(derive.clips(s, d).where("clip_key % 10 <> 3").select("clip_key"), _split(s, d).where("clip_key % 10 <> 4").select("clip_key", "split"), "clip_key"),
     "a16_encode_labels": lambda s, d: dataset.encode_labels(derive.clips(s, d)).select("clip_key", "shot_label", "encoded_label"),
@@ -216,6 +225,15 @@ ORACLE = {
     "p1_metadata": f"WITH {_META} SELECT video_id, file_name, relative_path, shot_label, CASE WHEN shot_label = 'idle' THEN 'none' ELSE {_QUAL.format(n='stem')} END AS quality, CASE WHEN shot_label = 'idle' THEN 'unknown' WHEN contains(stem, 'bad') AND k BETWEEN 1 AND 4 THEN 'player' || substr('ABCD', k, 1) WHEN NOT contains(stem, 'bad') AND k BETWEEN 1 AND 8 THEN 'player' || substr('ABCD', ceil(k / 2.0)::INT, 1) ELSE 'unknown' END AS person_id, CASE WHEN shot_label = 'idle' THEN 'no' ELSE 'yes' END AS use_for_v1 FROM (SELECT *, right(stem, 1)::INT AS k FROM me)",
     "p2_use_clip": f"WITH {_META} SELECT shot_label, count(*) AS n FROM me WHERE shot_label <> 'idle' GROUP BY ALL",
     "p18_name_rules": f"WITH {_CL} SELECT clip_key, shot_label AS shot, quality, printf('%03d', clip_key) AS video_id FROM clips",
+    "j2_joined_split": f"""
+WITH {_SPLIT}, sm AS (SELECT clip_key, clip_key::VARCHAR AS video_id, CASE WHEN clip_key % 17 = 3 THEN 'gone.mp4' ELSE file_name END AS file_name, CASE WHEN clip_key % 19 = 5 THEN 'idle' ELSE shot_label END AS shot_label, split FROM sl),
+ss AS (SELECT * FROM sm UNION ALL SELECT * FROM sm WHERE clip_key % 41 = 1),
+mm AS (SELECT clip_key::VARCHAR AS video_id, file_name, shot_label AS known, CASE WHEN clip_key % 23 = 7 THEN ' ' ELSE person_id END AS person_id FROM clips),
+ma AS (SELECT * FROM mm UNION ALL SELECT * FROM mm WHERE file_name LIKE '%77.mp4')
+SELECT ss.*, ma.person_id, CASE WHEN (SELECT count(*) FROM ss o WHERE o.video_id = ss.video_id AND o.file_name = ss.file_name) > 1 THEN 'duplicate_split'
+  WHEN (SELECT count(*) FROM ma o WHERE o.video_id = ss.video_id AND o.file_name = ss.file_name) > 1 THEN 'duplicate_meta'
+  WHEN trim(coalesce(ma.person_id, '')) = '' THEN 'missing_person' WHEN ss.shot_label <> ma.known THEN 'label_mismatch' END AS violation
+FROM ss LEFT JOIN ma USING (video_id, file_name)""",
     "j2_join_violations": f"WITH {_CL} SELECT person_id, clip_key % 50 AS slot, 'left' AS side, count(*) AS n FROM clips GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT person_id, clip_key % 7, 'right', count(*) FROM clips GROUP BY ALL HAVING count(*) > 1",
     "j3_with_person": f"WITH {_CL} SELECT clip_key AS row_index, CASE WHEN clip_key % 3 = 0 THEN person_id ELSE 'unknown' END AS person_id, quality FROM clips",
     "j9_set_report": f"WITH {_CL} SELECT clip_key, CASE WHEN clip_key % 10 = 4 THEN 'missing' ELSE 'extra' END AS problem FROM clips WHERE clip_key % 10 IN (3, 4)",

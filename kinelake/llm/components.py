@@ -9,17 +9,23 @@ from kinelake.session import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the node's least neighbour."""
+    """Link every larger neighbour of a node to the node's least neighbour; written."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")))
+    # Both sides of the join are read from tables, so that Spark splits the rows of a hub with very many neighbours.
+    made = settle(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
+    discard(least)
+    return made
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them."""
+    """Link a node and its smaller neighbours to the least of them; written."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
+    least = settle(down.groupBy("a").agg(F.min("b").alias("least")))
+    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
+    made = settle(linked.where("a <> b").distinct())
+    discard(least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     links = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        large = settle(_large_star(links).where("a <> b").distinct())
+        large = _large_star(links)
         discard(links)
-        links = settle(_small_star(large).where("a <> b").distinct())
+        links = _small_star(large)
         discard(large)
         new = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:

@@ -6,7 +6,8 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinelake.llm import html_extract, language_id, mixing, sharding, toxicity
+from kinelake.llm import html_extract, language_id, mixing, sharding, substring_dedup, toxicity
+from kinelake.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,3 +131,79 @@ def test_surge_and_dive_points_by_definition():
         lengths = [random.choice((0, 0, 0, 3, 20, 80, 300, 2000)) for _ in range(random.randint(html_extract.WINDOW, 60))]
         got = html_extract.stretches(np.array(lengths, dtype=np.int64))
         assert got == plain_stretches(lengths), lengths
+
+
+def scores(a, b):
+    """Best score of each pair of prefixes, by the whole table: 1 an equal word, EDIT off an exchanged one, half a word more off others."""
+    gap = substring_dedup.EDIT + 0.5
+    rows = [[-gap * j for j in range(len(b) + 1)]]
+    for i, x in enumerate(a):
+        row = [-gap * (i + 1)]
+        for j, y in enumerate(b):
+            row.append(max(rows[-1][j] + (1 if x == y else -substring_dedup.EDIT), rows[-1][j + 1] - gap, row[-1] - gap))
+        rows.append(row)
+    return rows
+
+
+def test_growth_beyond_chains_against_the_whole_table(monkeypatch):
+    random.seed(8)
+    monkeypatch.setattr(substring_dedup, "DROP", 1000)
+    for _ in range(400):
+        a = [random.choice("abcd") for _ in range(random.randint(0, 14))]
+        b = [random.choice("abcd") if random.random() < 0.3 else x for x in a if random.random() < 0.9] + ["z"] * random.randint(0, 2)
+        for step in (1, -1):
+            words, other, equal = substring_dedup._outwards(a, b, 0 if step > 0 else len(a) - 1, 0 if step > 0 else len(b) - 1, step)
+            table = scores(a, b) if step > 0 else scores(a[::-1], b[::-1])
+            assert table[words][other] == max(map(max, table)) and equal <= min(words, other)
+
+
+def edited(rng, passage, k, random_places):
+    """Words dropped or inserted at every k-th place, or at places chosen with that probability."""
+    out = []
+    for i, word in enumerate(passage):
+        if not ((rng.random() < 1 / k) if random_places else (i % k == k // 2)):
+            out.append(word)
+        elif rng.random() < 0.5:
+            out += [word, f"i{rng.integers(1 << 40)}"]
+    return out
+
+
+def test_recall_of_inserted_and_dropped_words(spark):
+    """Passages of 52 and 60 words whose core, from first to last common word, is long enough on both sides."""
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    docs, cases = [], {}
+    for length in (52, 60):
+        for k, chance in ((10, False), (8, False), (8, True)):
+            for _ in range(40):
+                passage = [word() for _ in range(length)]
+                other = edited(rng, passage, k, chance)
+                common = set(passage) & set(other)
+                core = [max(i for i, w in enumerate(p) if w in common) - min(i for i, w in enumerate(p) if w in common) + 1 for p in (passage, other)]
+                n = len(docs)
+                docs.append((n, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)]), "en", "s", 0))
+                docs.append((n + 1, " ".join([word() for _ in range(30)] + other + [word() for _ in range(30)]), "en", "s", 0))
+                if min(core) >= substring_dedup.MIN_WORDS:
+                    cases.setdefault((length, k, chance), []).append((n + 1, n, core[1]))
+    best = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect():
+        best[r["doc_id"], r["other_id"]] = max(best.get((r["doc_id"], r["other_id"]), 0), r["words"])
+    recall = {case: np.mean([best.get((i, j), 0) >= 0.8 * n for i, j, n in own]) for case, own in cases.items()}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_runs_in_many_places_meet_by_broadcast(spark, monkeypatch):
+    """A frequent passage gives the same rows whether its places are joined or broadcast."""
+    shared = " ".join(f"s{i}" for i in range(70))
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}x{k}" for k in range(20)) + " " + shared, "en", "s", 0) for i in range(30)], SCHEMA)
+    found = []
+    for most in (2000, 5):
+        monkeypatch.setattr(substring_dedup, "HOT_RUN", most)
+        found.append(sorted(tuple(r) for r in substring_dedup.repeated_passages(docs).collect()))
+    assert found[0] == found[1] and {r[0] for r in found[0]} == set(range(1, 30)) and all(r[6] == 70 for r in found[0])
+
+
+def test_components_of_hubs_and_paths(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000), (7, 2000), (2000, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in (*range(400), 2000)) and all(got[1000 + i] == 1000 for i in range(61)) and 5000 not in got

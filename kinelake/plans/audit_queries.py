@@ -16,6 +16,23 @@ NOW = table_queries.NOW
 TABULAR = ("lead_elbow_angle_mean", "stance_width_mean", "motion_energy_total", "body_center_shift_x")
 
 
+#: A sample's value that isn't a number, and one that is infinite, in words that Spark and DuckDB share.
+_ODD = {"NaN": "clip_id % 17 = 3", "Infinity": "clip_id % 19 = 4"}
+
+
+def _odd_table(s, d):
+    """The clip table with values that aren't finite in its first column."""
+    first = TABULAR[0]
+    value = F.when(F.expr(_ODD["NaN"]), float("nan")).when(F.expr(_ODD["Infinity"]), float("inf")).otherwise(F.col(first))
+    return _clip_table(s, d).withColumn(first, value)
+
+
+def _leaky_split(s, d):
+    """A split that has some samples in two of its parts."""
+    own = _split(s, d)
+    return own.unionByName(own.where("clip_key % 37 = 1").withColumn("split", F.lit("holdout")))
+
+
 def _clip_table(s, d):
     return features.clip_features(pose.clean(derive.frames(s, d))).withColumn("shot", F.expr(derive.SHOT.format(k="clip_id")))
 
@@ -96,11 +113,12 @@ def _matches(s, d):
 
 
 QUERIES = {
-    "a10_tabular_quality": lambda s, d: tidy(features.tabular_quality(_clip_table(s, d), TABULAR), 3),
-    "a10_class_means": lambda s, d: tidy(features.class_means(_clip_table(s, d), TABULAR), 3),
+    "a10_tabular_quality": lambda s, d: tidy(features.tabular_quality(_odd_table(s, d), features.CLIP_FEATURES), 3),
+    "a10_class_means": lambda s, d: tidy(features.class_means(_odd_table(s, d), features.CLIP_FEATURES), 3),
     "a14_health_advice": lambda s, d: features.health_advice(features.health(features.statistics(pose_queries.frame_table(s, d)))).select("health_status", "features"),
-    "a17_distribution_check": lambda s, d: dataset.distribution_check(derive.clips(s, d).where("quality = 'good'"), 1250),
-    "a18_split_audit": lambda s, d: dataset.split_audit(_split(s, d), "clip_key", "person_id"),
+    "a17_distribution_check": lambda s, d: dataset.distribution_check(derive.clips(s, d), 3700),
+    "a18_split_audit": lambda s, d: dataset.split_audit(_leaky_split(s, d), "clip_key", "person_id"),
+    "a18_split_valid": lambda s, d: dataset.split_audit(_split(s, d), "clip_key", "person_id"),
     "a18_split_overlap": lambda s, d: dataset.split_overlap(_split(s, d), "person_id"),
     "a18_person_counts": lambda s, d: dataset.person_counts(_split(s, d)),
     "a18b_players": lambda s, d: dataset.players(dataset.metadata(derive.clip_files(s, d).select("path"))),
@@ -126,15 +144,24 @@ _CL, _SE, _PR, _SPLIT = derive.CLIPS_SQL, derive.SESSIONS_SQL, derive.PREDICTION
 _TAB = pose_queries._clip_sql() + f", tb AS (SELECT *, {derive.SHOT.format(k='clip_id')} AS shot FROM cf)"
 
 
-def _quality_sql() -> str:
-    one = (
-        "SELECT '{n}' AS feature, 0::BIGINT AS nan, 0::BIGINT AS infinite, avg({n}) AS mean, stddev_pop({n}) AS std, "
-        "min({n}) AS min, max({n}) AS max, stddev_pop({n}) <= 1e-8 AS zero_variance FROM tb"
-    )
-    return " UNION ALL ".join(one.format(n=n) for n in TABULAR)
+def _finite_sql(n: str) -> str:
+    return f"CASE WHEN {_ODD['NaN']} OR {_ODD['Infinity']} THEN NULL ELSE {n} END" if n == TABULAR[0] else n
 
 
-_MEANS = " UNION ALL ".join(f"SELECT shot, count(*) AS n, '{n}' AS feature, avg({n}) AS mean FROM tb GROUP BY shot" for n in TABULAR)
+def _quality_sql() -> str:
+    """The first column has values that aren't finite; none of the others has."""
+    made = []
+    for n in features.CLIP_FEATURES:
+        good = _finite_sql(n)
+        nan, infinite = (f"count(*) FILTER ({_ODD['NaN']} OR {n} IS NULL)", f"count(*) FILTER ({_ODD['Infinity']} AND NOT {_ODD['NaN']})") if n == TABULAR[0] else (f"count(*) FILTER ({n} IS NULL)", "0::BIGINT")
+        made.append(
+            f"SELECT '{n}' AS feature, {nan} AS nan, {infinite} AS infinite, avg({good}) AS mean, CASE WHEN count({good}) > 1 THEN stddev_pop({good}) ELSE 0 END AS std, "
+            f"min({good}) AS min, max({good}) AS max, CASE WHEN count({good}) > 1 THEN stddev_pop({good}) ELSE 0 END <= 1e-8 AS zero_variance FROM tb"
+        )
+    return " UNION ALL ".join(made)
+
+
+_MEANS = " UNION ALL ".join(f"SELECT shot, count(*) AS n, '{n}' AS feature, avg({_finite_sql(n)}) AS mean FROM tb GROUP BY shot" for n in features.CLIP_FEATURES)
 _SHARED = """
 hs AS (SELECT person_id, bool_or(split = 'train') AS a, bool_or(split = 'validation') AS b, bool_or(split = 'test') AS c FROM sl GROUP BY 1)"""
 
@@ -269,10 +296,14 @@ ORACLE = {
     "a10_tabular_quality": tidy_sql(_TAB, _quality_sql(), ["feature", "nan", "infinite", "zero_variance"], ["mean", "std", "min", "max"], 3),
     "a10_class_means": tidy_sql(_TAB, _MEANS, ["shot", "n", "feature"], ["mean"], 3),
     "a14_health_advice": f"WITH {pose_queries._FS} SELECT health_status, count(*) AS features FROM he GROUP BY ALL",
-    "a17_distribution_check": f"WITH {_CL} SELECT shot_label, count(*) AS n, 1250 AS expected FROM clips WHERE quality = 'good' GROUP BY 1 HAVING count(*) <> 1250",
+    "a17_distribution_check": f"WITH {_CL} SELECT shot_label, count(*) AS n, 3700 AS expected FROM clips GROUP BY 1 HAVING count(*) <> 3700",
     "a18_split_audit": f"""
-WITH {_SPLIT},{_SHARED}, n AS (SELECT count(*) FILTER (a::INT + b::INT + c::INT > 1) AS shared_groups FROM hs)
-SELECT 0::BIGINT AS leaked_samples, shared_groups, CASE WHEN shared_groups > 0 THEN 'valid_not_disjoint' ELSE 'valid_disjoint' END AS verdict FROM n""",
+WITH {_SPLIT}, lk AS (SELECT clip_key, person_id, split FROM sl UNION ALL SELECT clip_key, person_id, 'holdout' FROM sl WHERE clip_key % 37 = 1),
+n AS (SELECT (SELECT count(*) FROM (SELECT clip_key FROM lk GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaked_samples, (SELECT count(*) FROM (SELECT person_id FROM lk GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS shared_groups)
+SELECT *, CASE WHEN leaked_samples > 0 THEN 'leakage' WHEN shared_groups > 0 THEN 'valid_not_disjoint' ELSE 'valid_disjoint' END AS verdict FROM n""",
+    "a18_split_valid": f"""
+WITH {_SPLIT},{_SHARED}, n AS (SELECT (SELECT count(*) FROM (SELECT clip_key FROM sl GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaked_samples, count(*) FILTER (a::INT + b::INT + c::INT > 1) AS shared_groups FROM hs)
+SELECT *, CASE WHEN leaked_samples > 0 THEN 'leakage' WHEN shared_groups > 0 THEN 'valid_not_disjoint' ELSE 'valid_disjoint' END AS verdict FROM n""",
     "a18_split_overlap": f"""
 WITH {_SPLIT},{_SHARED}, p AS (
   SELECT 'train_vs_validation' AS pair, count(*) FILTER (a AND b) AS shared FROM hs
@@ -289,7 +320,10 @@ SELECT *, shared = 0 AS disjoint FROM p""",
     "f13_issue_tips": f"WITH {_ISSUES} SELECT clip_id, rank::INT AS rank, {_FEATURE_TIP} AS tip FROM k3 WHERE rank <= 3",
     "t13_worst_confusions": f"WITH {table_queries._CM} SELECT true_label, predicted_label, n, row_number() OVER (ORDER BY n DESC, true_label DESC, predicted_label DESC)::INT AS rank FROM cm WHERE true_label <> predicted_label AND n > 0 QUALIFY rank <= 10",
     "t13_strongest_pairs": pose_queries.ORACLE["a13_correlations"].replace("SELECT feature_a, feature_b, round(r, 3) + 0.0 AS r FROM", "SELECT feature_a, feature_b FROM"),
-    "x3_label_report": f"WITH {_CL} SELECT 'other_shot' AS label, 'unknown' AS problem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 6 = 4) UNION ALL SELECT 'sweep_shot', 'unseen'",
+    "x3_label_report": f"""
+WITH {_CL}, {_SE}, kn(label) AS (VALUES {", ".join(f"('{x}')" for x in SHOTS)})
+SELECT DISTINCT predicted_shot AS label, 'unknown' AS problem FROM se WHERE predicted_shot IS NOT NULL AND predicted_shot NOT IN (SELECT label FROM kn)
+UNION ALL SELECT label, 'unseen' FROM kn WHERE label NOT IN (SELECT shot_label FROM clips WHERE shot_label <> 'sweep_shot')""",
     "j1_match_sequences": _MATCH,
     "f19b_result_details": "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS has_voice, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 2 END AS landmarks, CASE WHEN o_orderkey % 4 = 0 THEN 0e0 ELSE (o_orderkey % 7 + 5 + 1 + 20 + 25)::DOUBLE END AS total FROM orders",
     "f20_extract_probabilities": tidy_sql("x0 AS (SELECT 1)", _EXTRACT.strip(), ["row_index", "extraction_error"], ["first", "second"], 6),

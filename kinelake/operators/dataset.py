@@ -348,9 +348,38 @@ def clip_checks(table: DataFrame, names: list[str], length: int = 60) -> DataFra
     return own.withColumn("ok", (F.col("frames") == length) & (F.col("first") == 0) & (F.col("last") == length - 1) & (F.col("not_finite") == 0))
 
 
-def manifest(rows: DataFrame, features: int) -> DataFrame:
-    """One row about the dataset."""
-    return rows.agg(F.count(F.lit(1)).alias("samples"), F.lit(features).alias("features"), F.count_distinct("shot_label").alias("classes"), F.array_join(F.sort_array(F.collect_set("shot_label")), ",").alias("class_names"), *[F.count_if(F.col("split") == s).alias(f"{s}_samples") for s in ("train", "validation", "test")])
+def manifest(rows: DataFrame, features: int, length: int = 60, health: DataFrame | None = None) -> DataFrame:
+    """One row about the dataset: counts, classes, shapes of the whole and of its splits, and the health of its features.
+
+    health has health_status and features, a row a status.
+    """
+    splits = ("train", "validation", "test")
+    sizes = [F.count_if(F.col("split") == s).alias(f"{s}_samples") for s in splits]
+    made = rows.agg(F.count(F.lit(1)).alias("samples"), F.lit(features).alias("features"), F.count_distinct("shot_label").alias("classes"), F.array_join(F.sort_array(F.collect_set("shot_label")), ",").alias("class_names"), *sizes)
+    shape = lambda n: F.concat_ws("x", F.col(n).cast("string"), F.lit(str(length)), F.lit(str(features)))
+    made = made.withColumns({"shape": shape("samples")} | {f"{s}_shape": shape(f"{s}_samples") for s in splits})
+    if health is None:
+        return made
+    told = health.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "health_status", F.col("features").cast("string")))), ",").alias("health"))
+    return made.crossJoin(F.broadcast(told))  # one row each
+
+
+def counted_split(rows: DataFrame, key: str, label: str = "shot_label", train: int = 14, validation: int = 3, each: int | None = 20, seed: str = "42") -> DataFrame:
+    """W11 by counts: of each class the first train and next validation rows of the hashed order, the rest is test.
+
+    A class that hasn't exactly ``each`` rows fails the job, unless each is None.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    if each is not None:
+        wrong = F.raise_error(F.concat(F.lit("class "), F.coalesce(label, F.lit("NULL")), F.lit(": "), F.col("_n").cast("string"), F.lit(f" rows, {each} are needed")))
+        sizes = sizes.withColumn("_n", F.when(F.col("_n") != each, wrong.cast("bigint")).otherwise(F.col("_n")))
+    # Only the first rows of a class are ranked: their limit is taken in every task.
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(order, key))).where(F.col("_rank") <= train + validation)
+    first = ranked.select(key, label, "_rank")
+    joined = rows.join(F.broadcast(sizes), label).join(first, [key, label], "left")
+    split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank").isNotNull(), "validation").otherwise("test")
+    return joined.where("_n > 0").withColumn("split", split).select(*rows.columns, "split")
 
 
 def use_clip(value: Column, lenient: bool = False) -> Column:

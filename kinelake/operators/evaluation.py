@@ -157,6 +157,12 @@ def best_model(models: DataFrame) -> DataFrame:
     return models.orderBy(F.desc("mean_f1"), "std_f1", F.abs("mean_gap"), "mean_loss", "parameters", "model").limit(1)
 
 
+def best_run(runs: DataFrame, models: DataFrame) -> DataFrame:
+    """Of the best model's runs (model, seed, macro_f1, loss) the one with the highest F1, then the lowest loss."""
+    own = runs.join(F.broadcast(best_model(models).select("model")), "model")
+    return own.orderBy(F.desc("macro_f1"), "loss", "seed").limit(1)
+
+
 def confused_pairs(scored: DataFrame) -> DataFrame:
     """Confusions by true and predicted label, by person and by quality, from one pass."""
     wrong = scored.where("error is null and not correct")

@@ -18,9 +18,12 @@ VISIBLE = 0.3
 
 
 def flatten(docs: DataFrame) -> DataFrame:
-    """One row a frame; clips without frames keep one row with NULL frame columns."""
-    return docs.select("clip_id", F.posexplode_outer("frames").alias("pos", "frame")).select(
-        "clip_id", "pos", F.col("frame.frame_index").alias("frame_index"), F.col("frame.timestamp").alias("ts"), F.col("frame.landmarks").alias("landmarks")
+    """One row a frame, with the document's other columns and the frame's other parts (frame_*); clips without frames keep one row with NULL frame columns."""
+    others = [c for c in docs.columns if c != "frames"]
+    own = [f.name for f in docs.schema["frames"].dataType.elementType.fields if f.name not in ("frame_index", "timestamp", "landmarks")]
+    return docs.select(*others, F.posexplode_outer("frames").alias("pos", "frame")).select(
+        *others, "pos", F.col("frame.frame_index").alias("frame_index"), F.col("frame.timestamp").alias("ts"), F.col("frame.landmarks").alias("landmarks"),
+        *[F.col(f"frame.{name}").alias(f"frame_{name}") for name in own],
     )
 
 
@@ -68,9 +71,15 @@ def cleaning_counts(frames: DataFrame, threshold: float = VISIBLE) -> DataFrame:
     return frames.where("pos is not null").rollup("clip_id").agg(F.count(F.lit(1)).alias("before"), F.count_if(bad).alias("removed"), F.count_if(~bad).alias("after"))
 
 
-def _moved(make) -> Column:
-    """Landmarks with x, y, z from make(mark), others' parts and visibility kept."""
-    return F.transform("landmarks", lambda m: F.struct(*[F.coalesce(new, m[c]).alias(c) for c, new in zip("xyz", make(m), strict=True)], m["visibility"].alias("visibility")))
+def step_counts(frames: DataFrame) -> DataFrame:
+    """A2: frames, changed frames and warnings of ``normalise`` or ``align`` (column ok), by clip and in total (clip_id NULL)."""
+    return frames.rollup("clip_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if("ok").alias("changed"), F.count_if(~F.col("ok")).alias("warnings"))
+
+
+def _moved(frames: DataFrame, make) -> Column:
+    """Landmarks with x, y, z from make(mark); visibility and any other part kept."""
+    parts = [f.name for f in frames.schema["landmarks"].dataType.elementType.fields if f.name not in ("x", "y", "z")]
+    return F.transform("landmarks", lambda m: F.struct(*[F.coalesce(new, m[c]).alias(c) for c, new in zip("xyz", make(m), strict=True)], *[m[c].alias(c) for c in parts]))
 
 
 def normalise(frames: DataFrame, fallback: bool = False) -> DataFrame:
@@ -90,7 +99,7 @@ def normalise(frames: DataFrame, fallback: bool = False) -> DataFrame:
     else:
         staged = staged.withColumn("_unit", F.when(F.col("_torso") > 0, F.col("_torso")))
     staged = staged.withColumn("ok", F.coalesce((F.size("landmarks") >= 25) & F.col("_hip").isNotNull() & F.col("_unit").isNotNull(), F.lit(False)))
-    moved = _moved(lambda m: [(g.finite(m[c]) - F.col(f"_hip.{c}")) / F.col("_unit") for c in "xyz"])
+    moved = _moved(frames, lambda m: [(g.finite(m[c]) - F.col(f"_hip.{c}")) / F.col("_unit") for c in "xyz"])
     return staged.withColumn("landmarks", F.when(F.col("ok"), moved).otherwise(marks)).drop("_hip", "_torso", "_unit")
 
 
@@ -105,7 +114,7 @@ def align(frames: DataFrame) -> DataFrame:
         x, y = g.finite(m["x"]), g.finite(m["y"])
         return [x * F.col("_cos") - y * F.col("_sin"), x * F.col("_sin") + y * F.col("_cos"), F.lit(None).cast("double")]
 
-    return staged.withColumn("landmarks", F.when(F.col("ok"), _moved(turned)).otherwise(F.col("landmarks"))).drop("_turn", "_cos", "_sin")
+    return staged.withColumn("landmarks", F.when(F.col("ok"), _moved(frames, turned)).otherwise(F.col("landmarks"))).drop("_turn", "_cos", "_sin")
 
 
 def resample(frames: DataFrame, length: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,16 +46,30 @@ def sliding_window(requests: DataFrame, limit: int, seconds: float) -> DataFrame
 
 
 def metric_sums(metrics: DataFrame) -> DataFrame:
-    """Count and sum of each name and label set; metrics have name, labels map, value, kind."""
+    """Count and sum of each name and label set; metrics have name, labels map, value, kind. Quotes in label values go."""
     entries = F.array_sort(F.map_entries("labels"))
-    key = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
+    key = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit('="'), F.replace(e["value"], F.lit('"'), F.lit("")), F.lit('"'))), ",")
     return metrics.groupBy("name", "kind", key.alias("labels")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def general(value: Column) -> Column:
+    """A number in six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
+    told = F.format_string("%.5e", value)
+    digits = F.replace(F.regexp_extract(told, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit(""))
+    power = F.regexp_extract(told, r"e([+-][0-9]+)$", 1)
+    at = power.cast("int")
+    bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    scientific = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 9))), F.lit("e"), power)
+    large = bare(F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, F.lit(9))))
+    small = bare(F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), digits))
+    text = F.when((at < -4) | (at >= 6), scientific).when(at >= 0, large).otherwise(small)
+    return F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+
 def exposition(sums: DataFrame) -> DataFrame:
     """Text lines of counters and observations, in the order of name and labels."""
     tags = F.when(F.col("labels") != "", F.concat(F.lit("{"), "labels", F.lit("}"))).otherwise("")
-    counter = F.array(F.concat("name", F.lit("_total"), tags, F.lit(" "), F.format_string("%.6f", "total")))
+    counter = F.array(F.concat("name", F.lit("_total"), tags, F.lit(" "), general(F.col("total"))))
     timer = F.array(F.concat("name", F.lit("_seconds_count"), tags, F.lit(" "), F.col("n").cast("string")), F.concat("name", F.lit("_seconds_sum"), tags, F.lit(" "), F.format_string("%.6f", "total")))
     return sums.select("name", "labels", F.posexplode(F.when(F.col("kind") == "counter", counter).otherwise(timer)).alias("place", "line"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import labels as rules
+from kinelake.functions import texts
 from kinelake.session import settle
 
 #: Components, their weights, and the (feature, statistic) pairs they score.
@@ -23,6 +24,8 @@ LEAST_SPAN, LEAST_SAMPLES, TOLERANCE = 1e-6, 3, 2.0
 #: Size of a quantile sketch, and how far off the rank of its quantiles is at most, as a share of the values.
 SKETCH_K, RANK_ERROR = 400, 0.0073
 MAINTAIN, ISSUE = 85.0, 75.0
+#: What a clip without deviations is told, in our own words.
+ALL_INSIDE = "Everything that was measured lies inside the usual ranges."
 #: Quantiles of a template, and steps in which its values are counted.
 QUANTILES, CELLS = (0.1, 0.5, 0.9), 1024
 
@@ -161,12 +164,15 @@ def component_means(comps: DataFrame) -> DataFrame:
 
 
 def worst_deviations(devs: DataFrame, most: int = 5) -> DataFrame:
-    """The five worst scores under 100 of a clip, repeats of feature, statistic and value dropped."""
+    """The five worst scores under 100 of a clip, repeats of feature, statistic and value dropped; a clip without any has one standing sentence."""
     order = [F.col("score"), F.desc("deviation"), F.col("spec_pos")]
     low = devs.where("score < 100").withColumn("again", F.row_number().over(Window.partitionBy("clip_id", "feature", "statistic", F.round("value", 6)).orderBy(*order))).where("again = 1")
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("clip_id").orderBy(*order))).where(F.col("rank") <= most)
     sentence = F.format_string("%s %s of %.4f lies %s the usual range", F.replace("feature", F.lit("_"), F.lit(" ")), F.replace("statistic", F.lit("_"), F.lit(" ")), "value", rules.direction(F.col("value"), F.col("low"), F.col("high")))
-    return ranked.select("clip_id", "rank", "feature", "statistic", sentence.alias("sentence"))
+    told = ranked.select("clip_id", "rank", "feature", "statistic", sentence.alias("sentence"))
+    clean = devs.groupBy("clip_id").agg(F.count_if(F.col("score") < 100).alias("n")).where("n = 0")
+    nothing = F.lit(None).cast("string")
+    return told.unionByName(clean.select("clip_id", F.lit(1).alias("rank"), nothing.alias("feature"), nothing.alias("statistic"), F.lit(ALL_INSIDE).alias("sentence")))
 
 
 def issues(devs: DataFrame, most: int = 3) -> DataFrame:
@@ -184,15 +190,9 @@ def recommendations(comps: DataFrame, lowest: int = 3) -> DataFrame:
     return ranked.groupBy("clip_id").agg(names.alias("n")).select("clip_id", F.when(F.size("n") > 0, F.array_join(F.transform("n", lambda x: x["component"]), ",")).otherwise("keep_up").alias("recommendation"))
 
 
-def tip_table(spark: SparkSession) -> DataFrame:
-    """our own wording of a tip for each component."""
-    rows = [(c, f"Work on {c.removesuffix('_score').replace('_', ' ')}: compare your clip with a good one of the same shot.") for c in COMPONENTS]
-    return spark.createDataFrame(rows, "component string, tip string")
-
-
 def feedback(scored: DataFrame, found: DataFrame) -> DataFrame:
     """band, tips, detailed and spoken text of each clip."""
-    tips = found.join(F.broadcast(tip_table(scored.sparkSession)), "component").groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tip"))), lambda x: x["tip"]).alias("tips"))
+    tips = issue_tips(found).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tip"))), lambda x: x["tip"]).alias("tips"))
     own = scored.join(tips, "clip_id", "left")
     n = F.coalesce(F.size("tips"), F.lit(0))
     upkeep = F.concat(F.lit("Keep up your "), F.replace(F.replace("weakest", F.lit("_score"), F.lit("")), F.lit("_"), F.lit(" ")), F.lit("."))
@@ -203,17 +203,16 @@ def feedback(scored: DataFrame, found: DataFrame) -> DataFrame:
     return own.select("clip_id", n.alias("issue_count"), rules.band(F.col("technique_score")).alias("band"), detailed.alias("detailed"), spoken.alias("spoken"))
 
 
-def feature_tip(feature: Column, direction: Column) -> Column:
-    """our own wording of a tip for a feature and the side on which it lies."""
-    name = F.replace(F.regexp_replace(feature, "_(signal|angle)$", ""), F.lit("_"), F.lit(" "))
-    side = F.when(direction == "below", "Raise the").when(direction == "above", "Lower the").otherwise("Watch the")
-    return F.when(feature.isin(*sorted({f for _, pairs in COMPONENTS.values() for f, _ in pairs})), F.concat(side, F.lit(" "), name, F.lit(" towards that of good clips.")))
-
-
 def issue_tips(found: DataFrame) -> DataFrame:
-    """issues with the tip of their feature, else that of their component."""
-    table = F.broadcast(tip_table(found.sparkSession).withColumnRenamed("tip", "_general"))
-    return found.join(table, "component", "left").withColumn("tip", F.coalesce(feature_tip(F.col("feature"), F.col("direction")), "_general")).drop("_general")
+    """issues with the texts of their feature (issue, why, tip); a feature without any has its component's tip and side."""
+    spark = found.sparkSession
+    own, general = F.broadcast(texts.feature_table(spark)), F.broadcast(texts.component_table(spark))
+    label = F.replace(F.regexp_replace("component", "_score$", ""), F.lit("_"), F.lit(" "))
+    told = found.join(own, "feature", "left").join(general, "component", "left")
+    return told.select(
+        *found.columns, F.coalesce("issue", F.concat(F.lit("The "), label, F.lit(" lies "), "direction", F.lit(" the usual range."))).alias("issue"),
+        F.coalesce("why", F.concat(F.initcap(label), F.lit(" makes a shot repeatable."))).alias("why"), F.coalesce("tip", "general").alias("tip"),
+    )
 
 
 def feedback_summary(made: DataFrame) -> DataFrame:

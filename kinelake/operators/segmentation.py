@@ -150,5 +150,9 @@ def segments(energy: DataFrame) -> DataFrame:
 
 
 def segmentation_summary(found: DataFrame) -> DataFrame:
-    """A31."""
-    return found.agg(F.count(F.lit(1)).alias("sequences"), F.count_if(F.col("trigger_frame").isNotNull()).alias("detected"), F.count_if(F.col("trigger_count") == 1).alias("single_trigger"), F.count_if(F.col("completion_reason") == "sequence_end_completion").alias("forced"))
+    """Sequences, detected ones, those of one trigger, forced ends; passed if all are detected by one trigger."""
+    counted = found.agg(
+        F.count(F.lit(1)).alias("sequences"), F.count_if(F.col("trigger_frame").isNotNull()).alias("detected"), F.count_if(F.col("trigger_count") == 1).alias("single_trigger"),
+        F.count_if(F.col("completion_reason") == "sequence_end_completion").alias("forced"),
+    )
+    return counted.withColumn("passed", (F.col("detected") == F.col("sequences")) & (F.col("single_trigger") == F.col("sequences")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinelake.functions import labels as rules
+from kinelake.functions import texts
 from kinelake.functions.labels import SHOTS
 from kinelake.operators import dataset, evaluation, features, governance, pose, rates, scoring, segmentation, sessions
 from kinelake.plans import derive, pose_queries, table_queries
@@ -130,7 +131,7 @@ QUERIES = {
     "t13_strongest_pairs": lambda s, d: features.strongest_pairs(features.correlations(pose_queries.frame_table(s, d), features.FRAME_FEATURES, 0.95)).select("feature_a", "feature_b"),
     "x3_label_report": lambda s, d: dataset.label_report(derive.clips(s, d).where("shot_label <> 'sweep_shot'"), derive.sessions(s, d).where("predicted_shot is not null").selectExpr("predicted_shot AS shot_label"), SHOTS),
     "j1_match_sequences": _matches,
-    "f13_issue_tips": lambda s, d: scoring.issue_tips(scoring.issues(pose_queries.scored_deviations(s, d))).select("clip_id", "rank", "tip"),
+    "f13_issue_tips": lambda s, d: scoring.issue_tips(scoring.issues(pose_queries.scored_deviations(s, d))).select("clip_id", "rank", "issue", "why", "tip"),
     "f19b_result_details": _details,
     "f20_extract_probabilities": _extracted,
     "f24_softmax": _softmax,
@@ -246,17 +247,29 @@ gr AS (
 SELECT split, sum(n)::BIGINT AS samples, count(*) AS groups, 0::BIGINT AS shared_groups FROM gr JOIN gn USING (k) GROUP BY split"""
 
 _EXPO = """
-WITH ms AS (SELECT 'http_' || event_type AS name, event_type = 'error' AS counter, count(*) AS n FROM events GROUP BY ALL)
-SELECT name, 'code="x"' AS labels, 0 AS place, CASE WHEN counter THEN name || '_total{code="x"} ' || printf('%.6f', n::DOUBLE) ELSE name || '_seconds_count{code="x"} ' || n::VARCHAR END AS line FROM ms
-UNION ALL SELECT name, 'code="x"', 1, name || '_seconds_sum{code="x"} ' || printf('%.6f', n::DOUBLE) FROM ms WHERE NOT counter"""
+WITH ms AS (SELECT 'http_' || event_type AS name, event_type = 'error' AS counter, 'code="x' || (user_id % 3)::VARCHAR || '"' AS labels, count(*) AS n, sum(floor(value) * 64.25::DOUBLE) AS total FROM events GROUP BY ALL)
+SELECT name, labels, 0 AS place, CASE WHEN counter THEN name || '_total{' || labels || '} ' || printf('%g', total) ELSE name || '_seconds_count{' || labels || '} ' || n::VARCHAR END AS line FROM ms
+UNION ALL SELECT name, labels, 1, name || '_seconds_sum{' || labels || '} ' || printf('%.6f', total) FROM ms WHERE NOT counter"""
 
 _WORDS = "replace(replace({c}, '_score', ''), '_', ' ')"
-_TIP = "'Work on ' || " + _WORDS.format(c="component") + " || ': compare your clip with a good one of the same shot.'"
+def _told(part: int) -> str:
+    """a feature's text, else what its component says."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    own = " ".join(f"WHEN '{f}' THEN {quoted(t[part])}" for f, t in texts.FEATURES.items())
+    label = _WORDS.format(c="component")
+    side = "CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'inside' END"
+    general = {
+        0: f"'The ' || {label} || ' lies ' || {side} || ' the usual range.'", 1: f"upper({label}[1]) || {label}[2:] || ' makes a shot repeatable.'",
+        2: "CASE component " + " ".join(f"WHEN '{c}' THEN {quoted(t)}" for c, t in texts.COMPONENTS.items()) + " END",
+    }[part]
+    return f"CASE feature {own} ELSE {general} END"
+
+
 _ISSUES = pose_queries._DEV + """,
 o3 AS (SELECT *, row_number() OVER (PARTITION BY clip_id, feature ORDER BY score, deviation DESC, spec_pos) AS a FROM dv WHERE score < 75),
 k3 AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score, deviation DESC, spec_pos) AS rank FROM o3 WHERE a = 1)"""
 _FEEDBACK = _ISSUES + f""",
-tp AS (SELECT clip_id, count(*) AS n, arg_min({_TIP}, rank) AS tip FROM k3 WHERE rank <= 3 GROUP BY clip_id),
+tp AS (SELECT clip_id, count(*) AS n, arg_min({_told(2)}, rank) AS tip FROM k3 WHERE rank <= 3 GROUP BY clip_id),
 fb1 AS (
   SELECT sc.clip_id, coalesce(n, 0)::INT AS issue_count, replace(shot, '_', ' ') AS name, technique_score AS x,
     CASE WHEN technique_score >= 90 THEN 'strong' WHEN technique_score >= 75 THEN 'solid' WHEN technique_score >= 60 THEN 'needs attention' ELSE 'priority issue' END AS band,
@@ -267,9 +280,6 @@ fb1 AS (
     CASE WHEN issue_count = 0 AND x >= 85 THEN 'Great ' || name || '.' ELSE 'Your ' || name || ' scored ' || printf('%.0f', x) || '. ' || first END AS spoken
   FROM fb1
 )"""
-_SIDE = "CASE WHEN value < low THEN 'Raise the' WHEN value > high THEN 'Lower the' ELSE 'Watch the' END"
-_FEATURE_TIP = _SIDE + " || ' ' || replace(regexp_replace(feature, '_(signal|angle)$', ''), '_', ' ') || ' towards that of good clips.'"
-
 _EXTRACT = f"""
 WITH {_PR}, x AS (SELECT row_index, row_index % 5 AS place, round(q0, 1) AS a, round(q2, 1) AS b, q0, q2 FROM raw)
 SELECT row_index, CASE WHEN place < 3 THEN a WHEN place = 3 THEN q0 END AS first, CASE WHEN place < 3 THEN b WHEN place = 3 THEN q2 END AS second,
@@ -317,7 +327,7 @@ SELECT *, shared = 0 AS disjoint FROM p""",
     "a30_component_means": tidy_sql(pose_queries._DEV, "SELECT component, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, count(*) FILTER (score NOT BETWEEN 0 AND 100) AS outside FROM co GROUP BY component", ["component", "outside"], ["mean_score", "min_score", "max_score"], 2),
     "a32_feedback_summary": f"WITH {_FEEDBACK} SELECT count(*) AS samples, sum(issue_count)::BIGINT AS issues, count(*) FILTER (trim(spoken) <> '') AS with_spoken, bool_and(trim(spoken) <> '') AS spoken_present, bool_and(trim(detailed) <> '') AS detailed_present FROM fe",
     "f14_feedback": f"WITH {_FEEDBACK} SELECT clip_id, issue_count, band, detailed, spoken FROM fe",
-    "f13_issue_tips": f"WITH {_ISSUES} SELECT clip_id, rank::INT AS rank, {_FEATURE_TIP} AS tip FROM k3 WHERE rank <= 3",
+    "f13_issue_tips": f"WITH {_ISSUES} SELECT clip_id, rank::INT AS rank, {_told(0)} AS issue, {_told(1)} AS why, {_told(2)} AS tip FROM k3 WHERE rank <= 3",
     "t13_worst_confusions": f"WITH {table_queries._CM} SELECT true_label, predicted_label, n, row_number() OVER (ORDER BY n DESC, true_label DESC, predicted_label DESC)::INT AS rank FROM cm WHERE true_label <> predicted_label AND n > 0 QUALIFY rank <= 10",
     "t13_strongest_pairs": pose_queries.ORACLE["a13_correlations"].replace("SELECT feature_a, feature_b, round(r, 3) + 0.0 AS r FROM", "SELECT feature_a, feature_b FROM"),
     "x3_label_report": f"""
@@ -342,7 +352,7 @@ FROM o""",
     "st8_dry_run": f"WITH {_BATCH} SELECT id, 'dry_run' AS status, storage_status, NULL::VARCHAR AS error_code FROM ba",
     "st1_state_trace": tidy_sql(_MACHINE, _TRACE, ["clip_id", "step", "t", "state", "transition", "triggered"], ["energy"]).replace("WITH ", "WITH RECURSIVE ", 1),
     "st3_segments": tidy_sql(_MACHINE, _FOUND, ["clip_id", "start_frame", "end_frame", "peak_frame", "trigger_frame", "trigger_count", "completion_reason"], ["max_energy", "mean_energy"]).replace("WITH ", "WITH RECURSIVE ", 1),
-    "a31_segmentation_summary": f"WITH RECURSIVE {_MACHINE}, fo AS ({_FOUND}) SELECT count(*) AS sequences, count(trigger_frame) AS detected, count(*) FILTER (trigger_count = 1) AS single_trigger, count(*) FILTER (completion_reason = 'sequence_end_completion') AS forced FROM fo",
+    "a31_segmentation_summary": f"WITH RECURSIVE {_MACHINE}, fo AS ({_FOUND}) SELECT count(*) AS sequences, count(trigger_frame) AS detected, count(*) FILTER (trigger_count = 1) AS single_trigger, count(*) FILTER (completion_reason = 'sequence_end_completion') AS forced, count(trigger_frame) = count(*) AND count(*) FILTER (trigger_count = 1) = count(*) AS passed FROM fo",
     "w15_sliding_window": _SLIDING,
     "g4_player_split": _PLAYERS,
     "s12_exposition": _EXPO,

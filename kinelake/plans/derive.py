@@ -35,6 +35,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("clip_id", "pos", "pos AS frame_index", "pos / 30e0 AS ts", f"CASE WHEN e % 19 = 0 THEN array() ELSE {marks} END AS landmarks")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as documents, one a clip, and some documents without frames."""
+    frame = F.struct("pos", "frame_index", F.col("ts").alias("timestamp"), "landmarks")
+    # A document holds its frames; that is how they come.
+    held = frames(spark, sf_dir).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(frame)), lambda f: F.struct(f["frame_index"].alias("frame_index"), f["timestamp"].alias("timestamp"), f["landmarks"].alias("landmarks"))).alias("frames"))
+    bare = held.where("clip_id % 10 = 1").select((-1 - F.col("clip_id")).alias("clip_id"), F.slice("frames", 1, 0).alias("frames"))
+    return held.unionByName(bare)
+
+
 FRAMES_SQL = f"""
 fr AS (
   SELECT clip_id, e, pos, e % 19 = 0 AS blank,

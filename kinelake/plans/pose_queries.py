@@ -94,7 +94,9 @@ def _mark(place: int, part: str):
 
 QUERIES = {
     "analyse_clips": lambda s, d: tidy(analyse_clips(s, d), 2),
-    "p3_flatten_inspect": lambda s, d: tidy(pose.inspect(derive.frames(s, d))),
+    "p3_flatten_inspect": lambda s, d: tidy(pose.inspect(pose.flatten(derive.documents(s, d)))),
+    "a2_normalising_counts": lambda s, d: pose.step_counts(pose.normalise(flawed(s, d))),
+    "a2_aligning_counts": lambda s, d: pose.step_counts(pose.align(flawed(s, d))),
     "a1b_inspection_summary": lambda s, d: tidy(pose.inspection_summary(pose.inspect(derive.frames(s, d)))),
     "p3b_sample_frames": lambda s, d: tidy(pose.sample_frames(derive.frames(s, d), 3, F.lit(30.0)).select("clip_id", "frame_index", "ts")),
     "p5_clean_counts": lambda s, d: pose.cleaning_counts(derive.frames(s, d)),
@@ -272,7 +274,15 @@ _NAMES = list(feat.FRAME_FEATURES)
 _SCALED = ["lead_elbow_angle", "stance_width", "frame_motion_energy"]
 ORACLE = {
     "analyse_clips": tidy_sql(_DEV, "SELECT * FROM sc", ["clip_id", "shot", "weakest", "strongest_two", "weakest_two"], ["technique_score"], 2),
-    "p3_flatten_inspect": tidy_sql(derive.FRAMES_SQL, "SELECT *, missing_frames::DOUBLE / total_frames AS missing_ratio, low_visibility_frames::DOUBLE / total_frames AS low_visibility_ratio FROM (SELECT clip_id, count(*) AS total_frames, count(*) FILTER (blank) AS missing_frames, count(*) FILTER (NOT blank AND vis < 0.5) AS low_visibility_frames FROM fr GROUP BY clip_id)", ["clip_id", "total_frames", "missing_frames", "low_visibility_frames"], ["missing_ratio", "low_visibility_ratio"]),
+    "p3_flatten_inspect": tidy_sql(
+        derive.FRAMES_SQL + """, co AS (
+  SELECT clip_id, count(*) AS total_frames, count(*) FILTER (blank) AS missing_frames, count(*) FILTER (NOT blank AND vis < 0.5) AS low_visibility_frames FROM fr GROUP BY clip_id
+  UNION ALL SELECT DISTINCT -1 - clip_id, 0, 0, 0 FROM fr WHERE clip_id % 10 = 1)""",
+        "SELECT *, CASE WHEN total_frames > 0 THEN missing_frames::DOUBLE / total_frames ELSE 0 END AS missing_ratio, CASE WHEN total_frames > 0 THEN low_visibility_frames::DOUBLE / total_frames ELSE 0 END AS low_visibility_ratio FROM co",
+        ["clip_id", "total_frames", "missing_frames", "low_visibility_frames"], ["missing_ratio", "low_visibility_ratio"],
+    ),
+    "a2_normalising_counts": f"WITH {_SPOILT}, sk AS (SELECT clip_id, NOT few AND NOT fewer AND hx IS NOT NULL AND coalesce(torso > 0, false) AS ok FROM su) SELECT clip_id, count(*) AS frames, count(*) FILTER (ok) AS changed, count(*) FILTER (NOT ok) AS warnings FROM sk GROUP BY ROLLUP (clip_id)",
+    "a2_aligning_counts": f"WITH {_SPOILT}, sk AS (SELECT clip_id, NOT fewer AND x11 IS NOT NULL AND x12 IS NOT NULL AS ok FROM su) SELECT clip_id, count(*) AS frames, count(*) FILTER (ok) AS changed, count(*) FILTER (NOT ok) AS warnings FROM sk GROUP BY ROLLUP (clip_id)",
     "a1b_inspection_summary": tidy_sql(derive.FRAMES_SQL, "SELECT count(*) AS clips, avg(n) AS mean_frames, arg_min(clip_id, n * 1000000 + clip_id) AS shortest, arg_min(clip_id, -n * 1000000 + clip_id) AS longest, count(*) FILTER (n < 30 OR m::DOUBLE / n > 0.3) AS with_issues FROM (SELECT clip_id, count(*) AS n, count(*) FILTER (blank) AS m FROM fr GROUP BY clip_id)", ["clips", "shortest", "longest", "with_issues"], ["mean_frames"]),
     "p3b_sample_frames": tidy_sql(derive.FRAMES_SQL, "SELECT clip_id, pos AS frame_index, pos / 30.0 AS ts FROM fr WHERE pos % 3 = 0", ["clip_id", "frame_index"], ["ts"]),
     "p5_clean_counts": f"WITH {derive.FRAMES_SQL} SELECT clip_id, count(*) AS before, count(*) FILTER (blank OR vis < 0.3) AS removed, count(*) FILTER (NOT (blank OR vis < 0.3)) AS \"after\" FROM fr GROUP BY ROLLUP (clip_id)",
@@ -314,5 +324,5 @@ SELECT *, frames = 60 AND first = 0 AND last = 59 AND not_finite = 0 AS ok FROM
     "a30_score_summary": tidy_sql(_DEV, "SELECT weakest, count(*) AS clips, round(avg(technique_score), 4) AS mean_score, min(technique_score) AS min_score, max(technique_score) AS max_score FROM sc GROUP BY ROLLUP (weakest)", ["weakest", "clips"], ["mean_score", "min_score", "max_score"], 2),
     "t2_recommendations": f"WITH {_DEV} SELECT clip_id, coalesce(string_agg(component, ',' ORDER BY r) FILTER (score < 85), 'keep_up') AS recommendation FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score, comp_pos) AS r FROM co) WHERE r <= 3 GROUP BY clip_id",
     "t3_issues": f"WITH {_DEV}, o AS (SELECT *, row_number() OVER (PARTITION BY clip_id, feature ORDER BY score, deviation DESC, spec_pos) AS a FROM dv WHERE score < 75), k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score, deviation DESC, spec_pos) AS rank FROM o WHERE a = 1) SELECT clip_id, rank::INT AS rank, feature, component, CASE WHEN score < 40 THEN 'high' WHEN score < 65 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'inside' END AS direction FROM k WHERE rank <= 3",
-    "t1_worst_deviations": f"WITH {_DEV}, o AS (SELECT *, row_number() OVER (PARTITION BY clip_id, feature, statistic, round(value, 6) ORDER BY score, deviation DESC, spec_pos) AS a FROM dv WHERE score < 100), k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score, deviation DESC, spec_pos) AS rank FROM o WHERE a = 1) SELECT clip_id, rank::INT AS rank, feature, statistic, replace(feature, '_', ' ') || ' ' || replace(statistic, '_', ' ') || ' of ' || printf('%.4f', value) || ' lies ' || CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'inside' END || ' the usual range' AS sentence FROM k WHERE rank <= 5",
+    "t1_worst_deviations": f"WITH {_DEV}, o AS (SELECT *, row_number() OVER (PARTITION BY clip_id, feature, statistic, round(value, 6) ORDER BY score, deviation DESC, spec_pos) AS a FROM dv WHERE score < 100), k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score, deviation DESC, spec_pos) AS rank FROM o WHERE a = 1) SELECT clip_id, rank::INT AS rank, feature, statistic, replace(feature, '_', ' ') || ' ' || replace(statistic, '_', ' ') || ' of ' || printf('%.4f', value) || ' lies ' || CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'inside' END || ' the usual range' AS sentence FROM k WHERE rank <= 5 UNION ALL SELECT clip_id, 1, NULL, NULL, '{scoring.ALL_INSIDE}' FROM dv GROUP BY clip_id HAVING count(*) FILTER (score < 100) = 0",
 }

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import labels as rules
 from kinelake.functions.labels import SHOTS
-from kinelake.operators import dataset, evaluation, governance, rates, sessions
-from kinelake.plans import derive
+from kinelake.operators import dataset, evaluation, features, governance, rates, sessions
+from kinelake.plans import derive, pose_queries
 from kinelake.plans.pose_queries import tidy, tidy_sql
 
 NOW = "TIMESTAMP '1998-06-01 00:00:00'"
@@ -38,6 +38,14 @@ def _split(s, d):
     return dataset.stratified_split(derive.clips(s, d), "clip_key")
 
 
+def _metrics(s, d):
+    """Counters and timers whose label values have quotes, in values that sum up without rounding."""
+    return derive.requests(s, d).selectExpr(
+        "concat('http_', event_type) AS name", "CASE WHEN event_type = 'error' THEN 'counter' ELSE 'timer' END AS kind",
+        "map('code', concat('x\"', CAST(key % 3 AS STRING))) AS labels", "CAST(floor(value) AS DOUBLE) * 64.25D AS value",
+    )
+
+
 def _outcomes(s, d):
     """Deletion outcomes of three quarters of the sessions."""
     return derive.sessions(s, d).where("id % 4 <> 1").selectExpr("id", "user_id", f"{OUTCOME} AS outcome")
@@ -97,7 +105,10 @@ QUERIES = {
     "a17_distribution": lambda s, d: dataset.distribution(_split(s, d)),
     "a19_split_summary": lambda s, d: dataset.split_summary(_split(s, d), "person_id"),
     "g4_player_split": lambda s, d: dataset.split_summary(dataset.player_disjoint_split(derive.clips(s, d), "person_id"), "person_id"),
-    "a35_manifest": lambda s, d: dataset.manifest(_split(s, d), 32),
+    "a35_manifest": lambda s, d: dataset.manifest(_split(s, d), 32, health=features.health_summary(features.health(features.statistics(pose_queries.frame_table(s, d)))).select("health_status", "features")),
+    "w11_counted_split": lambda s, d: dataset.counted_split(derive.clips(s, d), "clip_key", train=140, validation=30, each=None).select("clip_key", "shot_label", "split"),
+    "t6_best_run": lambda s, d: tidy((lambda runs: evaluation.best_run(runs, evaluation.aggregate_seeds(runs)))(_runs(s, d)).select("model", "seed", "macro_f1", "loss")),
+    "j3_with_duplicates": lambda s, d: dataset.with_person(derive.clips(s, d).selectExpr("clip_key AS row_index", "file_name"), derive.clips(s, d).select("file_name", "person_id", "quality").unionByName(derive.clips(s, d).where("clip_key % 1000 = 1").selectExpr("file_name", "'other' AS person_id", "'bad' AS quality"))).select("row_index", "person_id", "quality"),
     "f23_score_rows": lambda s, d: _past_ties(_scored(s, d).where("error is null").select("row_index", "predicted_label", "confidence", "correct", "nll", "brier")),
     "a21_confusion": lambda s, d: evaluation.confusion(_scored(s, d).where("error is null")),
     "a20_class_metrics": lambda s, d: tidy(evaluation.class_metrics(evaluation.confusion(_scored(s, d).where("error is null")))),
@@ -140,7 +151,7 @@ QUERIES = {
     "w14_fixed_window": lambda s, d: rates.fixed_window(derive.requests(s, d), 3, 3600 * 24).select("request_id", "key", "allowed"),
     "w15_sliding_window": lambda s, d: rates.sliding_window(derive.requests(s, d), 3, 3600.0 * 24),
     "a34_metric_sums": lambda s, d: tidy(rates.metric_sums(derive.requests(s, d).selectExpr("concat('http_', event_type) AS name", "CASE WHEN event_type = 'error' THEN 'counter' ELSE 'timer' END AS kind", "map('user', CAST(key % 5 AS STRING), 'code', 'x') AS labels", "value")), 2),
-    "s12_exposition": lambda s, d: rates.exposition(rates.metric_sums(derive.requests(s, d).selectExpr("concat('http_', event_type) AS name", "CASE WHEN event_type = 'error' THEN 'counter' ELSE 'timer' END AS kind", "map('code', 'x') AS labels", "CAST(1 AS DOUBLE) AS value"))),
+    "s12_exposition": lambda s, d: rates.exposition(rates.metric_sums(_metrics(s, d))),
 }
 
 _SE, _FB, _CL, _PR = derive.SESSIONS_SQL, derive.FEEDBACK_SQL, derive.CLIPS_SQL, derive.PREDICTIONS_SQL
@@ -241,7 +252,23 @@ FROM ss LEFT JOIN ma USING (video_id, file_name)""",
     "w11_stratified_split": f"WITH {_SPLIT} SELECT clip_key, shot_label, split FROM sl",
     "a17_distribution": f"WITH {_SPLIT} SELECT split, shot_label, count(*) AS n FROM sl GROUP BY ROLLUP (split, shot_label)",
     "a19_split_summary": f"WITH {_SPLIT}, sp AS (SELECT person_id, count(DISTINCT split) AS k FROM sl GROUP BY 1) SELECT split, count(*) AS samples, count(DISTINCT sl.person_id) AS groups, count(DISTINCT sl.person_id) FILTER (k > 1) AS shared_groups FROM sl JOIN sp ON sl.person_id = sp.person_id GROUP BY split",
-    "a35_manifest": f"WITH {_SPLIT} SELECT count(*) AS samples, 32 AS features, count(DISTINCT shot_label) AS classes, string_agg(DISTINCT shot_label, ',' ORDER BY shot_label) AS class_names, count(*) FILTER (split = 'train') AS train_samples, count(*) FILTER (split = 'validation') AS validation_samples, count(*) FILTER (split = 'test') AS test_samples FROM sl",
+    "a35_manifest": f"""
+WITH {_SPLIT}, {pose_queries._FS}, c AS (
+  SELECT count(*) AS samples, 32 AS features, count(DISTINCT shot_label) AS classes, string_agg(DISTINCT shot_label, ',' ORDER BY shot_label) AS class_names,
+    count(*) FILTER (split = 'train') AS train_samples, count(*) FILTER (split = 'validation') AS validation_samples, count(*) FILTER (split = 'test') AS test_samples FROM sl)
+SELECT *, samples || 'x60x32' AS shape, train_samples || 'x60x32' AS train_shape, validation_samples || 'x60x32' AS validation_shape, test_samples || 'x60x32' AS test_shape,
+  (SELECT string_agg(health_status || '=' || n, ',' ORDER BY health_status) FROM (SELECT health_status, count(*) AS n FROM he GROUP BY 1)) AS health FROM c""",
+    "w11_counted_split": f"""
+WITH {_CL}, ra AS (SELECT *, row_number() OVER (PARTITION BY shot_label ORDER BY {_HASH}, clip_key) AS r FROM clips)
+SELECT clip_key, shot_label, CASE WHEN r <= 140 THEN 'train' WHEN r <= 170 THEN 'validation' ELSE 'test' END AS split FROM ra""",
+    "t6_best_run": tidy_sql(
+        _RUN + ", be AS (SELECT model FROM ag ORDER BY mean_f1 DESC, std_f1, abs(mean_gap), mean_loss, parameters, model LIMIT 1)",
+        "SELECT model, seed, macro_f1, loss FROM ru JOIN mf USING (model, seed) JOIN be USING (model) ORDER BY macro_f1 DESC, loss, seed LIMIT 1", ["model", "seed"], ["macro_f1", "loss"],
+    ),
+    "j3_with_duplicates": f"""
+WITH {_CL}, me AS (SELECT file_name, person_id, quality FROM clips UNION ALL SELECT file_name, 'other', 'bad' FROM clips WHERE clip_key % 1000 = 1),
+du AS (SELECT count(*) AS n FROM (SELECT file_name FROM me GROUP BY 1 HAVING count(*) > 1))
+SELECT clip_key AS row_index, CASE WHEN n > 0 THEN 'unknown' ELSE person_id END AS person_id, quality FROM clips, du""",
     "f23_score_rows": f"""
 WITH {_PR}, m AS (SELECT *, -ln(greatest(pt, 1e-12)) AS nll, p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3 - 2 * pt + 1 AS brier FROM sc)
 SELECT row_index, predicted_label, correct, round(confidence + 1e-11, 4) + 0.0 AS confidence, round(nll + 1e-11, 4) + 0.0 AS nll, round(brier + 1e-11, 4) + 0.0 AS brier

@@ -47,9 +47,9 @@ def read_metadata(spark: SparkSession, path: str, required: tuple[str, ...] = ME
 
 
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: path, length, modificationTime of .mov and .mp4 files, without reading their content."""
+    """S3: path, length, modificationTime of .mov and .mp4 files by their lower-cased paths, without reading their content."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(mov|mp4)$"))
+    return found.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(mov|mp4)$")).orderBy(F.lower("path"), "path")
 
 
 def read_rows(spark: SparkSession, path: str, kind: str, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:

@@ -40,8 +40,8 @@ SPAN = re.compile(
 )
 SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:\s+[^\W\d_{SIGNS}]|\s+[{SIGNS}]){{2,}}(?![^\W_])")
 SEPARATOR = re.compile(r"[ .\-_*·]")
-DOUBLE = re.compile(r"(.)\1")
-TRAILING = "".join(READINGS)
+DOUBLE, RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+TRAILING, EDGES = "".join(READINGS), ".,;:?()\"'"
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Bounds of what is learned: labelled rows (on average), word starts, toxic rows that a feature needs.
@@ -129,7 +129,7 @@ class Restorer:
 
     def words(self, token: str) -> Iterable[str]:
         """Words of a token without white space, and of its restored spans."""
-        bare = token.strip(".,;:?()\"'")
+        bare = token.strip(EDGES)
         if bare.isalpha() and not DOUBLE.search(bare):
             return (bare,)  # one path through its lattice
         found = self.tokens.get(token)
@@ -177,6 +177,17 @@ class Restorer:
         return " ".join("".join(reversed(out)).split())
 
 
+def shortened(word: str) -> list[str] | None:
+    """A word of letters with its runs of equal letters cut to any length from one on, as the lattice allows; None if that gives over 16."""
+    made, at = [""], 0
+    for m in RUN.finditer(word):
+        cut = [word[at : m.start()] + m[1] * n for n in range(1, len(m[0]) + 1)]
+        made, at = [head + tail for head in made for tail in cut], m.end()
+        if len(made) > 16:
+            return None
+    return [head + word[at:] for head in made]
+
+
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
     """Distinct words of the text in lower case, and of its restored spans."""
     lower = (text or "").lower()
@@ -286,7 +297,13 @@ class Model:
         """Words of a token that the model knows, or whose start it knows."""
         found = self.before.get(token)
         if found is None:
-            found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
+            bare = token.strip(EDGES)
+            # A word that only repeats letters is read as one of few words: no search if none of them tells.
+            read = shortened(bare) if bare.isalpha() else None
+            if read is None or any(w in self.weights or w[: STARTS[0]] in self.heads for w in read):
+                found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
+            else:
+                found = ()
         if len(token) <= LONG:
             # Two generations: what is met again in time isn't forgotten.
             if len(self.telling) > REMEMBERED:
@@ -298,7 +315,14 @@ class Model:
         restorer, lower = self.restorer(), (text or "").lower()
         tokens = lower.split()
         words = spaced_words(lower, tokens, restorer)
+        weights, heads, head = self.weights, self.heads, STARTS[0]
         for token in set(tokens):
+            bare = token.strip(EDGES)
+            if bare.isalpha() and not DOUBLE.search(bare):
+                # One path through its lattice: there is nothing to search or to remember.
+                if bare in weights or bare[:head] in heads:
+                    words.add(bare)
+                continue
             found = self.telling.get(token)
             words.update(self._telling(token, restorer) if found is None else found)
         found = words & self.weights.keys()

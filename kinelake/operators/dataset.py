@@ -140,25 +140,23 @@ def encode_labels(rows: DataFrame, label: str = "shot_label", classes: list[str]
     """Rows with encoded_label, the place of the label in code-point order.
 
     classes is a mapping made before. Blank labels, fewer than two classes and labels
-    that classes doesn't hold are errors, raised before any row is encoded.
+    that classes doesn't hold are errors, raised before any row is encoded; so are
+    more than FEW classes. One job finds the classes.
     """
-    facts = rows.agg(F.count_if(F.coalesce(F.trim(label), F.lit("")) == ""), F.count_distinct(F.trim(label))).first()
-    if facts[0]:
-        raise ValueError(f"{facts[0]} labels are blank")
-    known = sorted(set(classes)) if classes is not None else None
-    if known is not None:
-        unseen = [r[0] for r in rows.where(~F.trim(label).isin(*known)).select(F.trim(label)).distinct().limit(5).collect()]
-        if unseen:
-            raise ValueError(f"labels that weren't seen before: {unseen}")
-        numbered = rows.sparkSession.createDataFrame(list(enumerate(known)), "encoded_label int, _label string")
-    else:
-        if facts[1] < 2:
-            raise ValueError("fewer than two classes")
-        found = rows.select(F.trim(label).alias("_label")).distinct()
-        numbered = found.withColumn("encoded_label", F.row_number().over(Window.orderBy("_label")) - 1)
-    # One row a class: broadcast below a checked number.
-    slim = F.broadcast(numbered) if facts[1] <= FEW else numbered
-    return rows.join(slim, F.trim(rows[label]) == F.col("_label")).drop("_label")
+    found = rows.groupBy(F.coalesce(F.trim(label), F.lit("")).alias("_label")).agg(F.count(F.lit(1)).alias("n")).limit(FEW + 2).collect()
+    counts = {r["_label"]: r["n"] for r in found}
+    if "" in counts:
+        raise ValueError(f"{counts['']} labels are blank")
+    if len(counts) > FEW:
+        raise ValueError(f"over {FEW} classes")
+    known = sorted(set(classes) if classes is not None else counts)
+    unseen = sorted(counts.keys() - set(known))
+    if unseen:
+        raise ValueError(f"labels that weren't seen before: {unseen[:5]}")
+    if len(known) < 2 and classes is None:
+        raise ValueError("fewer than two classes")
+    numbered = rows.sparkSession.createDataFrame(list(enumerate(known)), "encoded_label int, _label string")
+    return rows.join(F.broadcast(numbered), F.trim(rows[label]) == F.col("_label")).drop("_label")
 
 
 def distribution_check(rows: DataFrame, expected: int, label: str = "shot_label") -> DataFrame:
@@ -247,9 +245,13 @@ def player_disjoint_split(rows: DataFrame, group: str, ratios: tuple[float, floa
 
 
 def split_summary(rows: DataFrame, group: str) -> DataFrame:
-    """Samples and groups of each split, and how many of its groups other splits have, too."""
-    spread = rows.groupBy(group).agg(F.count_distinct("split").alias("_splits"))
-    return rows.join(spread, group).groupBy("split").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(group).alias("groups"), F.count_distinct(F.when(F.col("_splits") > 1, F.col(group))).alias("shared_groups"))
+    """Samples and groups of each split, and how many of its groups other splits have, too.
+
+    Rows are counted by group and split once; the rest works on these counts.
+    """
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group, "split").agg(F.count(F.lit(1)).alias("_n"))
+    spread = counts.withColumn("_splits", F.count(F.lit(1)).over(Window.partitionBy(group)))  # a row a split
+    return spread.groupBy("split").agg(F.sum("_n").alias("samples"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_splits") > 1).alias("shared_groups"))
 
 
 def split_labels(rows: DataFrame, label: str = "shot_label") -> DataFrame:

@@ -22,13 +22,6 @@ def first_filled_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
-def probability_map(json_text: Column, columns: dict[str, Column]) -> Column:
-    """probabilities from a JSON object, else from one column a class."""
-    parsed = F.from_json(json_text, "map<string,double>")
-    built = F.map_from_arrays(F.array(*[F.lit(k) for k in columns]), F.array(*[c.try_cast("double") for c in columns.values()]))
-    return F.coalesce(parsed, built)
-
-
 def score_rows(predictions: DataFrame, labels: tuple[str, ...] = SHOTS) -> DataFrame:
     """p array, predicted label (first on ties), confidence, correct, nll, brier, and error.
 

@@ -49,7 +49,7 @@ TRAIN_ROWS, STARTS, SUPPORT = 24_000, (4, 5, 6, 7), 3
 #: Cells of each of the rows of the sketch of character counts (4 MB a row), and the rows' seeds.
 CELLS, SEEDS = 1 << 19, (0x9E3779B1, 0x85EBCA77)
 #: Tokens and spans that a process remembers, and characters of one.
-REMEMBERED, LONG = 100_000, 48
+REMEMBERED, LONG = 30_000, 48
 #: Words that a task counts before it hands them on.
 WORDS_HELD = 300_000
 

@@ -45,7 +45,7 @@ def test_geometry(spark):
 
 def test_labels(spark):
     rows = spark.createDataFrame([("x_good_3",), ("x_bad_2",), ("x_avg_9",), ("x",)], "s string").select(labels.player_of(F.col("s")).alias("p")).collect()
-    assert [r["p"] for r in rows] == ["B", "B", "unknown", "unknown"]
+    assert [r["p"] for r in rows] == ["playerB", "playerB", "unknown", "unknown"]
     assert spark.createDataFrame([("7.0",), ("a ",)], "s string").select(labels.video_id(F.col("s")).alias("v")).collect()[0]["v"] == "007"
 
 

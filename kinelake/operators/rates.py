@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.functions import geometry as g
+from kinelake.functions import texts
+
 
 def fixed_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Allowed while the number of a key's requests in a window is within the limit; a limit of 0 allows all."""
@@ -54,10 +57,12 @@ def metric_sums(metrics: DataFrame) -> DataFrame:
 
 def general(value: Column) -> Column:
     """A number in six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
-    told = F.format_string("%.5e", value)
-    digits = F.replace(F.regexp_extract(told, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit(""))
-    power = F.regexp_extract(told, r"e([+-][0-9]+)$", 1)
-    at = power.cast("int")
+    # Rounds the binary value, see texts.fixed; ties of whole numbers go to even as decimals only.
+    told, whole = (F.call_function("format_number", v, F.lit("0.00000E0")) for v in (g.finite(value), value.cast("decimal(16,0)")))
+    told = F.when((value == F.floor(value)) & (F.abs(value) < 2**53), whole).otherwise(told)
+    digits = F.replace(F.regexp_extract(told, r"^-?([0-9.]+)E", 1), F.lit("."), F.lit(""))
+    at = F.regexp_extract(told, r"E(-?[0-9]+)$", 1).cast("int")
+    power = F.concat(F.when(at < 0, "-").otherwise("+"), F.lpad(F.abs(at).cast("string"), F.greatest(F.lit(2), F.length(F.abs(at).cast("string"))), "0"))
     bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     scientific = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 9))), F.lit("e"), power)
     large = bare(F.concat(F.substring(digits, F.lit(1), at + 1), F.lit("."), F.substring(digits, at + 2, F.lit(9))))
@@ -70,7 +75,7 @@ def exposition(sums: DataFrame) -> DataFrame:
     """Text lines of counters and observations, in the order of name and labels."""
     tags = F.when(F.col("labels") != "", F.concat(F.lit("{"), "labels", F.lit("}"))).otherwise("")
     counter = F.array(F.concat("name", F.lit("_total"), tags, F.lit(" "), general(F.col("total"))))
-    timer = F.array(F.concat("name", F.lit("_seconds_count"), tags, F.lit(" "), F.col("n").cast("string")), F.concat("name", F.lit("_seconds_sum"), tags, F.lit(" "), F.format_string("%.6f", "total")))
+    timer = F.array(F.concat("name", F.lit("_seconds_count"), tags, F.lit(" "), F.col("n").cast("string")), F.concat("name", F.lit("_seconds_sum"), tags, F.lit(" "), texts.fixed(F.col("total"), 6)))
     return sums.select("name", "labels", F.posexplode(F.when(F.col("kind") == "counter", counter).otherwise(timer)).alias("place", "line"))
 
 

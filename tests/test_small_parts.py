@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.functions import labels
+from kinelake.functions import labels, texts
 from kinelake.operators import dataset, evaluation, features, rates
 from kinelake.sources import files
 
@@ -47,6 +47,17 @@ def test_general_format(spark):
     assert [r["g"] for r in rows.select(rates.general(F.col("v")).alias("g")).collect()] == [f"{v:g}" for v in values]
 
 
+def test_rounding_of_binary_values(spark):
+    # 98.55 and 0.35 lie below the tie; 0.25, 84.5 and 1234565 lie on it.
+    values = [98.55, 0.35, 98.15, 0.25, 98.75, 84.5, 85.5, -0.04, 0.0, 1e7 + 0.25, 1234567.891, 1234565.0, 0.1000005]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 4):
+        assert [r["f"] for r in rows.select(texts.fixed(F.col("v"), digits).alias("f")).collect()] == [f"{v:.{digits}f}" for v in values]
+    assert [r["g"] for r in rows.select(rates.general(F.col("v")).alias("g")).collect()] == [f"{v:g}" for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double")
+    assert [r["f"] for r in odd.select(texts.fixed(F.col("v"), 1).alias("f")).collect()] == ["NaN", "Infinity"]
+
+
 def test_counted_split_refuses(spark):
     rows = spark.createDataFrame([(i, "a" if i < 20 else "b") for i in range(41)], "k int, shot_label string")
     with pytest.raises(Exception, match="class b: 21 rows, 20 are needed"):

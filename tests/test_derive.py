@@ -1,8 +1,8 @@
-"""Derived frames: landmarks made over batches equal their formulas, and filters don't make them again."""
+"""Derived frames: landmarks made over batches equal their formulas, and filters don't make them again; correlations of batches."""
 
 from pyspark.sql import functions as F
 
-from kinelake.operators import pose
+from kinelake.operators import features, pose
 from kinelake.plans import derive
 
 
@@ -21,3 +21,16 @@ def test_landmarks_by_batch(spark, tmp_path):
     got = frames.select("clip_id", "pos", F.posexplode("landmarks").alias("k", "m")).select("clip_id", "pos", "k", *[F.col(f"m.{c}") for c in ("x", "y", "z", "visibility")])
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
     assert frames.count() == 600 and frames.where("size(landmarks) = 0").count() == len(range(0, 600, 19))
+
+
+def test_correlations_by_products(spark):
+    nan, names = float("nan"), list("abcdefg")
+    # b follows a, c too but for a large mean; d is constant, e has NULLs, f one NaN, g is NULL but where d is there.
+    made = [(i, float(i * i % 83), 2.0 * (i * i % 83) + i % 3, 1e7 - (i * i % 83), 0.1, None if i % 5 == 0 else float(i * i % 83), nan if i == 7 else float(i * i % 83), 0.3 if i % 2 else None) for i in range(400)]
+    rows = spark.createDataFrame(made, "k int, a double, b double, c double, d double, e double, f double, g double").repartition(3)
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in features.correlations(rows, names, 0.5).collect()}
+    wanted = {(x, y): rows.agg(F.corr(x, y).alias("r")).first()["r"] for x, y in [("a", "b"), ("a", "c"), ("b", "c"), ("a", "e"), ("b", "e"), ("c", "e")]}
+    assert got.keys() == wanted.keys() and all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
+    assert features.correlations(rows.where("k < 0"), names, 0.5).count() == 0
+    # One aggregate for all pairs, whatever their number: no corr a pair in the plan.
+    assert "corr(" not in features.correlations(rows, names)._jdf.queryExecution().executedPlan().toString()

@@ -20,27 +20,31 @@ def motion_energy(features: DataFrame, weights: dict[str, float] | None = None,
     raw is the weighted sum of the features that are there; the scale is the
     clip's 95th percentile (or its maximum where that is tiny). The moving average
     repeats the first and last value beyond the ends and always divides by window.
+
+    Means of the same values in another order tie, and the first of them is the peak only
+    as rounding lets it: so the percentile is interpolated from its lower neighbour up
+    and values are added by their time, as the comparison SQL does.
     """
     used = {k: abs(w) for k, w in (weights or MOTION_WEIGHTS).items() if k in features.columns}
     if not used:
         raise ValueError("none of the weighted features is there")
     raw = features.select("clip_id", "t", sum((F.abs(F.col(k)) * w for k, w in used.items()), F.lit(0.0)).alias("raw"))
     clip = Window.partitionBy("clip_id")
-    scale = F.when(F.col("p95") >= 1e-6, F.col("p95")).otherwise(F.greatest(F.col("top"), F.lit(1e-6)))
-    scaled = raw.withColumn("p95", F.percentile("raw", F.lit(0.95)).over(clip)).withColumn("top", F.max("raw").over(clip))
-    scaled = scaled.withColumn("normalised", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw") / scale)))
+    rank, place = F.row_number().over(clip.orderBy(F.asc_nulls_last("raw"))) - 1, (F.count("raw").over(clip) - 1) * 0.95
+    ranked = raw.withColumns({"_rank": rank, "_place": place, "top": F.max("raw").over(clip)})
+    at = lambda r: F.max(F.when(F.col("_rank") == r, F.col("raw"))).over(clip)
+    ends = ranked.withColumns({"_low": at(F.floor("_place")), "_high": at(F.ceil("_place"))})
+    p95 = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - F.floor("_place"))
+    scale = F.when(p95 >= 1e-6, p95).otherwise(F.greatest(F.col("top"), F.lit(1e-6)))
+    scaled = ends.select("clip_id", "t", "raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw") / scale)).alias("normalised"))
     if window <= 1:
         return scaled.select("clip_id", "t", "raw", "normalised", F.col("normalised").alias("smoothed"))
     left, right = window // 2, window - 1 - window // 2
     order = clip.orderBy("t")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place, n = F.row_number().over(order), F.count(F.lit(1)).over(clip)
-    total = (
-        F.sum("normalised").over(order.rowsBetween(-left, right))
-        + F.greatest(F.lit(0), left + 1 - place) * F.first("normalised").over(whole)
-        + F.greatest(F.lit(0), right - (n - place)) * F.last("normalised").over(whole)
-    )
-    return scaled.select("clip_id", "t", "raw", "normalised", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / window)).alias("smoothed"))
+    first, last = (end("normalised").over(whole) for end in (F.first, F.last))
+    beside = [F.coalesce(F.lead("normalised", by).over(order), last if by > 0 else first) for by in range(-left, right + 1)]
+    return scaled.select("clip_id", "t", "raw", "normalised", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(beside, F.lit(0.0)) / window)).alias("smoothed"))
 
 
 #: What a frame does to the counters of a state, before its rules are looked at.

@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from kinelake.functions import labels as rules
 from kinelake.operators import contracts
+from kinelake.operators.holding import holders
 from kinelake.session import settle
 
 #: Rows of a label or plan table that is broadcast.
@@ -47,30 +48,13 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def _grams(text: Column, length: Column) -> Column:
-    """Distinct runs of length characters of a text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, length)))
-
-
 def files_that_hold(stems: DataFrame, files: DataFrame, most: int = GRAM) -> DataFrame:
     """(stem, hits, seq_file) of distinct stems: how many files hold the stem in their own, and the least of them.
 
-    Files are indexed by the runs of most characters of their stems (of fewer, for
-    shorter stems), as far as a wanted stem has such a run. Each stem looks its rarest run
-    up and is compared with those files alone.
+    ``holders`` finds them by runs of most characters.
     """
-    wanted = settle(stems.where("stem <> ''").select("stem", F.least(F.length("stem"), F.lit(most)).alias("size")).distinct())
-    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # most at most
-    runs = wanted.select("stem", F.explode(_grams(F.col("stem"), F.col("size"))).alias("gram"))
-    kinds = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
-    named = files.select("seq_file", _stem(F.col("seq_file")).alias("own"))
-    long_enough = named.select("seq_file", "own", F.explode(kinds).alias("size")).where(F.length("own") >= F.col("size"))
-    index = settle(long_enough.select("seq_file", "own", F.explode(_grams(F.col("own"), F.col("size"))).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # A run that no file has settles its stem: it is held by none.
-    rarest = runs.join(counts, "gram", "left").groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    found = rarest.join(index, "gram").where(F.contains("own", "stem"))
+    wanted = stems.where("stem <> ''").distinct()
+    found = holders(wanted, files.select("seq_file", _stem(F.col("seq_file")).alias("own")), most, 2 * most)
     return found.groupBy("stem").agg(F.count(F.lit(1)).alias("hits"), F.min("seq_file").alias("fallback"))
 
 
@@ -88,12 +72,15 @@ def match_sequences(meta: DataFrame, files: DataFrame) -> DataFrame:
     holds = (F.col("_stem") != "") & F.contains("seq_file", "_stem")
     exact = F.col("seq_file") == F.concat("_id", F.lit("_"), "_stem", F.lit("_sequence.json"))
     found = (
-        rows.join(listed, "_id", "left").groupBy("video_id", "file_name", "_stem")
+        # The id follows from video_id; grouped by it as well, the join's exchange serves the groups.
+        rows.join(listed, "_id", "left").groupBy("_id", "video_id", "file_name", "_stem")
         .agg(F.count("seq_file").alias("n"), F.count_if(F.coalesce(holds, F.lit(False))).alias("held"), F.min("seq_file").alias("any"), F.min(F.when(holds, F.col("seq_file"))).alias("one"), F.max(F.when(exact, F.col("seq_file"))).alias("named"))
     )
-    found = settle(found)
-    by_stem = files_that_hold(found.where("n = 0").select(F.col("_stem").alias("stem")), files)
-    both = found.join(by_stem, (F.col("_stem") == F.col("stem")) & (F.col("n") == 0), "left")
+    found = settle(found.drop("_id"))
+    alone = found.where("n = 0")
+    by_stem = files_that_hold(alone.select(F.col("_stem").alias("stem")), files)
+    looked = alone.join(by_stem, F.col("_stem") == F.col("stem"), "left").drop("stem")
+    both = looked.unionByName(found.where("n > 0"), allowMissingColumns=True)
     file = F.when(F.col("n") == 1, F.col("any")).when(F.col("held") == 1, F.col("one")).when(F.col("n") > 1, F.col("named")).when(F.col("hits") == 1, F.col("fallback"))
     status = F.when(file.isNotNull(), "matched").when((F.col("n") > 1) | (F.col("hits") > 1), "ambiguous").otherwise("missing")
     return both.select("video_id", "file_name", status.alias("status"), file.alias("seq_file"))

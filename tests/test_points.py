@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from kinelake.operators import features, pose
+from kinelake.plans import derive
 
 
 def _frames(spark):
@@ -41,3 +42,36 @@ def test_frame_features_look_back_once(spark):
     # The wrist is missing at 2: it has no angle, no step there or after it.
     assert rows[2]["lead_elbow_angle"] == rows[2]["lead_wrist_velocity"] == rows[3]["lead_wrist_velocity"] == 0.0 < rows[1]["lead_elbow_angle"]
     assert made.where(F.col("lead_elbow_angle") > 0).count() == sum(r["lead_elbow_angle"] > 0 for r in rows.values())
+
+
+def test_normalise_and_align_run_over_arrow_batches(spark):
+    # As lambdas over 33 landmarks they were interpreted. What can't be moved stays as it is, nulls and other parts too.
+    frames = _frames(spark)
+    for made, lenient in ((pose.normalise(frames), False), (pose.normalise(frames, fallback=True), True), (pose.align(frames), False)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "lambdafunction" not in plan and plan.count("ArrowEvalPython") == 1
+        assert made.schema["landmarks"].dataType == frames.schema["landmarks"].dataType
+        rows = {r["pos"]: r for r in made.collect()}
+        before = {r["pos"]: r["landmarks"] for r in frames.collect()}
+        assert rows[7]["landmarks"] is None and rows[6]["landmarks"] == [] and not rows[6]["ok"] and not rows[7]["ok"] and rows[8]["ok"] == lenient
+        assert rows[5]["landmarks"] == before[5] and (lenient or rows[8]["landmarks"] == before[8] and rows[8]["landmarks"][11] is None)
+        assert math.isnan(rows[2]["landmarks"][15]["x"]) and all(m["visibility"] == 1.0 for m in rows[1]["landmarks"])
+    flat = [(0.0, 1.0, 2.0, 0.5)] * 25
+    flat[3], flat[4] = None, (None, 3.0, 2.0, 0.5)
+    still = spark.createDataFrame([(flat,)], frames.schema["landmarks"].dataType.simpleString().join(["landmarks ", ""]))
+    plain, lenient = pose.normalise(still).first(), pose.normalise(still, fallback=True).first()
+    # No torso: the extent in y, 2, is the unit. A missing landmark has missing parts then.
+    assert not plain["ok"] and plain["landmarks"][3] is None and lenient["ok"]
+    assert tuple(lenient["landmarks"][3]) == (None,) * 4 and tuple(lenient["landmarks"][4]) == (None, 1.0, 0.0, 0.5)
+
+
+def test_numbering_deals_no_landmarks(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    made = derive.cleaned(spark, sf_dir)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # What an exchange or a sort takes in is named in the line below it.
+    lines = plan.split("\n")
+    moved = [below for line, below in zip(lines, lines[1:]) if "Exchange hash" in line]
+    assert len(moved) == 2 and not any("landmarks" in below for below in moved)
+    want = pose.clean(derive.frames(spark, sf_dir))
+    assert made.columns == want.columns and made.count() == want.count() and made.exceptAll(want).isEmpty()

@@ -75,3 +75,23 @@ def test_numbering_deals_no_landmarks(spark):
     assert len(moved) == 2 and not any("landmarks" in below for below in moved)
     want = pose.clean(derive.frames(spark, sf_dir))
     assert made.columns == want.columns and made.count() == want.count() and made.exceptAll(want).isEmpty()
+
+
+def test_statistics_add_up_over_batches(spark):
+    names = ["a", "b", "c", "d"]
+    rows = [(k % 5, k // 5, 1e6 + k * k % 17, None if k % 3 == 0 else k * 0.5, 0.1, None) for k in range(200)]
+    table = spark.createDataFrame(rows, "clip_id long, t int, a double, b double, c double, d double").repartition(3, "clip_id")
+    made = features.statistics(table, names)
+    # Hundreds of aggregates a plan weren't compiled.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("lag(") == 1 and "stddev_pop" not in plan
+    got = {r["feature"]: r for r in made.collect()}
+    assert set(got) == set(names) and got["d"]["mean"] is None and got["d"]["mean_abs_delta"] == 0.0
+    facts = features._deltas(table, names)
+    for n in names[:3]:
+        want = facts.agg(*features._facts(n, 1e-8)).first()
+        for key in want.asDict():
+            a, b = got[n][key], want[key]
+            assert (a is None and b is None) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12), (n, key, a, b)
+    odd = features.statistics(spark.createDataFrame([(1, 0, float("nan")), (1, 1, 2.0), (1, 2, float("inf"))], "clip_id long, t int, a double"), ["a"]).first()
+    assert math.isnan(odd["max"]) and odd["min"] == 2.0

@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -39,8 +40,8 @@ SPAN = re.compile(
     r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
 )
 SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}])(?:[^\W\d_]|[{SIGNS}])(?:\s+[^\W\d_{SIGNS}]|\s+[{SIGNS}]){{2,}}(?![^\W_])")
-SEPARATOR = re.compile(r"[ .\-_*·]")
-DOUBLE, RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+SEPARATOR, SEPARATORS = re.compile(r"[ .\-_*·]"), frozenset(" .-_*·")
+DOUBLE, TRIPLE, RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"(.)\1+")
 TRAILING, EDGES = "".join(READINGS), ".,;:?()\"'"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,8 +51,10 @@ TRAIN_ROWS, STARTS, SUPPORT = 24_000, (4, 5, 6, 7), 3
 CELLS, SEEDS = 1 << 19, (0x9E3779B1, 0x85EBCA77)
 #: Tokens and spans that a process remembers, and characters of one.
 REMEMBERED, LONG = 30_000, 48
-#: Words that a task counts before it hands them on.
-WORDS_HELD = 300_000
+#: Distinct trigrams that a task counts before it hands them on, and characters that it looks at together.
+GRAMS_HELD, STRETCH = 300_000, 1 << 19
+#: Bits of a code point in a packed trigram.
+POINT = 21
 
 
 def cells_of(gram: str) -> tuple[int, ...]:
@@ -134,41 +137,66 @@ class Restorer:
             return (bare,)  # one path through its lattice
         found = self.tokens.get(token)
         if found is None:
-            # Signs at the end are read both ways: as letters, and as none.
-            spans = {form for m in SPAN.finditer(token) for form in (m[0], m[0].rstrip(TRAILING)) if form}
-            restored = (word for span in spans for word in WORD.findall(self.restore(span)))
-            found = frozenset(WORD.findall(token)).union(restored)
+            found = self.read(token)
             if len(token) <= LONG:
                 if len(self.tokens) > REMEMBERED:
                     self.tokens.clear()
                 self.tokens[token] = found
         return found
 
+    def read(self, token: str) -> frozenset[str]:
+        """``words``, without remembering the token."""
+        bare = token.strip(EDGES)
+        if bare.isalpha() and not TRIPLE.search(bare):
+            return frozenset((bare, self.doubles(bare)))
+        # Signs at the end are read both ways: as letters, and as none.
+        spans = {form for m in SPAN.finditer(token) for form in (m[0], m[0].rstrip(TRAILING)) if form}
+        restored = (word for span in spans for word in WORD.findall(self.restore(span)))
+        return frozenset(WORD.findall(token)).union(restored)
+
+    def doubles(self, word: str) -> str:
+        """``restore`` of a word of letters, none of them three times in a row.
+
+        The readings of a double letter lead to the same state at the next character, so each is
+        decided by itself.
+        """
+        padded, kept, start = "  " + word + " ", [], 0
+        for m in DOUBLE.finditer(word):
+            at = m.end() - 1
+            state, char, after = padded[at : at + 2], word[at], padded[at + 3]
+            if DROPPED + self.cost(state, after) < self.cost(state, char) + self.cost(char + char, after):
+                kept.append(word[start:at])
+                start = at + 1
+        return "".join(kept) + word[start:]
+
     def _search(self, span: str) -> str:
         spaced = SEPARATOR.search(span) is not None
+        signs = READINGS.keys() | SEPARATORS if spaced else READINGS
+        choices = [i for i, (a, b) in enumerate(zip("\0" + span, span, strict=False)) if b in signs or (a == b and b.isalpha())]
         # State: the last two characters read; value: cost and the way back.
         states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-        for i, char in enumerate(span):
-            steps: list[tuple[str, float]] = []
-            if spaced and SEPARATOR.fullmatch(char):
-                steps = [("", DROPPED), (" ", LITERAL)]
-            elif char in READINGS:
-                steps = [(c, DISGUISE) for c in READINGS[char]] + [(" ", LITERAL)]
-            else:
-                steps = [(char, 0.0)]
-            if i and char == span[i - 1] and char.isalpha():
-                steps.append(("", DROPPED))
-            fresh: dict[str, tuple[float, tuple | None]] = {}
-            for state, (spent, way) in states.items():
-                for out, price in steps:
-                    if not out:
-                        new, total, path = state, spent + price, way
-                    else:
-                        new, total, path = state[1] + out, spent + price + self.cost(state, out), (out, way)
-                    if new not in fresh or total < fresh[new][0]:
-                        fresh[new] = (total, path)
-            states = fresh
-        best = min(states, key=lambda state: (states[state][0] + self.cost(state, " "), state))
+        at = 0
+        for place in [*choices, len(span)]:
+            while at < place and len(states) > 1:
+                states = self._step(states, [(span[at], 0.0)])
+                at += 1
+            if at < place:
+                # One state is left and each character has one reading: what that costs decides nothing.
+                ((state, (spent, way)),) = states.items()
+                states = {(state + span[at:place])[-2:]: (spent, (span[at:place], way))}
+            if place < len(span):
+                char = span[place]
+                if spaced and char in SEPARATORS:
+                    steps = [("", DROPPED), (" ", LITERAL)]
+                elif char in READINGS:
+                    steps = [(c, DISGUISE) for c in READINGS[char]] + [(" ", LITERAL)]
+                else:
+                    steps = [(char, 0.0)]
+                if place and char == span[place - 1] and char.isalpha():
+                    steps.append(("", DROPPED))
+                states = self._step(states, steps)
+            at = place + 1
+        best = min(states, key=lambda state: (states[state][0] + self.cost(state, " "), state)) if len(states) > 1 else next(iter(states))
         way = states[best][1]
         out: list[str] = []
         while way:
@@ -176,6 +204,19 @@ class Restorer:
             way = way[1]
         return " ".join("".join(reversed(out)).split())
 
+    def _step(self, states: dict[str, tuple[float, tuple | None]], steps: list[tuple[str, float]]) -> dict[str, tuple[float, tuple | None]]:
+        """The cheapest way to each state after one character, which is read as one of steps."""
+        fresh: dict[str, tuple[float, tuple | None]] = {}
+        for state, (spent, way) in states.items():
+            for out, price in steps:
+                if not out:
+                    new, total, path = state, spent + price, way
+                else:
+                    new, total, path = state[1] + out, spent + price + self.cost(state, out), (out, way)
+                if new not in fresh or total < fresh[new][0]:
+                    fresh[new] = (total, path)
+        return fresh
+
 
 def shortened(word: str) -> list[str] | None:
     """A word of letters with its runs of equal letters cut to any length from one on, as the lattice allows; None if that gives over 16."""
@@ -218,34 +259,58 @@ def _sampled(rows: DataFrame, bound: int, salt: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(n, 1))))
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether WORD takes it, for every code point."""
+    table = np.zeros(0x110000, dtype=bool)
+    for m in WORD.finditer("".join(map(chr, range(len(table))))):
+        table[m.start() : m.end()] = True
+    return table
+
+
+def trigrams(texts: list[str | None]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """(packed trigrams, how often each occurs) of the texts' words in lower case, two spaces before and one after each; a stretch of characters at a time."""
+    joined = "  " + " ".join((text or "").lower() for text in texts) + " "
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters, space = _letters(), ord(" ")
+    for at in range(0, len(points) - 2, STRETCH):
+        part = points[at : at + STRETCH + 2]
+        part = np.where(letters[part], part, space).astype(np.int64)
+        first, middle, last = part[:-2], part[1:-1], part[2:]
+        first = np.where(middle == space, space, first)
+        inside = (middle != space) | (last != space)
+        yield np.unique(((first << 2 * POINT) | (middle << POINT) | last)[inside], return_counts=True)
+
+
+def _unpacked(gram: int) -> str:
+    mask = (1 << POINT) - 1
+    return chr(gram >> 2 * POINT) + chr(gram >> POINT & mask) + chr(gram & mask)
+
+
 def character_model(texts: DataFrame) -> Counts:
     """Sketch of how often each character trigram of words, its first two and its last character occur in all texts.
 
-    A task counts words over all its texts and hands on cells once; when it holds
-    WORDS_HELD words, it hands on what it has. Neither a shuffle nor the driver has more than
+    A task counts trigrams over all its texts and hands on cells once; when it holds
+    GRAMS_HELD trigrams, it hands on what it has. Neither a shuffle nor the driver has more than
     the sketch's cells.
     """
     bound_batches(texts)
 
-    def cells(words: Counter[str]) -> pa.RecordBatch:
-        grams: Counter[str] = Counter()
-        for word, n in words.items():
-            padded = f"  {word} "
-            for i in range(len(padded) - 2):
-                grams[padded[i : i + 3]] += n
-        found = cell_counts(grams)
+    def cells(grams: Counter[int]) -> pa.RecordBatch:
+        found = cell_counts({_unpacked(gram): n for gram, n in grams.items()})
         return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["cell", "n"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        grams: Counter[int] = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                for value in batch.column(0).slice(at, ROWS).to_pylist():
-                    words.update(WORD.findall((value or "").lower()))
-                if len(words) > WORDS_HELD:
-                    yield cells(words)
-                    words.clear()
-        yield cells(words)
+                for found, n in trigrams(batch.column(0).slice(at, ROWS).to_pylist()):
+                    for gram, k in zip(found.tolist(), n.tolist(), strict=True):
+                        grams[gram] += k
+                if len(grams) > GRAMS_HELD:
+                    yield cells(grams)
+                    grams.clear()
+        yield cells(grams)
 
     counted = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros(CELLS * len(SEEDS), dtype=np.int64)
@@ -282,29 +347,36 @@ class Model:
 
     def __init__(self, grams: Counts, weights: dict[str, float], bias: float) -> None:
         self.grams, self.weights, self.bias = grams, weights, bias
-        self.made: Restorer | None = None
         self.starts = {f.rstrip("*") for f in weights if f.endswith("*")}
         self.heads = {start[: STARTS[0]] for start in self.starts}
+        #: By their first letters, how long known starts are.
+        self.lengths = {head: tuple(n for n in STARTS if any(len(s) == n for s in own)) for head, own in _grouped(self.starts).items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered: tokens' telling words by two generations, words that tell, tokens that tell nothing."""
         self.telling: dict[str, tuple[str, ...]] = {}
         self.before: dict[str, tuple[str, ...]] = {}
+        self.known: set[str] = set()
+        self.silent: set[str] = set()
+        self.made = None
 
     def restorer(self) -> Restorer:
         """One restorer a task process, with its memory."""
         self.made = self.made or Restorer(self.grams)
         return self.made
 
-    def _telling(self, token: str, restorer: Restorer) -> tuple[str, ...]:
-        """Words of a token that the model knows, or whose start it knows."""
+    def _tells(self, word: str) -> bool:
+        return word in self.weights or word[: STARTS[0]] in self.heads
+
+    def _telling(self, token: str, bare: str) -> tuple[str, ...]:
+        """Words of a token that the model knows, or whose start it knows; bare is the token without its edges."""
         found = self.before.get(token)
         if found is None:
-            bare = token.strip(EDGES)
             # A word that only repeats letters is read as one of few words: no search if none of them tells.
-            read = shortened(bare) if bare.isalpha() else None
-            if read is None or any(w in self.weights or w[: STARTS[0]] in self.heads for w in read):
-                found = tuple(w for w in restorer.words(token) if w in self.weights or w[: STARTS[0]] in self.heads)
-            else:
-                found = ()
-        if len(token) <= LONG:
+            read = shortened(bare) if bare.isalpha() and TRIPLE.search(bare) else None
+            found = tuple(w for w in self.restorer().read(token) if self._tells(w)) if read is None or any(map(self._tells, read)) else ()
+        if found and len(token) <= LONG:
             # Two generations: what is met again in time isn't forgotten.
             if len(self.telling) > REMEMBERED:
                 self.before, self.telling = self.telling, {}
@@ -312,26 +384,56 @@ class Model:
         return found
 
     def score(self, text: str | None) -> float:
-        restorer, lower = self.restorer(), (text or "").lower()
+        lower = (text or "").lower()
         tokens = lower.split()
-        words = spaced_words(lower, tokens, restorer)
+        words = spaced_words(lower, tokens, self.restorer())
         weights, heads, head = self.weights, self.heads, STARTS[0]
-        for token in set(tokens):
-            bare = token.strip(EDGES)
-            if bare.isalpha() and not DOUBLE.search(bare):
-                # One path through its lattice: there is nothing to search or to remember.
-                if bare in weights or bare[:head] in heads:
-                    words.add(bare)
-                continue
+        own = set(tokens) - self.silent
+        plain = own & self.known
+        words |= plain
+        silent, known = [], []
+        for token in own - plain:
             found = self.telling.get(token)
-            words.update(self._telling(token, restorer) if found is None else found)
+            if found is None:
+                bare = token.strip(EDGES)
+                if bare.isalpha() and not DOUBLE.search(bare):
+                    # One path through its lattice: there is nothing to search.
+                    if bare in weights or bare[:head] in heads:
+                        words.add(bare)
+                        if bare == token:
+                            known.append(token)
+                    else:
+                        silent.append(token)
+                    continue
+                found = self._telling(token, bare)
+                if not found:
+                    silent.append(token)
+            words.update(found)
+        self.silent, self.known = _remembered(self.silent, silent), _remembered(self.known, known)
         found = words & self.weights.keys()
-        started = Counter(w[:n] for w in words if w[: STARTS[0]] in self.heads for n in STARTS if len(w) >= n and w[:n] in self.starts)
+        lengths, starts = self.lengths, self.starts
+        started = Counter(w[:n] for w in words for n in lengths.get(w[: STARTS[0]], ()) if w[:n] in starts and len(w) >= n)
         found |= {start + "*" * stars for start, k in started.items() for stars in range(1, min(k, 3) + 1)} & self.weights.keys()
         z = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _remembered(tokens: set[str], more: list[str]) -> set[str]:
+    """tokens and those of more that aren't too long; only the latter when there were REMEMBERED."""
+    if len(tokens) > REMEMBERED:
+        tokens = set()
+    tokens.update(token for token in more if len(token) <= LONG)
+    return tokens
+
+
+def _grouped(starts: set[str]) -> dict[str, list[str]]:
+    """Word starts by their first letters."""
+    out: dict[str, list[str]] = {}
+    for start in starts:
+        out.setdefault(start[: STARTS[0]], []).append(start)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Model of labelled rows that aren't held out: about TRAIN_ROWS of them, equal texts once.
 
@@ -402,4 +504,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     to learn from but are judged alike. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
-    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values])
+    return keep_rows(docs, text_col, lambda values: [shared.value.score(value) < 0.5 for value in values], lambda: shared.value.forget())

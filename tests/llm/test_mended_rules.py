@@ -1,9 +1,11 @@
 """Rules that hold at every size: mixing of tiny sources, hot groups of shards, page wrappers, character counts."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinelake.llm import html_extract, language_id, mixing, sharding, substring_dedup, toxicity
@@ -207,3 +209,28 @@ def test_components_of_hubs_and_paths(spark):
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000), (7, 2000), (2000, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in (*range(400), 2000)) and all(got[1000 + i] == 1000 for i in range(61)) and 5000 not in got
+
+
+def test_trigrams_and_double_letters_as_searched():
+    texts = ["Ab  a9é_ßx b", None, "", "x" * 3 + " ÀÉ-zz", "\U0001d4b6b 1²c"]
+    brute: Counter[str] = Counter()
+    for text in texts:
+        for word in toxicity.WORD.findall((text or "").lower()):
+            padded = f"  {word} "
+            brute.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    for stretch in (1, 2, 7, toxicity.STRETCH):
+        made: Counter[str] = Counter()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "STRETCH", stretch)
+            for grams, counts in toxicity.trigrams(texts):
+                made.update({toxicity._unpacked(g): n for g, n in zip(grams.tolist(), counts.tolist(), strict=True)})
+        assert made == brute
+    rng = random.Random(3)
+    restorer = toxicity.Restorer({"".join(rng.choices(" abc", k=3)): rng.randint(1, 900) for _ in range(60)})
+    words = {"".join(rng.choices("abc", k=rng.randint(2, 9))) for _ in range(400)}
+    for word in words:
+        if toxicity.DOUBLE.search(word) and not toxicity.TRIPLE.search(word):
+            assert restorer.doubles(word) == restorer._search(word)
+    # Characters with one reading decide nothing, so nothing is priced for them: one double letter takes three prices.
+    priced = toxicity.Restorer({"abc": 5})
+    assert priced.words("wordilly") >= {"wordilly"} and len(priced.costs) == 3

@@ -234,3 +234,16 @@ def test_trigrams_and_double_letters_as_searched():
     # Characters with one reading decide nothing, so nothing is priced for them: one double letter takes three prices.
     priced = toxicity.Restorer({"abc": 5})
     assert priced.words("wordilly") >= {"wordilly"} and len(priced.costs) == 3
+
+
+def test_tables_of_seeds_and_runs_go_before_texts_are_aligned(spark, monkeypatch):
+    made, settle = [], substring_dedup.settle
+    monkeypatch.setattr(substring_dedup, "settle", lambda df: made.append(settle(df)) or made[-1])
+    rng = random.Random(5)
+    shared = " ".join(f"s{rng.randint(0, 9999)}" for _ in range(90))
+    rows = [(i, " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30)) + " " + shared, "en", "s", 0) for i in range(3)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA))
+    assert {(r["doc_id"], r["other_id"]) for r in found.collect()} >= {(1, 0), (2, 0)}
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    left = [df.columns for df in made if jvm.Path(df.settled_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.Path(df.settled_path))]
+    assert left and not any({"seed", "run"} & set(columns) for columns in left)

@@ -161,9 +161,10 @@ class Codec:
     to its chunks' texts put together. Chunks of over LONG characters aren't remembered.
     """
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, remembered: int = REMEMBERED) -> None:
         import sentencepiece
 
+        self.remembered = remembered
         self.model = parse_model(data)
         # Chunks come to the tokenizer normalised.
         self.tokenizer = build_tokenizer(self.model)
@@ -274,7 +275,7 @@ class Codec:
 
     def _remember(self, chunks: set[str], verify: bool) -> list[str]:
         """See that young holds all the chunks; those to be forgotten after their use."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
             self.differ &= self.old.keys()
             self.lost &= self.old.keys()
@@ -325,36 +326,37 @@ class Codec:
 class Carried:
     """A model's bytes, which a broadcast carries to task processes: each makes one codec of it, which goes when the broadcast is no longer used."""
 
-    def __init__(self, path: str) -> None:
-        self.data = Path(path).read_bytes()
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.data, self.remembered = Path(path).read_bytes(), remembered
         self.made: Codec | None = None
 
     def __reduce__(self):
-        return _carry, (self.data,)
+        return _carry, (self.data, self.remembered)
 
     def codec(self) -> Codec:
-        self.made = self.made or Codec(self.data)
+        self.made = self.made or Codec(self.data, self.remembered)
         return self.made
 
 
-def _carry(data: bytes) -> Carried:
+def _carry(data: bytes, remembered: int) -> Carried:
     made = Carried.__new__(Carried)
-    made.data, made.made = data, None
+    made.data, made.remembered, made.made = data, remembered, None
     return made
 
 
-def encode(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model: str = MODEL, verify: bool = True) -> DataFrame:
+def encode(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model: str = MODEL, verify: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """keep columns (all but the text, if not given), then ids array<int>, n_tokens long and parity boolean.
 
     Null text counts as empty and has no tokens; empty text has none either. Texts
     are encoded whole, however long. Special tokens' strings in a text are ordinary
     text. parity is null if verify is off. Rows are independent, so repeated rows
     give equal results; null ids pass. Columns of docs that are already called ids,
-    n_tokens or parity are replaced. An empty table gives no rows.
+    n_tokens or parity are replaced. An empty table gives no rows. remembered: chunks that a
+    process remembers (see REMEMBERED); results don't depend on it.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     names = [c for c in keep if c not in ("ids", "n_tokens", "parity")]
-    shared = docs.sparkSession.sparkContext.broadcast(Carried(model))
+    shared = docs.sparkSession.sparkContext.broadcast(Carried(model, remembered))
 
     def run(values: list) -> list:
         own = shared.value.codec()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.llm import html_extract, language_id, mixing, sharding, substring_dedup, toxicity
+from kinelake.llm import html_extract, language_id, mixing, sentencepiece_codec, sharding, substring_dedup, toxicity
 from kinelake.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -247,3 +247,14 @@ def test_tables_of_seeds_and_runs_go_before_texts_are_aligned(spark, monkeypatch
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     left = [df.columns for df in made if jvm.Path(df.settled_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.Path(df.settled_path))]
     assert left and not any({"seed", "run"} & set(columns) for columns in left)
+
+
+def test_encoding_is_the_same_however_much_is_remembered():
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeé ", k=6)) for _ in range(40)) for _ in range(60)]
+    made = []
+    for remembered in (3, 100_000):
+        codec = sentencepiece_codec.Carried(sentencepiece_codec.MODEL, remembered).codec()
+        found = [codec.encode(texts[at : at + 5] * 2, True) for at in range(0, 60, 5)]
+        made.append([([x.tolist() for x in ids], same, back) for ids, same, back in found])
+    assert made[0] == made[1]

@@ -22,8 +22,8 @@ def motion_energy(features: DataFrame, weights: dict[str, float] | None = None,
     repeats the first and last value beyond the ends and always divides by window.
 
     Means of the same values in another order tie, and the first of them is the peak only
-    as rounding lets it: so the percentile is interpolated from its lower neighbour up
-    and values are added by their time, as the comparison SQL does.
+    as rounding lets it: so the percentile weighs its neighbours with one rounding less
+    (a fused multiply-add) and values are added by their time, as the comparison SQL does.
     """
     used = {k: abs(w) for k, w in (weights or MOTION_WEIGHTS).items() if k in features.columns}
     if not used:
@@ -34,7 +34,9 @@ def motion_energy(features: DataFrame, weights: dict[str, float] | None = None,
     ranked = raw.withColumns({"_rank": rank, "_place": place, "top": F.max("raw").over(clip)})
     at = lambda r: F.max(F.when(F.col("_rank") == r, F.col("raw"))).over(clip)
     ends = ranked.withColumns({"_low": at(F.floor("_place")), "_high": at(F.ceil("_place"))})
-    p95 = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - F.floor("_place"))
+    part = F.col("_place") - F.floor("_place")
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("_low"), F.lit(1.0) - part, F.col("_high") * part).cast("double")
+    p95 = F.when(F.col("_low").isNotNull() & F.col("_high").isNotNull(), fused)
     scale = F.when(p95 >= 1e-6, p95).otherwise(F.greatest(F.col("top"), F.lit(1e-6)))
     scaled = ends.select("clip_id", "t", "raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw") / scale)).alias("normalised"))
     if window <= 1:

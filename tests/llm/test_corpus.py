@@ -183,6 +183,44 @@ def test_jaccard_against_brute_force(spark, monkeypatch, hot):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_links_are_the_same_whatever_counts_as_frequent(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_KEY", hot)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        words = [f"x{rng.integers(6)}" for _ in range(rng.integers(8, 70))]
+        copy = rows[rng.integers(len(rows))][1].split() if i % 3 == 2 else words
+        rows.append((i, " ".join(w if rng.random() > 0.02 else "e" for w in copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    tokens = np.unique(np.concatenate([jaccard_join.shingle_set(t, 4) for _, t in rows])).view(np.int64)
+    for frequent in (tokens[:0], tokens, rng.permutation(tokens)[: len(tokens) // 3]):
+        monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda texts, size, frequent=frequent: frequent)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs, size=4, percent=80).collect()}
+        assert got == brute_components(rows, 4, 80)
+
+
+def test_frequent_tokens_of_larger_tables(spark):
+    """A tenth of the texts has a passage: it is frequent however few texts are sampled at least."""
+    texts = spark.range(2000).selectExpr("id AS doc_id", "concat(CASE WHEN id % 10 = 3 THEN 'to be or not ' ELSE '' END, 'a', id, ' b', id, ' c', id, ' d', id) AS text")
+    assert jaccard_join.shingle_set("to be or not", 4).view(np.int64)[0] in jaccard_join.frequent_tokens(texts, 4, sample_docs=16)
+
+
+def test_a_small_set_does_not_blunt_the_bitmaps_of_large_ones():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (9, 3000, 3000, 3000)]
+    sets.append(np.concatenate([sets[3][:2950], rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    maps = [jaccard_join._parities(t, 16 if len(t) < 99 else 256) for t in sets]
+    assert jaccard_join._surviving(maps, np.array([len(t) for t in sets]), 0, 85).tolist() == [False, False, False, True, True]
+
+
+def test_hot_keys_meet_by_themselves_unless_copies_share_them(spark):
+    chain = [(100 + k, k + i, 9) for k in range(0, 30, 2) for i in range(3)]  # each key shares a set with the next
+    copies = [(200 + k, 1000 + i, 9) for k in range(5) for i in range(4)]
+    found = jaccard_join._groups(spark.createDataFrame(chain + copies, "key long, id long, n int")).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in found) == [3] * 15 + [4]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
